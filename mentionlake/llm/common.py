@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -30,11 +31,15 @@ def word_array(text: Column) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder, which all executors share, and reads it from there: lineage ends here and a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mentionlake-"))
-    return df.checkpoint(eager=True)
+    """df as a table in the checkpoint folder, which all executors share: lineage ends here, and a lost executor loses nothing. Its files go with the folder."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="mentionlake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/mentionlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def corpus_chars(docs: DataFrame) -> int:
