@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mentionlake.llm import line_dedup, mixing, substring_dedup, url_filter
+from mentionlake.llm import bpe, line_dedup, mixing, substring_dedup, url_filter
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
