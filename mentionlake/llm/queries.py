@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mentionlake.llm import bpe, line_dedup, mixing, substring_dedup, url_filter
+from mentionlake.llm import bpe, line_dedup, lm_score, mixing, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
