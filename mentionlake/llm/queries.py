@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mentionlake.llm import bpe, line_dedup, lm_score, mixing, substring_dedup, url_filter
+from mentionlake.llm import bpe, line_dedup, lm_score, mixing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
