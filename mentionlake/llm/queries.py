@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from mentionlake.llm import bpe, line_dedup, lm_score, mixing, substring_dedup, toxicity, url_filter
+from mentionlake.llm import additive_index, bpe, jaccard_join, kd_search, line_dedup, lm_score, mixing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_additive_index": additive_index.op4_additive_index,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_kd_search": kd_search.op6_kd_search,
     "op7_bpe": bpe.op7_bpe,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE, "op6_kd_search": kd_search.ORACLE}
