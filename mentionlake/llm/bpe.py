@@ -55,7 +55,7 @@ class Bpe:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.stretch, self.pretoken = re.compile(STRETCH), regex.compile(PRETOKEN)
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.encoded: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -79,7 +79,7 @@ class Bpe:
 
     def stays(self, before: int, token: int) -> bool:
         """Whether BPE gives the two tokens for their bytes (before -1: whether the token is the encoding of its own bytes)."""
-        key = (before, token)
+        key = (before + 1 << 32) + token
         known = self.apart.get(key)
         if known is None:
             if len(self.apart) > CACHE * 4:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,24 +43,93 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def corpus_chars(docs: DataFrame) -> int:
-    """Characters in all texts: a cheap measure from which the numbers of partitions follow."""
-    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+def maybe_listed(df: DataFrame, of: DataFrame, bits: int) -> DataFrame:
+    """df with the column `listed`: true for every doc_id that of (d) holds, and for few others. A bitmap of a fixed number of bits answers; so it may be sent to all tasks."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = of.select(at(F.col("d")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(bit) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(bitmap_bit_position(bit) % 8 as int)")).bitwiseAND(1) == 1, F.lit(False))
+    probed = df.withColumn("bit", at(F.col("doc_id"))).withColumn("bucket", F.expr("bitmap_bucket_number(bit)"))
+    return probed.join(F.broadcast(maps), "bucket", "left").withColumn("listed", found).drop("bit", "bucket", "bitmap")
+
 
+def without_ids(docs: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """docs but the rows whose doc_id is among ids (d). Only rows that the bitmap lists are shuffled."""
+    marked = maybe_listed(docs, ids, bits)
+    return marked.where("not listed").drop("listed").unionByName(marked.where("listed").drop("listed").join(ids, F.col("doc_id") == F.col("d"), "left_anti"))
 
-class WordHashes(dict):
-    """64-bit hashes by word, remembered up to a bound."""
 
-    BOUND = 1_000_000
+def corpus_chars(docs: DataFrame) -> int:
+    """Characters in all texts: a cheap measure from which the numbers of partitions follow."""
+    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Values of bytes and powers for hashing words; the separators of words, space and 0x09 to 0x0D.
+_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n-1), modulo 2^64."""
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(column: pa.Array, lower: bool = False, slice_bytes: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts of a string column, one after another, and the number of words of each text (none for null).
+
+    Works on the column's bytes: a word's hash is the sum of its bytes' values times powers by place, freed of where the word stands.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    counts, found = np.zeros(len(column), np.int64), []
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + slice_bytes, side="right")) - 1)
+        text, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        if len(text):
+            if lower:
+                text = _LOWER[text]
+            word = ~_SEPARATES[text]
+            cut = np.zeros(len(text) + 1, bool)
+            cut[at] = True  # texts touch in the buffer; a word ends with its text
+            before = np.concatenate(([False], word[:-1])) & ~cut[:-1]
+            after = np.concatenate((word[1:], [False])) & ~cut[1:]
+            first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
+            if len(_powers.get("up", ())) < len(text):
+                _powers["up"], _powers["down"] = powers(_BASE, len(text)), powers(pow(_BASE, -1, 2**64), len(text))
+            term = _VALUES[text]
+            term *= _powers["up"][: len(text)]
+            total = np.cumsum(term, dtype=np.uint64)
+            h = (total[last] - total[first] + term[first]) * _powers["down"][first]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            found.append(h ^ (h >> np.uint64(32)))
+            counts[lo:hi] = np.diff(np.searchsorted(first, at))
+        lo = hi
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
+
+
+def hashed_texts(batches: Iterator[pa.RecordBatch], size: int, lower: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, hashes of all words, words by row) of runs of rows that hold about `size` words."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:  # six bytes a word
+            hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + size * 6, side="right")))
+            yield batch.column(0).slice(lo, hi - lo), *word_hashes(batch.column(1).slice(lo, hi - lo), lower)
+            lo = hi
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,5 +146,20 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + offsets
 
 
-def flat(lists: list[list]) -> list:
-    return list(chain.from_iterable(lists))
+def stream_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows with equal first n_keys columns, from rows that are sorted by them; one group is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:n_keys]]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = tuple(k[a].item() for k in keys)
+            if own != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held = own, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)

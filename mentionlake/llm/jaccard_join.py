@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import WordHashes, maybe_listed, settled, stream_groups, table, words_of
+from mentionlake.llm.common import maybe_listed, settled, stream_groups, table, word_hashes
 from mentionlake.llm.substring_dedup import window_hashes
 
 SHINGLE = 5
@@ -53,11 +53,14 @@ class Sets:
     """Sorted distinct hashes of the shingles of texts."""
 
     def __init__(self, size: int):
-        self.size, self.words, self.powers = size, WordHashes(), {}
+        self.size, self.powers = size, {}
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = self.words.of(words_of(text))
-        return np.unique(window_hashes(words, min(self.size, len(words)), self.powers)[0]) if len(words) else words
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words, counts = word_hashes(texts)
+        at = 0
+        for n in counts.tolist():
+            own, at = words[at : at + n], at + n
+            yield np.unique(window_hashes(own, min(self.size, n), self.powers)[0]) if n else own
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,8 +89,7 @@ def _members(size: int) -> Callable:
         sets = Sets(size)
         for batch in batches:
             keys = []
-            for text in batch.column("text"):
-                s = sets.of(text.as_py())
+            for s in sets.of(batch.column("text")):
                 h = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
                 keys.append((None, None) if h is None else (h >> 64, h & (2**64 - 1)))
             k1, k2 = (pa.array([None if k[i] is None else k[i] - 2**63 for k in keys], pa.int64()) for i in (0, 1))
@@ -107,8 +109,7 @@ def _choose(size: int, choices: float, runs: int | None) -> Callable:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             paths = batch.column("paths").to_pylist() if runs is None else None
-            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
-                s = sets.of(text.as_py())
+            for k, (doc_id, s) in enumerate(zip(batch.column("doc_id").to_pylist(), sets.of(batch.column("text")), strict=True)):
                 if not len(s):
                     continue
                 buckets = np.unique(np.concatenate([chosen(s, p, choices) for p in (range(runs) if paths is None else paths[k])]))
@@ -203,8 +204,7 @@ def _verified(size: int, threshold: float, counting: bool) -> Callable:
         sets = Sets(size)
         for key, group in stream_groups(batches, 3):
             ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
-            texts = group.column("text").to_pylist()
-            links = similar([sets.of(texts[k]) for k in first], threshold)
+            links = similar(list(sets.of(group.column("text").take(first))), threshold)
             np.fill_diagonal(links, False)
             if counting:
                 side = group.column("block").to_numpy()[first]
@@ -239,17 +239,19 @@ def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node of edges (a, b) is connected with. Large-star and small-star steps in turn until nothing changes."""
     pairs = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    sign = lambda p: tuple(p.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    before = sign(pairs)
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = settled(small)
-        changed = after.exceptAll(pairs).limit(1).count() + pairs.exceptAll(after).limit(1).count()
-        pairs = after
-        if not changed:
+        pairs = settled(small)
+        after = sign(pairs)
+        if after == before:
             return pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before = after
 
 
 def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, choices: float = CHOICES) -> DataFrame:

@@ -10,7 +10,7 @@ How it runs at scale. Counts cover the whole corpus and are never brought to one
 * A pair of common words goes, by hash of the pair, to one of many partitions; a pair with a rare word goes to the partition of that
   rare word, where the word's own count is known once all its tokens are there. Pairs of two rare words are joined with the unigram table.
   So no word or pair that is frequent is ever a shuffle key by itself but the pair of two common words, whose rows are packed: a few bytes an occurrence.
-* Rows travel packed: for each chunk of documents and partition, arrays of keys and of documents.
+* Rows travel packed: for each chunk of documents and partition, arrays of keys and of documents; and back, arrays of sums by document.
 * For the weights, pairs shrink to a histogram of (bucket, bigram estimate, unigram estimate) on a grid of eighths of a power of two.
 
 Tokens: words after lower-casing A to Z, then one end token for each text; the end token is also the context of the first word.
@@ -28,19 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import WordHashes, corpus_chars, settled, table
+from mentionlake.llm.common import corpus_chars, hashed_texts, settled, table
 
 COMMON = 65_535
-CHUNK_TOKENS = 2_000_000
-PART_TOKENS = 6_000_000
+CHUNK_TOKENS = 1_500_000
+PART_TOKENS = 3_000_000
 FOLDS, HELD_OUT = 5, 1
-END = b""
+END = np.uint64(0)  # in the place of a word hash
 RARE = 0xFFFF
 GRID = 8
 NOTHING = -(1 << 14)  # on the grid: an estimate of zero
 BUCKETS = 48
 NULL_ID = np.iinfo(np.int64).min
 PACKED = "part int, kind int, docs binary, counts binary, keys binary, others binary"
+SUMS = "home int, docs binary, n_tokens binary, n_known binary, base_score binary, score binary"
 LINES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -55,30 +56,19 @@ def _is_training(doc_id) -> bool:
 class Tokens:
     """Some documents as one array of word hashes, each text closed by the end token, with one more end token before the first."""
 
-    def __init__(self, ids: list, arrays: list[np.ndarray], end: int):
-        self.ids = np.array([NULL_ID if i is None else i for i in ids], np.int64)
-        self.training = np.array([_is_training(i) for i in ids], bool)
-        stop = np.array([end], np.uint64)
-        self.all = np.concatenate([stop, *(x for a in arrays for x in (a, stop))])
-        self.lengths = np.array([len(a) + 1 for a in arrays], np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), self.lengths)
+    def __init__(self, ids: pa.Array, words: np.ndarray, counts: np.ndarray):
+        self.training = np.array([_is_training(i) for i in ids.to_pylist()], bool)
+        self.ids = ids.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
+        self.lengths = counts + 1
+        self.doc = np.repeat(np.arange(len(counts)), self.lengths)
+        self.all = np.full(len(words) + len(counts) + 1, END, np.uint64)
+        at = np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)
+        self.all[at + 1] = words
 
 
 def _token_chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Tokens]:
-    hashes = WordHashes()
-    end = hashes[END]
-    ids, arrays, held = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            ids.append(doc_id)
-            arrays.append(hashes.of(words))
-            held += len(words) + 1
-            if held >= size:
-                yield Tokens(ids, arrays, end)
-                ids, arrays, held = [], [], 0
-    if ids:
-        yield Tokens(ids, arrays, end)
+    for ids, words, counts in hashed_texts(batches, size, lower=True):
+        yield Tokens(ids, words, counts)
 
 
 def _count(size: int) -> Callable:
@@ -91,17 +81,21 @@ def _count(size: int) -> Callable:
 
 
 class Common:
-    """The most frequent words: ranks in order of their hashes, and counts by rank."""
+    """The most frequent words in a table by the first bits of their hashes; of words that want the same place one stays, the others count as rare. Ranks and counts by place."""
+
+    SLOTS = 21
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.total, self.distinct = hashes[order], counts[order].astype(np.float64), total, distinct
+        slot = (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        _, stay = np.unique(slot, return_index=True)
+        self.hashes, self.counts, self.total, self.distinct = hashes[stay], counts[stay].astype(np.float64), total, distinct
+        self.table = np.full(1 << self.SLOTS, RARE, np.uint16)
+        self.table[slot[stay]] = np.arange(len(stay))
+        self.padded = np.append(self.hashes, np.zeros(RARE + 1 - len(self.hashes), np.uint64))
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), RARE, np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, RARE).astype(np.uint32)
+        at = self.table[(h >> np.uint64(64 - self.SLOTS)).astype(np.int64)]
+        return np.where((at != RARE) & (self.padded[at] == h), at, RARE).astype(np.uint32)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -162,11 +156,27 @@ def fit(b: np.ndarray, p3: np.ndarray, p2: np.ndarray, n: np.ndarray, distinct:
     return weights / np.maximum(weights.sum(axis=1, keepdims=True), 1e-12)
 
 
-def _pack(common, parts: int, size: int, alone: bool) -> Callable:
-    """alone: pairs of rare words, as rows (context, word, doc_id, training, n); else everything else, packed by partition."""
+def _pack(common, parts: int, size: int, alone: bool, counting: bool = False) -> Callable:
+    """alone: pairs of rare words, as rows (context, word, doc_id, training, n); else everything else, packed by partition. counting: of training texts only, and distinct keys with their counts in place of documents."""
+
+    def counted(t: Tokens, kind: int, part: np.ndarray, doc: np.ndarray, keys: np.ndarray, others: np.ndarray | None) -> Iterator[tuple]:
+        keep = t.training[doc]
+        part, keys = part[keep], keys[keep]
+        order = np.lexsort((keys, part)) if others is None else np.lexsort((others[keep], keys, part))
+        part, keys = part[order], keys[order]
+        same = [part, keys] if others is None else [part, keys, others[keep][order]]
+        begin, _ = _segments(*same)
+        n = np.diff(np.append(begin, len(keys))).astype(np.uint32)
+        part, keys = part[begin], keys[begin]
+        more = None if others is None else same[2][begin]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        for k in range(parts):
+            x = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                yield k, kind, b"", n[x].tobytes(), np.diff(keys[x], prepend=keys.dtype.type(0)).tobytes(), b"" if more is None else more[x].tobytes()
 
     def packed(t: Tokens, kind: int, part: np.ndarray, doc: np.ndarray, keys: np.ndarray, others: np.ndarray | None) -> Iterator[tuple]:
-        order = np.argsort(part, kind="stable")  # stays in order of documents
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")  # stays in order of documents
         part, doc, keys, others = part[order], doc[order], keys[order], others if others is None else others[order]
         cuts = np.searchsorted(part, np.arange(parts + 1))
         for k in range(parts):
@@ -190,20 +200,22 @@ def _pack(common, parts: int, size: int, alone: bool) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1].view(np.int64)), pa.array(t.ids[doc]), pa.array(np.where(t.training[doc], n, 0)), pa.array(n)], names=["v", "w", "doc_id", "trained", "n"])
                 continue
             out = []
+            pack = counted if counting else packed
             at = np.flatnonzero(~before & ~now)
             pair = (r[at] << np.uint32(16)) | r[at + 1]
             mixed = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            out += packed(t, 0, (mixed * np.uint64(parts) >> np.uint64(32)).astype(np.int64), t.doc[at], pair, None)
+            out += pack(t, 0, (mixed * np.uint64(parts) >> np.uint64(32)).astype(np.int64), t.doc[at], pair, None)
             place = lambda k: ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             at = np.flatnonzero(now)  # the word is rare; its context may be
-            out += packed(t, 1, place(h[at + 1]), t.doc[at], h[at + 1], r[at].astype(np.uint16))
+            out += pack(t, 1, place(h[at + 1]), t.doc[at], h[at + 1], r[at].astype(np.uint16))
             at = np.flatnonzero(before & ~now)  # the context alone is rare
-            out += packed(t, 2, place(h[at]), t.doc[at], h[at], r[at + 1].astype(np.uint16))
+            out += pack(t, 2, place(h[at]), t.doc[at], h[at], r[at + 1].astype(np.uint16))
             # What the common words alone decide is summed up here.
-            heavy = ~now
+            heavy = ~now if not counting else np.zeros(len(now), bool)
             known = np.bincount(t.doc[heavy], minlength=len(t.ids)).astype(np.int64)
             base = np.bincount(t.doc[heavy], weights=c.base(c.counts[r[1:][heavy]]), minlength=len(t.ids))
-            out.append((-1 - int(t.ids[0] % 1000), 3, t.ids.tobytes(), t.lengths.tobytes(), known.tobytes(), base.tobytes()))
+            if not counting:
+                out.append((-1 - int(t.ids[0] % 1000), 3, t.ids.tobytes(), t.lengths.tobytes(), known.tobytes(), base.tobytes()))
             for k in range(0, len(out), 64):
                 cols = list(zip(*out[k : k + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:])], names=["part", "kind", "docs", "counts", "keys", "others"])
@@ -219,15 +231,46 @@ def _segments(*sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _reduce(common, mixture) -> Callable:
+def _packed_sums(homes: int, ids: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """What some rows add to their documents, summed by document and packed by the home partition of each document."""
+    docs, at = np.unique(ids, return_inverse=True)
+    sums = [np.bincount(at, weights=x, minlength=len(docs)) for x in (tokens, known, base, score)]
+    home = ((docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % homes
+    order = np.argsort(home, kind="stable")
+    columns = [docs[order], sums[0][order].astype(np.int64), sums[1][order].astype(np.int64), sums[2][order], sums[3][order]]
+    cuts = np.searchsorted(home[order], np.arange(homes + 1))
+    full = [k for k in range(homes) if cuts[k] < cuts[k + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([c[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()) for c in columns)], names=["home", "docs", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that is added to the documents of some home partitions: a row for each document."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for home, *blobs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            held.setdefault(home, []).append(blobs)
+    for home in list(held):
+        blobs = held.pop(home)
+        ids, *parts = (np.concatenate([np.frombuffer(b[k], kind) for b in blobs]) for k, kind in enumerate((np.int64, np.int64, np.int64, np.float64, np.float64)))
+        docs, at = np.unique(ids, return_inverse=True)
+        sums = [np.bincount(at, weights=x, minlength=len(docs)) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _reduce(common, mixture, homes: int = 1) -> Callable:
     """All rows of some partitions. Without a mixture: the histogram of held-out counts; with one: sums for each document."""
 
     def joined(blobs: list, key_type: type, other_type: type) -> tuple[np.ndarray, ...]:
+        """Documents, occurrences in training, keys and others; for the weights there are no documents."""
         if not blobs:
-            return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, key_type), np.zeros(0, other_type)
+            return np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, key_type), np.zeros(0, other_type)
+        if not mixture:
+            n, others = np.concatenate([np.frombuffer(b[1], np.uint32) for b in blobs]), np.concatenate([np.frombuffer(b[3], other_type) for b in blobs])
+            keys = np.concatenate([np.cumsum(np.frombuffer(b[2], key_type), dtype=key_type) for b in blobs])
+            return np.zeros(len(keys), np.int64), n.astype(np.float64), keys, others
         ids, counts = (np.concatenate([np.frombuffer(b[k], kind) for b in blobs]) for k, kind in ((0, np.int64), (1, np.uint32)))
         keys, others = (np.concatenate([np.frombuffer(b[k], kind) for b in blobs]) for k, kind in ((2, key_type), (3, other_type)))
-        return np.repeat(ids, counts >> 1), np.repeat((counts & 1).astype(bool), counts >> 1), keys, others
+        return np.repeat(ids, counts >> 1), np.repeat((counts & 1).astype(np.float64), counts >> 1), keys, others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Common = common.value
@@ -239,18 +282,13 @@ def _reduce(common, mixture) -> Callable:
                     held.setdefault((part, kind), []).append(blobs)
                 elif mix:
                     ids, lengths, known = (np.frombuffer(b, np.int64) for b in blobs[:3])
-                    yield lines(ids, lengths, known, np.frombuffer(blobs[3], np.float64), np.zeros(len(ids)))
+                    yield _packed_sums(homes, ids, lengths, known, np.frombuffer(blobs[3], np.float64), np.zeros(len(ids)))
         for part in sorted({p for p, _ in held}):
             yield from pairs(held.pop((part, 0), []))
             yield from rare(held.pop((part, 1), []), held.pop((part, 2), []))
 
-    def lines(ids: np.ndarray, lengths: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
     def summed(ids: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-        docs, at = np.unique(ids, return_inverse=True)
-        add = lambda x: np.bincount(at, weights=x, minlength=len(docs))
-        return lines(docs, np.zeros(len(docs), np.int64), add(known).astype(np.int64), add(base), add(score))
+        return _packed_sums(homes, ids, np.zeros(len(ids)), known, base, score)
 
     def pairs(blobs: list) -> Iterator[pa.RecordBatch]:
         c: Common = common.value
@@ -259,7 +297,7 @@ def _reduce(common, mixture) -> Callable:
             return
         order = np.argsort(keys)
         begin, seg = _segments(keys[order])
-        n = np.add.reduceat(training[order].astype(np.float64), begin)
+        n = np.add.reduceat(training[order], begin)
         key = keys[order][begin]
         context, word = c.counts[key >> np.uint32(16)], c.counts[key & np.uint32(RARE)]
         if mixture:
@@ -271,7 +309,7 @@ def _reduce(common, mixture) -> Callable:
         c: Common = common.value
         ids, training, keys, others = joined(words, np.uint64, np.uint16)
         order = np.lexsort((others, keys))
-        ids, training, keys, others = ids[order], training[order].astype(np.float64), keys[order], others[order]
+        ids, training, keys, others = ids[order], training[order], keys[order], others[order]
         begin, seg = _segments(keys)
         own_keys, own = keys[begin], np.add.reduceat(training, begin) if len(begin) else np.zeros(0)
         count = own[seg]
@@ -281,7 +319,7 @@ def _reduce(common, mixture) -> Callable:
         before = c.counts[np.where(joint, others[first], 0)] if len(first) else np.zeros(0)
         i2, t2, k2, o2 = joined(contexts, np.uint64, np.uint16)
         order = np.lexsort((o2, k2))
-        i2, t2, k2, o2 = i2[order], t2[order].astype(np.float64), k2[order], o2[order]
+        i2, t2, k2, o2 = i2[order], t2[order], k2[order], o2[order]
         first2, pair2 = _segments(k2, o2)
         n2 = np.add.reduceat(t2, first2) if len(first2) else np.zeros(0)
         at = np.minimum(np.searchsorted(own_keys, k2[first2]), max(len(own_keys) - 1, 0))
@@ -302,7 +340,7 @@ def _reduce(common, mixture) -> Callable:
     return run
 
 
-def _rows(mixture, total: int) -> Callable:
+def _rows(mixture, total: int, homes: int = 1) -> Callable:
     """Of joined counts of pairs of rare words: the histogram, or sums by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +350,8 @@ def _rows(mixture, total: int) -> Callable:
             x = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in ("pair", "context", "word")}
             if mixture:
                 score = mixture.value.log10(x["pair"], x["context"], x["word"]) * batch.column("n").to_numpy(zero_copy_only=False)
-                zero = np.zeros(batch.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.float64)), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                zero = np.zeros(batch.num_rows)
+                yield _packed_sums(homes, batch.column("doc_id").to_numpy(), zero, zero, zero, score)
             else:
                 yield histogram(x["pair"], x["context"], x["word"], total)
 
@@ -330,7 +368,8 @@ def score_texts(docs: DataFrame, common_words: int = COMMON, chunk_tokens: int =
     top = counts.orderBy(F.desc("c"), "h").limit(min(common_words, COMMON)).toArrow()  # bounded: COMMON rows at most
     common = send(Common(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), total, distinct))
     parts = max(1, round(corpus_chars(docs) / 6 / PART_TOKENS))
-    packed = docs.mapInArrow(_pack(common, parts, chunk_tokens, False), PACKED).repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    # Two or three partitions share a task at times, so there are more tasks than partitions.
+    dealt = lambda counting: docs.mapInArrow(_pack(common, parts, chunk_tokens, False, counting), PACKED).repartition(max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
     rows = settled(docs.mapInArrow(_pack(common, parts, chunk_tokens, True), "v long, w long, doc_id long, trained long, n long"))
     by_word = counts.select(F.col("h").alias("w"), F.col("c").alias("word"))
     by_context = counts.select(F.col("h").alias("v"), F.col("c").alias("context"))
@@ -338,13 +377,13 @@ def score_texts(docs: DataFrame, common_words: int = COMMON, chunk_tokens: int =
     joint = rows.groupBy("v", "w").agg(F.sum("trained").alias("pair")).join(by_context, "v", "left").join(by_word, "w", "left")
     joint = settled(joint.select("v", "w", "pair", zero("context"), zero("word")))
     cells = "b long, p3 long, p2 long, n double"
-    found = packed.mapInArrow(_reduce(common, None), cells).union(joint.mapInArrow(_rows(None, total), cells))
+    found = dealt(True).mapInArrow(_reduce(common, None), cells).union(joint.mapInArrow(_rows(None, total), cells))
     grid = found.groupBy("b", "p3", "p2").agg(F.sum("n").alias("n")).toArrow()  # a grid of estimates: its cells don't grow with the corpus
     weights = fit(*(grid.column(k).to_numpy() for k in ("b", "p3", "p2", "n")), distinct)
     mixture = send(Mixture(weights, total, distinct))
-    sums = packed.mapInArrow(_reduce(common, mixture), LINES).union(rows.join(joint, ["v", "w"]).select("doc_id", "n", "pair", "context", "word").mapInArrow(_rows(mixture, total), LINES))
+    sums = dealt(False).mapInArrow(_reduce(common, mixture, parts), SUMS).union(rows.join(joint, ["v", "w"]).select("doc_id", "n", "pair", "context", "word").mapInArrow(_rows(mixture, total, parts), SUMS))
     doc_id = F.when(F.col("doc_id") != int(NULL_ID), F.col("doc_id"))
-    scored = sums.groupBy("doc_id").agg(*(F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base_score", "score")))
+    scored = sums.repartition(max(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "home").mapInArrow(_totals, LINES)
     return scored.select(doc_id.alias("doc_id"), "n_tokens", "n_known", "base_score", "score").select(
         "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from mentionlake.llm.common import table
 
@@ -163,6 +164,8 @@ def _measures(models: Models, texts: list[str]) -> np.ndarray:
 
 
 def _measured(model, finish: Callable | None) -> Callable:
+    """Appends the measures of the column text, or what finish makes of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -173,9 +176,9 @@ def _measured(model, finish: Callable | None) -> Callable:
                     held += len(texts[end])
                     end += 1
                 x = _measures(model.value, texts[at:end])
-                key = batch.column(0).slice(at, end - at)
-                cols = [pa.array(finish(x))] if finish else [pa.array(np.ascontiguousarray(c)) for c in x.T]
-                yield pa.RecordBatch.from_arrays([key, *cols], names=["key", *(f"m{k}" for k in range(len(cols)))])
+                more = [pa.array(finish(x))] if finish else [pa.array(np.ascontiguousarray(c)) for c in x.T]
+                names = ["likely_toxic"] if finish else [f"m{k}" for k in range(len(more))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), *more], names=[*batch.schema.names, *names])
                 at = end
 
     return run
@@ -225,9 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int =
     top = summed.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), *kinds).limit(grams).toArrow()
     models = Models(np.stack([top.column(k).to_numpy() for k in kinds]), *(top.column(k).to_numpy() for k in ("toxic", "ordinary")))
     sent = spark.sparkContext.broadcast(models)
-    rows = texts.where("late").select("toxic", "text").mapInArrow(_measured(sent, None), "key int, m0 double, m1 double, m2 double, m3 double").toArrow()
+    rows = texts.where("late").select("toxic", "text").mapInArrow(_measured(sent, None), "toxic int, text string, m0 double, m1 double, m2 double, m3 double").drop("text").toArrow()
     texts.unpersist()
-    y = rows.column("key").to_numpy().astype(float) if rows.num_rows else np.zeros(0)
+    y = rows.column("toxic").to_numpy().astype(float) if rows.num_rows else np.zeros(0)
     if 0 < y.sum() < len(y):
         return models, Curve(np.column_stack([rows.column(f"m{k}").to_numpy() for k in range(4)]), y)
     share = marked.agg(F.avg("toxic")).first()[0]
@@ -235,11 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int =
 
 
 def score(docs: DataFrame, models: Models, curve: Callable) -> DataFrame:
-    """(doc_id, score) for every row of docs."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """docs with the column likely_toxic, from 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_measured(sent, curve), f"key {kind}, m0 double").select(F.col("key").alias("doc_id"), F.col("m0").alias("score"))
+    return docs.mapInArrow(_measured(sent, curve), StructType([*docs.schema.fields, StructField("likely_toxic", DoubleType())]))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -248,6 +249,6 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, *train(docs, learnable(table(spark, sf_dir, "labels"))))
+    scored = score(docs.select("doc_id", "text"), *train(docs, learnable(table(spark, sf_dir, "labels"))))
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("likely_toxic").alias("score"), (F.col("likely_toxic") >= THRESHOLD).cast("int").alias("predicted"))
