@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from mentionlake.llm.common import settled, table
 from mentionlake.llm.vectors import blocks, clean, matrix, nearest_per_query, result, unpack
 
-BOOKS, ENTRIES, BEAM = 8, 256, 4
+BOOKS, ENTRIES, BEAM = 12, 256, 4
 SAMPLE = 8192
-SHORTLIST = 128
+SHORTLIST = 256
 INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
 NEAREST, EVERY = 20, 20
 
