@@ -68,3 +68,23 @@ def remap(rows: DataFrame, taken: DataFrame, id_col: str = "id") -> DataFrame:
 def dataset_json(decorated: DataFrame) -> DataFrame:
     """Each story as a JSON line, the shape that the dashboard loads."""
     return decorated.select(F.to_json(F.struct(*decorated.columns)).alias("value"))
+
+
+def summary_payload(ai: Column, summary: Column, full_text: Column, preview: int = 560) -> Column:
+    """(label, preview, source) of an article: the summariser's text as it is, else an excerpt of the text, else a placeholder."""
+    text = F.coalesce(F.nullif(F.trim(summary), F.lit("")), F.nullif(F.trim(full_text), F.lit("")))
+    cut = F.when(F.length(text) > preview, F.concat(F.rtrim(F.left(text, F.lit(preview - 1))), F.lit("..."))).otherwise(text)
+    make = lambda label, shown, source: F.struct(F.lit(label).alias("label"), shown.alias("preview"), F.lit(source).alias("source"))
+    return F.when(ai & text.isNotNull(), make("AI summary", text, "llm")).when(text.isNotNull(), make("Raw text", cut, "raw")).otherwise(make("No text", F.lit(""), "raw"))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """rows with every list, map and struct as JSON text, ready for a CSV report."""
+    nested = ("array", "map", "struct")
+    return rows.select(*(F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in rows.dtypes))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """The report as JSON lines and as CSV."""
+    rows.write.mode("overwrite").json(f"{path}/json")
+    report(rows).write.mode("overwrite").option("header", True).csv(f"{path}/csv")

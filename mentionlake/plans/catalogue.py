@@ -17,6 +17,7 @@ from mentionlake.operators import candidates as C
 from mentionlake.operators import evaluate as V
 from mentionlake.operators import export as X
 from mentionlake.operators import persist as P
+from mentionlake.operators import stories as R
 from mentionlake.sources import adapters as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,3 +478,49 @@ def date_windows(spark, sf_dir):
     at = F.when(k == 0, "").when(k == 1, "no date").when(k == 2, L.iso(F.col("ts"))).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     low = events.agg(F.date_format(F.date_add(F.to_date(F.min("ts")), 1), "yyyy-MM-dd")).first()[0]
     return events.withColumn("at", at).select("event_id", D.within(F.col("at"), date_from=low).alias("inside"), D.shown(F.col("at")).alias("shown"))
+
+
+# --- more of the scalar library ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'target') AS slug FROM documents")
+def slug_keys(spark, sf_dir):
+    return L.read(spark, sf_dir, "documents").select("doc_id", T.slug_key(F.left("text", F.lit(60))).alias("slug"))
+
+
+@query("WITH u AS (SELECT user_id, event_type, value FROM events) SELECT user_id FROM u WHERE event_type = 'click' INTERSECT SELECT user_id FROM u WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM u WHERE event_type = 'error' AND value > 90")
+def user_sets(spark, sf_dir):
+    """Found and wanted but not missed: intersection and difference of key sets."""
+    of = lambda kind, least=float("-inf"): L.read(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.col("value") > least)).select("user_id")
+    return of("click").intersect(of("purchase")).subtract(of("error", 90))
+
+
+@query(PARTS + ", hosts AS (SELECT regexp_replace(auth, '^www\\.', '') AS host, canonical FROM canon) SELECT host, count(*) AS pages, count(DISTINCT canonical) AS urls FROM hosts GROUP BY host")
+def urls_per_host(spark, sf_dir):
+    pages = L.read(spark, sf_dir, "pages").select(U.host_of(F.col("url")).alias("host"), U.canonical(F.col("url")).alias("canonical"))
+    return pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("canonical").alias("urls"))
+
+
+@query("SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")
+def portuguese_dates(spark, sf_dir):
+    """Dates written in Portuguese, read back."""
+    names = F.array(*(F.lit(n) for n in ("janeiro", "fev", "março", "abril", "mai", "junho", "jul", "agosto", "set", "outubro", "nov", "dezembro")))
+    shown = F.concat(F.lit("Criado em "), F.dayofmonth("ts").cast("string"), F.lit(" "), F.element_at(names, F.month("ts")), F.lit(" "), F.year("ts").cast("string"), F.date_format("ts", "', 'HH'h'mm"))
+    return L.read(spark, sf_dir, "events").select("event_id", D.portuguese(shown).alias("at"))
+
+
+@query("""WITH p AS (SELECT doc_id, doc_id % 3 = 0 AS ai, nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 900) END), '') AS s, nullif(trim(text), '') AS f FROM documents), t AS (SELECT doc_id, ai, coalesce(s, f) AS x FROM p)
+SELECT doc_id, CASE WHEN x IS NULL THEN 'No text' WHEN ai THEN 'AI summary' ELSE 'Raw text' END AS label, CASE WHEN x IS NULL THEN '' WHEN ai OR length(x) <= 560 THEN x ELSE rtrim(left(x, 559)) || '...' END AS preview,
+  CASE WHEN ai AND x IS NOT NULL THEN 'llm' ELSE 'raw' END AS source FROM t""")
+def summary_payloads(spark, sf_dir):
+    docs = L.read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.left("text", F.lit(900))).alias("summary"))
+    return docs.select("doc_id", X.summary_payload(F.col("doc_id") % 3 == 0, F.col("summary"), F.col("text")).alias("p")).select("doc_id", "p.*")
+
+
+@query()
+def assigned_stories(spark, sf_dir):
+    """Stories of documents by similarity of their first words; targets are sources, days follow doc_id. Needs the sequence ratio, so there is no SQL."""
+    docs = L.read(spark, sf_dir, "documents")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("doc_id") / 100).cast("int"))
+    rows = docs.select(F.col("doc_id").alias("id"), day.alias("day"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.array("lang").alias("target_keys"))
+    return R.assign_stories(rows)

@@ -67,3 +67,21 @@ def test_plans_use_semi_joins_and_no_python(spark, sf):
 
 def test_temperature_is_clamped(spark):
     assert spark.range(1).select(articles.story_temperature(F.lit(50), F.lit(9))).first()[0] == 100
+
+
+def test_assigned_stories_follow_chains(spark):
+    from datetime import date
+
+    from mentionlake.operators.stories import assign_stories
+
+    title = "council approves annual budget plan"
+    rows = [(1, date(2026, 1, 1), title, "", ["a"]), (2, date(2026, 1, 5), title + " today", "", ["a"]), (3, date(2026, 1, 10), title + " today", "", ["a", "b"]), (4, date(2026, 1, 5), title, "", ["c"]), (5, date(2026, 3, 1), title, "", ["a"]), (6, date(2026, 1, 5), "other words entirely here", "", ["a"])]
+    got = assign_stories(spark.createDataFrame(rows, "id long, day date, title string, summary string, target_keys array<string>"))
+    assert {r.id: r.story_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_report_writes_nested_columns_as_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["a", "b"])], "n int, xs array<string>")
+    export.write_report(rows, str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().xs == '["a","b"]'
+    assert spark.read.json(str(tmp_path / "json")).first().xs == ["a", "b"]
