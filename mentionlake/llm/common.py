@@ -43,13 +43,13 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_listed(df: DataFrame, of: DataFrame, bits: int) -> DataFrame:
-    """df with the column `listed`: true for every doc_id that of (d) holds, and for few others. A bitmap of a fixed number of bits answers; so it may be sent to all tasks."""
+def maybe_listed(df: DataFrame, of: DataFrame, bits: int, on: str = "doc_id") -> DataFrame:
+    """df with the column `listed`: true for every value of the column `on` that of (d) holds, and for few others. A bitmap of a fixed number of bits answers; so it may be sent to all tasks."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     maps = of.select(at(F.col("d")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(bit) div 8 + 1 as int), 1)")), 16, 10).cast("int")
     found = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(bitmap_bit_position(bit) % 8 as int)")).bitwiseAND(1) == 1, F.lit(False))
-    probed = df.withColumn("bit", at(F.col("doc_id"))).withColumn("bucket", F.expr("bitmap_bucket_number(bit)"))
+    probed = df.withColumn("bit", at(F.col(on))).withColumn("bucket", F.expr("bitmap_bucket_number(bit)"))
     return probed.join(F.broadcast(maps), "bucket", "left").withColumn("listed", found).drop("bit", "bucket", "bitmap")
 
 

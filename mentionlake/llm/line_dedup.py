@@ -5,15 +5,17 @@ line (smaller doc_id, or same document and smaller line number) equals it or dif
 Lines are judged on the input, not on what is left.
 
 1. Equal lines meet by 128 bits of hash; one distinct line stands for all its copies from here on.
-2. One edit leaves the first or the last half of a line as it was. Lines whose halves (four hashed keys a line) occur in no other distinct
-   line have no neighbour; they need no variants.
-3. Every line that is left emits its deletion neighbourhood: the line itself, and the line without its i-th word, as hashed keys. Keys of
-   the first kind meet those of the second where a word was put in or left out; keys without the i-th word meet where it was replaced.
-   Nothing is paired: a key needs its earliest line of either kind only, so a variant shared by a third of all lines costs one row a line.
-4. Each line and the earliest neighbour found are compared word by word before the line is removed.
-
-A line of over ``long_words`` words would make variants of the square of its length; such lines are joined by the keys of their halves, which
-are exact too, and go through the same comparison.
+2. One edit falls into one of three parts of a line and leaves what stands before and after that part. Lines that share such a rest, by hashed
+   keys, with no other distinct line have no neighbour; they need no variants, and others need those of the shared parts only.
+3. Every line that is left emits its deletion neighbourhood as hashed keys: what stands before and after its i-th word (the line without that
+   word), and what stands before and after each gap (the line that a longer one becomes without a word). Equal keys of the first kind tell
+   of a word replaced, of different kinds of a word put in or left out. Words before and after are hashed as chains, so the keys of a
+   line cost its length and not the square of it. Nothing is paired: a key needs its earliest line of either kind only, so a variant shared
+   by a third of all lines costs one row a line.
+4. Each line and the earliest neighbour found by each key are compared word by word before the line is removed.
+
+Texts are shuffled only for documents that a bitmap of doc_ids lists; its size is a parameter (``bits``), so it may be sent to all tasks. It lists a
+few too many in large corpora, never too few.
 
 Defined results: a null or empty text has no lines removed; lines of fewer words, and blank ones, always stay. Rows that repeat a doc_id count as
 the same place, so they don't remove one another's lines. Null doc_ids come last. Other columns are left as they are.
@@ -21,104 +23,119 @@ the same place, so they don't remove one another's lines. Null doc_ids come last
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import settled, table, word_array
+from mentionlake.llm.common import SPACES, maybe_listed, settled, table
 
 MIN_WORDS = 5
-LONG_WORDS = 400
+PARTS = 3
+#: Bits of the bitmaps of doc_ids, 4 MB.
+BITS = 1 << 25
+#: SQL for the place of a null doc_id: after all others.
+LATE = "cast('9223372036854775808' as decimal(20,0))"
 
 
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def hash_pair(*parts: Column) -> tuple[Column, Column]:
-    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+def canonical(line: Column) -> Column:
+    """The words of a line joined by single spaces."""
+    odd = line.rlike(r"[\x09-\x0D]|\x20\x20")
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACES, " ")).otherwise(line))
 
 
-def half_keys(words: Column, n: Column) -> Column:
-    """Keys for the shorter and the longer of two lines that differ by a word at most: first and last half, by the length of the half."""
-    part = lambda h: F.array(
-        F.xxhash64(F.lit("first"), h, F.array_join(F.slice(words, F.lit(1), h), " ")),
-        F.xxhash64(F.lit("last"), h, F.array_join(F.slice(words, n - h + 1, h), " ")),
-    )
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.concat(part(half), part(less)))
+def part_keys(line: Column, n: Column) -> Column:
+    """Keys of what an edit leaves when it falls into one of three parts: as the shorter of two lines or of the same length (codes 0 to 2), and as the longer one (3 to 5). The code is in the lowest three bits."""
+
+    def key(m: Column, part: int, code: int) -> Column:
+        before, after = part_start(m, part), m - part_start(m, part + 1)
+        piece = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
+        return F.shiftleft(F.xxhash64(m, F.lit(part), piece(before), piece(-after)), 3) + code
+
+    return F.array(*(key(n - longer, part, 3 * longer + part) for longer in (0, 1) for part in range(PARTS)))
+
 
+def part_start(m: Column, part: int | Column) -> Column:
+    return F.floor(m * part / PARTS).cast("int")
 
-def without(words: Column, i: Column, n: Column) -> Column:
-    return F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n)), " ")
+
+def place_of(doc_id: Column, line_no: Column) -> Column:
+    """One number that orders lines by document, nulls last, and line."""
+    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.expr(LATE)) * F.lit(1 << 32).cast("decimal(10,0)") + line_no).cast("decimal(38,0)")
+
+
+def chain(words: Column) -> Column:
+    """Hashes of no words, the first, the first two and so on."""
+    return F.aggregate(words, F.array(F.lit(42).cast("long")), lambda a, w: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), w))))
 
 
 def within_one_word(a: Column, b: Column) -> Column:
     """Whether the arrays differ by one word put in, left out or replaced, or not at all: common head and tail cover all but one word."""
     longest, shortest = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
-    head = lambda x, y: F.coalesce(F.array_position(F.zip_with(x, y, lambda v, w: ~v.eqNullSafe(w)), True) - 1, shortest)
-    alike = lambda x, y: F.when(F.array_position(F.zip_with(x, y, lambda v, w: ~v.eqNullSafe(w)), True) == 0, longest).otherwise(head(x, y))
+    differs = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: ~v.eqNullSafe(w)), True)
+    alike = lambda x, y: F.when(differs(x, y) == 0, longest).otherwise(differs(x, y) - 1)
     return (longest - shortest <= 1) & (alike(a, b) + alike(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
     """(doc_id, line_no): the lines that go."""
-    split = docs.select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
-    words = word_array(F.col("line"))
-    worded = split.withColumn("words", words).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
-    h1, h2 = hash_pair(F.array_join("words", " "))
-    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    lines = settled(worded.select("doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), half_keys(F.col("words"), F.col("n")).alias("keys")))
-    uniq = settled(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.min("keys").alias("keys")))
-    lines = lines.select("doc_id", "line_no", "h1", "h2", place.alias("place"))
-    halves = uniq.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    near = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    chosen = uniq.join(near, ["h1", "h2"], "left_semi").select("place", "h1", "h2")
+    # Made canonical before they are exploded, so that no filter does it again.
+    split = docs.select("doc_id", F.posexplode(F.transform(text_lines(F.col("text")), canonical)).alias("line_no", "line"))
+    counted = split.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + F.when(F.col("line") == "", 0).otherwise(1)).where(F.col("n") >= min_words)
+    keyed = counted.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), part_keys(F.col("line"), F.col("n").cast("int")).alias("keys"))
+    stored = settled(keyed)
+    lines = stored.select("doc_id", "line_no", "h1", "h2", place_of(F.col("doc_id"), F.col("line_no")).alias("place"))
+    uniq = settled(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")))
+    pieces = stored.select("h1", F.explode("keys").alias("coded")).select("h1", F.call_function("shiftright", F.col("coded"), F.lit(3)).alias("key"), F.col("coded").bitwiseAND(7).cast("int").alias("code"))
+    shared = pieces.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    near = pieces.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("code"))).alias("codes"))
+    chosen = uniq.join(near, "h1").select("h1", "place", "codes")
     # The words of the chosen lines, read again at their first place.
-    at = chosen.select("h1", "h2", "place", F.col("place.doc_id").alias("d"), F.col("place.line_no").alias("l"))
-    some = at.groupBy("d").agg(F.collect_list(F.struct("l", "h1", "h2", "place")).alias("wanted"))
-    texts = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("d")))
-    own = texts.select(F.explode("wanted").alias("w"), text_lines(F.col("text")).alias("all")).select(
-        "w.h1", "w.h2", "w.place", word_array(F.get(F.col("all"), F.col("w.l"))).alias("words")
-    )
-    own = settled(own.withColumn("n", F.size("words")).where(F.xxhash64(F.array_join("words", " ")) == F.col("h1")).dropDuplicates(["h1", "h2"]))
-    short = own.where(F.col("n") <= long_words)
-    row = lambda kind, i, text: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), *(h.alias(k) for h, k in zip(hash_pair(F.lit(kind == "replaced"), i if kind == "replaced" else F.lit(0), text), ("k1", "k2"))))
-    whole = F.array(row("whole", F.lit(0), F.array_join("words", " ")))
-    cuts = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: without(F.col("words"), i, F.col("n")))
-    cut_rows = F.transform(cuts, lambda t, i: row("cut", i, t))
-    replaced = F.transform(cuts, lambda t, i: row("replaced", i, t))
-    keyed = short.select("h1", "h2", "place", F.explode(F.concat(whole, cut_rows, replaced)).alias("v")).select("h1", "h2", "place", "v.kind", "v.k1", "v.k2")
-    first = keyed.groupBy("k1", "k2").agg(
-        F.min(F.when(F.col("kind") == "whole", F.struct("place", "h1", "h2"))).alias("whole"),
-        F.min(F.when(F.col("kind") == "cut", F.struct("place", "h1", "h2"))).alias("cut"),
-        F.min(F.when(F.col("kind") == "replaced", F.struct("place", "h1", "h2"))).alias("replaced"),
-        F.count(F.lit(1)).alias("k"),
-    ).where("k > 1").drop("k")
-    other = F.when(F.col("kind") == "whole", F.col("cut")).when(F.col("kind") == "cut", F.col("whole")).otherwise(F.col("replaced"))
-    met = keyed.join(first, ["k1", "k2"]).withColumn("other", other).where(F.col("other.place") < F.col("place")).select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
-    long = own.where(F.col("n") > long_words - 1).select("h1", "h2", "place", F.explode(half_keys(F.col("words"), F.col("n"))).alias("key"))
-    pairs = long.join(long.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("place").alias("p"), "key"), "key").where(F.col("p") < F.col("place")).select("h1", "h2", "o1", "o2")
-    met = met.union(pairs).distinct()
-    words_of = own.select("h1", "h2", "words")
-    seen = met.join(words_of, ["h1", "h2"]).join(words_of.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("their")), ["o1", "o2"])
-    gone = seen.where(within_one_word(F.col("words"), F.col("their"))).select("h1", "h2").distinct()
-    copies = uniq.where("copies > 1").select("h1", "h2", F.col("place").alias("first"))
-    again = lines.join(copies, ["h1", "h2"]).where(F.col("place") > F.col("first")).select("doc_id", "line_no")
-    return again.union(lines.join(gone, ["h1", "h2"], "left_semi").select("doc_id", "line_no"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    base = F.lit(1 << 32).cast("decimal(10,0)")
+    at = chosen.withColumn("l", F.pmod("place", base).cast("int")).withColumn("d", ((F.col("place") - F.col("l")) / base).cast("decimal(20,0)"))
+    at = at.withColumn("d", F.when(F.col("d") < F.expr(LATE), F.col("d").cast("long")))
+    some = settled(at.groupBy("d").agg(F.collect_list(F.struct("l", "h1", "place", "codes")).alias("wanted")))
+    maybe = maybe_listed(docs.select("doc_id", "text"), some, bits).where("listed").drop("listed")
+    texts = maybe.join(some, F.col("doc_id").eqNullSafe(F.col("d")))
+    own = texts.select(F.explode("wanted").alias("w"), text_lines(F.col("text")).alias("all")).select("w.*", canonical(F.get(F.col("all"), F.col("w.l"))).alias("line"))
+    own = settled(own.where(F.xxhash64("line") == F.col("h1")).dropDuplicates(["place"]).select("place", "codes", F.split("line", " ").alias("words")))
+    # The neighbourhood: each line without its i-th word, and each line with a gap before its i-th word, as what stands before and after; in the parts whose rest another line has too.
+    n = F.size("words")
+    flags = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda c: F.call_function("shiftright", F.col("codes"), c % 6).bitwiseAND(1) == 1)
+    hashed = own.select("place", n.alias("n"), chain(F.col("words")).alias("pre"), chain(F.reverse("words")).alias("suf"), flags.alias("flags"))
+    hashed = hashed.select("place", "n", "pre", "suf", F.explode("flags").alias("code"))
+    longer = F.col("code").between(3, 5)
+    m = F.col("n") - F.when(longer, 1).otherwise(0)
+    last = part_start(m, F.col("code") % 3 + 1) + F.when(F.col("code") < 3, 0).otherwise(1)  # gaps, and words left out of the longer line, may stand at the end of a part
+    start = part_start(m, F.col("code") % 3) + 1
+    spots = hashed.select("place", "n", "pre", "suf", (F.col("code") < 6).cast("int").alias("cut"), F.explode(F.when(start <= last, F.sequence(start, last))).alias("i")).where(F.col("i") <= F.col("n") + 1 - F.col("cut"))
+    variants = spots.select("place", "cut", F.xxhash64("i", F.col("n") - F.col("cut"), F.get("pre", F.col("i") - 1)).alias("k1"), F.get("suf", F.col("n") - F.col("i") + 1 - F.col("cut")).alias("k2"))
+    first = variants.groupBy("k1", "k2").agg(F.min("place").alias("any"), F.min(F.when(F.col("cut") == 1, F.col("place"))).alias("of_cut"), F.max("place").alias("last")).where("any <> last and of_cut is not null").drop("last")
+    first = settled(first)
+    met = maybe_listed(variants, first.select(F.col("k1").alias("d")), bits, "k1").where("listed").drop("listed").join(first, ["k1", "k2"]).select("place", F.when(F.col("cut") == 1, F.col("any")).otherwise(F.col("of_cut")).alias("other")).where("other < place").distinct()
+    words = own.select("place", "words")
+    seen = met.join(words, "place").join(words.select(F.col("place").alias("other"), F.col("words").alias("their")), "other")
+    gone = seen.where(within_one_word(F.col("words"), F.col("their"))).select(F.col("place").alias("p")).distinct()
+    going = uniq.join(gone, F.col("place") == F.col("p"), "left").where("copies > 1 or p is not null").select("h1", "h2", F.col("place").alias("first"), F.col("p").isNotNull().alias("all"))
+    return lines.join(going, ["h1", "h2"]).where(F.col("all") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
     """docs with the columns n_lines, n_removed and kept (the text without the lines that go)."""
-    gone = repeated_lines(docs, min_words, long_words).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone"))
+    gone = settled(repeated_lines(docs, min_words, bits).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone")))
     every = text_lines(F.col("text"))
     kept = F.filter(F.transform(every, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
+    marked = maybe_listed(docs, gone, bits)
+    some = marked.where("listed").join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d", "listed")
+    rest = marked.where("not listed").drop("listed").withColumn("gone", F.lit(None).cast("array<int>"))
     return (
-        docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+        some.unionByName(rest)
         .withColumn("n_lines", F.size(every).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
         .withColumn("kept", F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .drop("d", "gone")
+        .drop("gone")
     )
 
 
