@@ -93,7 +93,7 @@ def position(copy=0):
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     timed = mixed.withColumn("position", F.when(F.col("taken") > 0, F.round(position(), 9)))
-    return timed.select("doc_id", "size", "source_size", "target", "taken", "position").sort(F.col("position").asc_nulls_last())
+    return timed.select("doc_id", "size", "source_size", "target", "taken", "position").sort(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE = r"""
