@@ -4,11 +4,11 @@
    merged segment by segment, and only the bits "twice or more" are sent out again. A counter never counts too low, so a window that
    repeats is always among those estimated repeated.
 2. A second pass keeps the windows estimated repeated. Inside a chunk of documents all but the first of equal windows are repeats at once; that
-   first one goes, by 96 bits of hash, to the others of its kind. A passage that every document holds so costs one row a chunk, not one a
+   first one goes, by 80 bits of hash, to the others of its kind. A passage that every document holds so costs one row a chunk, not one a
    document.
 3. The repeats of a document come back to it and every word that one of them covers goes.
 
-The number of counters follows the corpus (about twice its windows a row) up to ``max_bits``; that bounds what is broadcast by
+The number of counters follows the corpus (one to two times its windows a row) up to ``max_bits``; that bounds what is broadcast by
 ``depth * 2^max_bits / 8`` bytes. Beyond it the prefilter lets more through; the result stays exact.
 
 Defined results: a null text has no words. Texts of fewer words than a window lose nothing. Null doc_ids come last. A doc_id is one document: rows
@@ -24,23 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import WordHashes, corpus_chars, runs, table, words_of
+from mentionlake.llm.common import corpus_chars, hashed_texts, maybe_listed, powers, runs, settled, table, words_of
 
 WINDOW = 20
 DEPTH = 2
 MAX_BITS = 29
 SEGMENT_BITS = 22
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
+LISTED_BITS = 1 << 25  # of the bitmap of documents with repeats, 4 MB: only their texts are shuffled
+SKETCHED = 6_000_000  # windows that a task sketches together
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def window_hashes(words: np.ndarray, window: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each run of `window` word hashes, as sums of powers: the hash depends on the words only, not on where they stand."""
     n = len(words) - window + 1
@@ -49,7 +45,7 @@ def window_hashes(words: np.ndarray, window: int, cache: dict) -> tuple[np.ndarr
     out = []
     for k, base in enumerate(BASES):
         if len(cache.get(k, ((),))[0]) < len(words):
-            cache[k] = _powers(base, len(words) + 1), _powers(pow(base, -1, 2**64), len(words) + 1)
+            cache[k] = powers(base, len(words) + 1), powers(pow(base, -1, 2**64), len(words) + 1)
         up, down = cache[k]
         mixed = words if k == 0 else (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(words)], dtype=np.uint64)))
@@ -63,11 +59,10 @@ def window_hashes(words: np.ndarray, window: int, cache: dict) -> tuple[np.ndarr
 class Chunk:
     """The words of some documents in one array, and where each document begins."""
 
-    def __init__(self, ids: list, arrays: list[np.ndarray], window: int, cache: dict):
-        self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        self.lengths = np.array([len(a) for a in arrays], np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1])) if len(arrays) else np.zeros(0, np.int64)
-        words = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    def __init__(self, ids: pa.Array, words: np.ndarray, lengths: np.ndarray, window: int, cache: dict):
+        self.ids = ids.cast(pa.int64()).fill_null(int(LAST)).to_numpy(zero_copy_only=False)
+        self.lengths = lengths
+        self.begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         a, b = window_hashes(words, window, cache)
         counts = np.maximum(self.lengths - window + 1, 0)
         starts = runs(self.begin, counts)  # windows that don't cross into the next document
@@ -77,38 +72,56 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], window: int, size: int) -> Iterator[Chunk]:
-    hashes, cache, ids, arrays, held = WordHashes(), {}, [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            arrays.append(hashes.of(words_of(text.as_py())))
-            ids.append(doc_id)
-            held += len(arrays[-1])
-            if held >= size:
-                yield Chunk(ids, arrays, window, cache)
-                ids, arrays, held = [], [], 0
-    if ids:
-        yield Chunk(ids, arrays, window, cache)
+    cache: dict = {}
+    for ids, words, lengths in hashed_texts(batches, size):
+        yield Chunk(ids, words, lengths, window, cache)
+
+
+def _deltas(values: np.ndarray) -> bytes:
+    """Sorted numbers below 2^32, packed: low and high halves of their differences apart, compressed."""
+    d = np.diff(values.astype(np.int64), prepend=0).astype(np.uint32)
+    plain = (d & np.uint32(0xFF)).astype(np.uint8).tobytes() + (d >> np.uint32(8)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    return len(d).to_bytes(4, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _undeltas(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    parts = np.frombuffer(pa.decompress(blob[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).astype(np.uint32)
+    return np.cumsum(parts[0] | parts[1] << np.uint32(8) | parts[2] << np.uint32(16) | parts[3] << np.uint32(24), dtype=np.int64)
 
 
 def _sketch(window: int, bits: int, depth: int, size: int) -> Callable:
-    """Of each chunk, for each row and segment: the counters at one, then those at two, as sorted positions."""
+    """Of some chunks together, for each row and segment: the counters at one, then those at two, as sorted positions."""
     seg = min(bits, SEGMENT_BITS)
 
+    def packed(row: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.sort(np.concatenate(held))
+        if not len(at):
+            return
+        new = np.concatenate(([True], at[1:] != at[:-1]))
+        one = at[new]
+        counts = np.diff(np.append(np.flatnonzero(new), len(at)))
+        for level, found in enumerate((one[counts == 1], one[counts > 1])):
+            cuts = np.searchsorted(found, np.arange(0, (1 << (bits - seg)) + 1, dtype=np.int64) << seg)
+            full = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
+            if full:
+                blobs = [_deltas(found[cuts[k] : cuts[k + 1]] - np.uint32(k << seg)) for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([level] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "segment", "level", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(depth)]
+        n = 0
         for chunk in _chunks(batches, window, size):
             for row, h in list(enumerate((chunk.a, chunk.b)))[:depth]:
-                at = np.sort((h >> np.uint64(64 - bits)).astype(np.uint32))
-                if not len(at):
-                    continue
-                new = np.concatenate(([True], at[1:] != at[:-1]))
-                one = at[new]
-                counts = np.diff(np.append(np.flatnonzero(new), len(at)))
-                for level, found in enumerate((one[counts == 1], one[counts > 1])):
-                    cuts = np.searchsorted(found, np.arange(0, (1 << (bits - seg)) + 1, dtype=np.int64) << seg)
-                    full = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-                    if full:
-                        blobs = [np.diff(found[cuts[k] : cuts[k + 1]].astype(np.int64) - (k << seg), prepend=0).astype(np.uint32).tobytes() for k in full]
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([level] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "segment", "level", "at"])
+                held[row].append((h >> np.uint64(64 - bits)).astype(np.uint32))
+            n += len(chunk.a)
+            if n >= SKETCHED:
+                for row in range(depth):
+                    yield from packed(row, held[row])
+                held, n = [[] for _ in range(depth)], 0
+        if n:
+            for row in range(depth):
+                yield from packed(row, held[row])
 
     return run
 
@@ -129,7 +142,7 @@ def _merge(bits: int) -> Callable:
                     if key is not None:
                         yield done()
                     key, one, two = (row, segment), np.zeros(cells, bool), np.zeros(cells, bool)
-                where = np.cumsum(np.frombuffer(at, np.uint32))
+                where = _undeltas(at)
                 two[where] |= one[where] if level == 0 else True
                 one[where] = True
         if key is not None:
@@ -169,7 +182,7 @@ def _candidates(window: int, bits: int, sketch, parts: int, size: int) -> Callab
             for row, h in zip(rows, (c.a, c.b)):
                 at = h >> np.uint64(64 - bits)
                 keep &= (row[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            a, b, doc, pos = c.a[keep], (c.b[keep] >> np.uint64(32)).astype(np.uint32), c.doc[keep], c.pos[keep]
+            a, b, doc, pos = c.a[keep], (c.b[keep] >> np.uint64(48)).astype(np.uint16), c.doc[keep], c.pos[keep]
             owner = c.ids[doc]
             order = np.lexsort((pos, owner, b, a))
             a, b, doc, pos, owner = a[order], b[order], doc[order], pos[order], owner[order]
@@ -180,13 +193,18 @@ def _candidates(window: int, bits: int, sketch, parts: int, size: int) -> Callab
             later = (owner != owner[first]) | (pos != pos[first])
             if later.any():
                 yield _starts(c.ids, doc[later], pos[later])
-            a, b, pos, owner = a[new], b[new], pos[new], owner[new]
-            part = ((a >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # a is sorted, so is part
+            a, b, pos, doc = a[new], b[new], pos[new], doc[new]
+            part = ((a >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((pos, doc, part))  # by document inside a part: small differences
+            a, b, pos, doc, part = a[order], b[order], pos[order], doc[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
             cut = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())  # noqa: E731, B023
             none = pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *none, cut(a), cut(b), cut(owner), cut(pos.astype(np.uint32))], names=["part", "doc_id", "starts", "a", "b", "docs", "pos"])
+            place = np.diff(c.ids[doc], prepend=0), np.diff(pos, prepend=0).astype(np.int32)
+            first = [cuts[k] for k in full]
+            place[0][first], place[1][first] = c.ids[doc[first]], pos[first]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *none, cut(a), cut(b), cut(place[0]), cut(place[1])], names=["part", "doc_id", "starts", "a", "b", "docs", "pos"])
 
     return run
 
@@ -201,7 +219,8 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 held.setdefault(part, []).append(blobs)
     for blobs in held.values():
-        a, b, owner, pos = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint64, np.uint32, np.int64, np.uint32)))
+        a, b = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint64, np.uint16)))
+        owner, pos = (np.concatenate([np.cumsum(np.frombuffer(x[k], kind), dtype=np.int64) for x in blobs]) for k, kind in ((2, np.int64), (3, np.int32)))
         order = np.lexsort((pos, owner, b, a))
         a, b, owner, pos = a[order], b[order], owner[order], pos[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -216,13 +235,15 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, m
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = corpus_chars(docs) / 6
-    bits = int(np.clip(np.ceil(np.log2(max(words, 1) * 2)), 10, max_bits))
+    bits = int(np.clip(np.floor(np.log2(max(words, 1) * 2)), 10, max_bits))
     sketch = spark.sparkContext.broadcast(repeated_counters(docs, window, bits, depth, chunk_words))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words // 4_000_000))
     found = docs.mapInArrow(_candidates(window, bits, sketch, parts, chunk_words), "part int, doc_id long, starts binary, a binary, b binary, docs binary, pos binary")
     # Repeats found inside a chunk are dealt by their document; the rest by their part.
     dealt = found.repartition(parts, F.when(F.col("part") < 0, F.col("doc_id")).otherwise(F.col("part").cast("long")))
-    return dealt.mapInArrow(_group, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    starts = settled(dealt.mapInArrow(_group, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts")))
+    sketch.destroy()  # the executors' memory is needed
+    return starts
 
 
 def _kept(window: int) -> Callable:
@@ -252,7 +273,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     """(doc_id, n_words, n_removed, kept): kept is the text of the words that stay, joined by spaces, in UTF-8."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs, window, **options).select(F.when(F.col("doc_id") != int(LAST), F.col("doc_id")).alias("d"), "starts")
-    return docs.join(starts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "starts").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept binary")
+    marked = maybe_listed(docs, starts, LISTED_BITS)
+    some = marked.where("listed").join(starts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "starts")
+    rest = marked.where("not listed").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("starts"))
+    return some.union(rest).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
