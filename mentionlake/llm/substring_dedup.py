@@ -209,25 +209,61 @@ def _candidates(window: int, bits: int, sketch, parts: int, size: int) -> Callab
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_starts(homes: int, owner: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Starts of repeats, packed by the home partition of their documents."""
+    home = ((owner.view(np.uint64) * np.uint64(BASES[0])) >> np.uint64(40)).astype(np.int64) % homes
+    order = np.lexsort((pos, owner, home))
+    owner, pos, home = owner[order], pos[order], home[order]
+    cuts = np.searchsorted(home, np.arange(homes + 1))
+    full = [k for k in range(homes) if cuts[k] < cuts[k + 1]]
+    rows = []
+    for k in full:
+        docs, counts = np.unique(owner[cuts[k] : cuts[k + 1]], return_counts=True)
+        rows.append((docs.tobytes(), counts.astype(np.uint32).tobytes(), pos[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(3))], names=["home", "docs", "counts", "pos"])
+
+
+def _group(homes: int) -> Callable:
     """All rows of some parts: of equal windows, all but the first in order of document and start. Repeats found before pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            known = []
+            for part, doc_id, starts, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part < 0:
+                    known.append((doc_id, np.frombuffer(starts, np.uint32)))
+                else:
+                    held.setdefault(part, []).append(blobs)
+            if known:
+                owner = np.repeat(np.array([k[0] for k in known], np.int64), [len(k[1]) for k in known])
+                yield _packed_starts(homes, owner, np.concatenate([k[1] for k in known]).astype(np.int64))
+        for part in list(held):
+            blobs = held.pop(part)
+            a, b = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint64, np.uint16)))
+            owner, pos = (np.concatenate([np.cumsum(np.frombuffer(x[k], kind), dtype=np.int64) for x in blobs]) for k, kind in ((2, np.int64), (3, np.int32)))
+            order = np.lexsort((pos, owner, b, a))
+            a, b, owner, pos = a[order], b[order], owner[order], pos[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (owner != owner[first]) | (pos != pos[first])
+            yield _packed_starts(homes, owner[later], pos[later])
+
+    return run
+
+
+def _home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All starts of the documents of some home partitions: a row for each document."""
     held: dict[int, list] = {}
     for batch in batches:
-        for part, doc_id, starts, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([starts], pa.binary())], names=["doc_id", "starts"])
-            else:
-                held.setdefault(part, []).append(blobs)
-    for blobs in held.values():
-        a, b = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.uint64, np.uint16)))
-        owner, pos = (np.concatenate([np.cumsum(np.frombuffer(x[k], kind), dtype=np.int64) for x in blobs]) for k, kind in ((2, np.int64), (3, np.int32)))
-        order = np.lexsort((pos, owner, b, a))
-        a, b, owner, pos = a[order], b[order], owner[order], pos[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (owner != owner[first]) | (pos != pos[first])
-        ids, doc = np.unique(owner[later], return_inverse=True)
-        yield _starts(ids, doc, pos[later]).select(["doc_id", "starts"])
+        for home, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(home, []).append(blobs)
+    for home in list(held):
+        blobs = held.pop(home)
+        docs, counts, pos = (np.concatenate([np.frombuffer(x[k], kind) for x in blobs]) for k, kind in enumerate((np.int64, np.uint32, np.uint32)))
+        owner = np.repeat(docs, counts)
+        ids, at = np.unique(owner, return_inverse=True)
+        yield _starts(ids, at, pos).select(["doc_id", "starts"])
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, max_bits: int = MAX_BITS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -241,7 +277,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, m
     found = docs.mapInArrow(_candidates(window, bits, sketch, parts, chunk_words), "part int, doc_id long, starts binary, a binary, b binary, docs binary, pos binary")
     # Repeats found inside a chunk are dealt by their document; the rest by their part.
     dealt = found.repartition(parts, F.when(F.col("part") < 0, F.col("doc_id")).otherwise(F.col("part").cast("long")))
-    starts = settled(dealt.mapInArrow(_group, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts")))
+    packed = dealt.mapInArrow(_group(parts), "home int, docs binary, counts binary, pos binary").repartition(parts, "home")
+    starts = settled(packed.mapInArrow(_home, "doc_id long, starts binary"))
     sketch.destroy()  # the executors' memory is needed
     return starts
 
@@ -254,7 +291,7 @@ def _kept(window: int) -> Callable:
                 words = words_of(text.as_py())
                 n_words.append(len(words))
                 if starts:
-                    at = np.concatenate([np.frombuffer(s, np.uint32) for s in starts]).astype(np.int64)
+                    at = np.frombuffer(starts, np.uint32).astype(np.int64)
                     edge = np.zeros(len(words) + window + 1, np.int32)
                     np.add.at(edge, at[at < len(words)], 1)
                     np.add.at(edge, at[at < len(words)] + window, -1)
@@ -275,7 +312,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     starts = repeated_starts(docs, window, **options).select(F.when(F.col("doc_id") != int(LAST), F.col("doc_id")).alias("d"), "starts")
     marked = maybe_listed(docs, starts, LISTED_BITS)
     some = marked.where("listed").join(starts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "starts")
-    rest = marked.where("not listed").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("starts"))
+    rest = marked.where("not listed").select("doc_id", "text", F.lit(None).cast("binary").alias("starts"))
     return some.union(rest).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 
