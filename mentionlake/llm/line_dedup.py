@@ -90,7 +90,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
     uniq = settled(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")))
     pieces = stored.select("h1", F.explode("keys").alias("coded")).select("h1", F.call_function("shiftright", F.col("coded"), F.lit(3)).alias("key"), F.col("coded").bitwiseAND(7).cast("int").alias("code"))
     shared = pieces.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    near = pieces.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("code"))).alias("codes"))
+    shared = settled(shared)
+    near = maybe_listed(pieces, shared.select(F.col("key").alias("d")), bits, "key").where("listed").drop("listed").join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("code"))).alias("codes"))
     chosen = uniq.join(near, "h1").select("h1", "place", "codes")
     # The words of the chosen lines, read again at their first place.
     base = F.lit(1 << 32).cast("decimal(10,0)")
