@@ -8,7 +8,8 @@ The difference of the log-likelihoods is normalised by length, over the whole te
 insults show in a text of any length. A logistic curve over these, fitted on labelled texts that the models haven't seen, gives the score.
 
 Bounds, all of them parameters: the models and the curve are fitted on ``sample`` labelled texts of each class at most (those with the smallest hash of
-doc_id), and keep at most ``grams`` character sequences (the most frequent). So what is sent to the tasks is bounded. Every word of every text is scored.
+doc_id; where that changes their odds, the curve is moved back to the odds among all labels), and keep at most ``grams`` character sequences
+(the most frequent). So what is sent to the tasks is bounded. Every word of every text is scored.
 
 Defined results: a null text is empty; an empty text has no words and gets the score of the curve there. Labels other than 0 and 1, or null, are
 not learned from; of several labels for one document the highest counts. Without labels of both classes the score is the share of toxic ones
@@ -185,9 +186,9 @@ def _measured(model, finish: Callable | None) -> Callable:
 
 
 class Curve:
-    """A logistic curve over the measures."""
+    """A logistic curve over the measures; `shift` is added to the logarithm of the odds that it gives."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 50):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 50, shift: float = 0.0):
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
         w = np.zeros(z.shape[1])
@@ -196,6 +197,7 @@ class Curve:
             hess = (z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)) * 0.1
             w = w + np.linalg.solve(hess, z.T @ (y - p) - 0.1 * w)
         self.weights = w
+        self.weights[0] += shift
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + ((x - self.mean) / self.scale) @ self.weights[1:]
@@ -210,11 +212,17 @@ class Constant:
         return np.full(len(x), self.value)
 
 
+def prior_shift(toxic: int, ordinary: int, sample: int) -> float:
+    """Logarithm of the odds of 'toxic' among all labels by those in a sample of so many labels of each class at most: none where the bound cuts neither class."""
+    return float(np.log(toxic / ordinary) - np.log(min(toxic, sample) / min(ordinary, sample)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple[Models, Callable]:
     """The models and the curve, from docs (doc_id, text) and labels (doc_id, toxic); the caller has left out what may not be learned from."""
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
+    sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     # `sample` rows of each class at most, hence small enough to send to all tasks.
     picked = marked.where("toxic = 0").orderBy(order, "doc_id").limit(sample).union(marked.where("toxic = 1").orderBy(order, "doc_id").limit(sample))
     picked = picked.select(F.col("doc_id").alias("d"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("late"))
@@ -232,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int =
     texts.unpersist()
     y = rows.column("toxic").to_numpy().astype(float) if rows.num_rows else np.zeros(0)
     if 0 < y.sum() < len(y):
-        return models, Curve(np.column_stack([rows.column(f"m{k}").to_numpy() for k in range(4)]), y)
+        return models, Curve(np.column_stack([rows.column(f"m{k}").to_numpy() for k in range(4)]), y, shift=prior_shift(sizes[1], sizes[0], sample))
     share = marked.agg(F.avg("toxic")).first()[0]
     return models, Constant(float(share or 0.0))
 
