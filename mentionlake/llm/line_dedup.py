@@ -2,7 +2,7 @@
 
 DataFrame functions only. The edit unit is a word and the bound is one edit: a line of at least ``min_words`` words is removed if an earlier
 line (smaller doc_id, or same document and smaller line number) equals it or differs from it by one word put in, left out or replaced.
-Lines are judged on the input, not on what is left.
+With ``short`` a line of fewer words, but not a blank one, is removed too if an earlier line equals it; without, it stays. Lines are judged on the input, not on what is left.
 
 1. Equal lines meet by 128 bits of hash; one distinct line stands for all its copies from here on.
 2. One edit falls into one of three parts of a line and leaves what stands before and after that part. Lines that share such a rest, by hashed
@@ -17,7 +17,7 @@ Lines are judged on the input, not on what is left.
 Texts are shuffled only for documents that a bitmap of doc_ids lists; its size is a parameter (``bits``), so it may be sent to all tasks. It lists a
 few too many in large corpora, never too few.
 
-Defined results: a null or empty text has no lines removed; lines of fewer words, and blank ones, always stay. Rows that repeat a doc_id count as
+Defined results: a null or empty text has no lines removed; blank lines always stay. Rows that repeat a doc_id count as
 the same place, so they don't remove one another's lines. Null doc_ids come last. Other columns are left as they are.
 """
 
@@ -79,12 +79,13 @@ def within_one_word(a: Column, b: Column) -> Column:
     return (longest - shortest <= 1) & (alike(a, b) + alike(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, short: bool = False) -> DataFrame:
     """(doc_id, line_no): the lines that go."""
     # Made canonical before they are exploded, so that no filter does it again.
     split = docs.select("doc_id", F.posexplode(F.transform(text_lines(F.col("text")), canonical)).alias("line_no", "line"))
-    counted = split.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + F.when(F.col("line") == "", 0).otherwise(1)).where(F.col("n") >= min_words)
-    keyed = counted.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), part_keys(F.col("line"), F.col("n").cast("int")).alias("keys"))
+    counted = split.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + F.when(F.col("line") == "", 0).otherwise(1)).where(F.col("n") >= (1 if short else min_words))
+    keys = F.when(F.col("n") >= min_words, part_keys(F.col("line"), F.col("n").cast("int")))  # short lines meet by their whole alone
+    keyed = counted.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), keys.alias("keys"))
     stored = settled(keyed)
     lines = stored.select("doc_id", "line_no", "h1", "h2", place_of(F.col("doc_id"), F.col("line_no")).alias("place"))
     uniq = settled(lines.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")))
@@ -123,9 +124,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS
     return lines.join(going, ["h1", "h2"]).where(F.col("all") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS, short: bool = False) -> DataFrame:
     """docs with the columns n_lines, n_removed and kept (the text without the lines that go)."""
-    gone = settled(repeated_lines(docs, min_words, bits).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone")))
+    gone = settled(repeated_lines(docs, min_words, bits, short).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone")))
     every = text_lines(F.col("text"))
     kept = F.filter(F.transform(every, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
     marked = maybe_listed(docs, gone, bits)
@@ -141,5 +142,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = BITS) -
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
