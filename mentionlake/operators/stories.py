@@ -1,7 +1,7 @@
 """Assigning articles to stories.
 
 The model's rule is sequential: each article joins the best story so far. What is done here is its parallel form: an article follows the most similar
-earlier article that shares a target with it and at least two significant words of the title, inside the window of days; articles that follow one another,
+earlier article that shares a target with it, and at least two significant words of the title or else a title similarity of 0.45, inside the window of days; articles that follow one another,
 directly or not, are a story, and its first article gives the id. It links to articles rather than to stories that grow, so a long chain can differ
 from the sequential result; the threshold and the score are the model's.
 """
@@ -10,39 +10,114 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.functions.similarity import similarity
-from mentionlake.functions.text import significant_tokens
+from mentionlake.functions.text import clean_title, significant_tokens
 
 THRESHOLD, DAYS = 0.5, 7
+#: Under two shared words titles must reach GATE, and their ratio counts WEAK times.
+GATE, WEAK = 0.45, 0.55
+TILE = 256
 
 
-def shared_words(articles: DataFrame, days: int = DAYS) -> DataFrame:
-    """(id, earlier): pairs of articles that share a target and two significant words of the title, the second at most some days earlier.
+def candidates(articles: DataFrame, days: int = DAYS, tile: int = TILE) -> DataFrame:
+    """(id, earlier): all pairs of articles that share a target, the second at most some days earlier, whose titles share two significant words or reach GATE.
 
-    A key is a target, a pair of words and a span of days, so it holds few articles even where a word is frequent; each article also looks into the span before its own.
+    Articles of a target and a span of days are dealt into tiles of about `tile` rows, each compared with those of its own span and of the span before, so a frequent
+    target or a busy day makes more tiles and none that is larger.
     """
-    words = F.array_sort(significant_tokens(F.col("title")))
-    pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.filter(words, lambda b, j: j > i), lambda b: F.concat_ws("|", a, b))))
-    span = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / days)
-    keyed = articles.select("id", "day", F.explode("target_keys").alias("target"), span.alias("span"), F.array_distinct(pairs).alias("pairs")).withColumn("pair", F.explode("pairs")).drop("pairs")
-    later = keyed.select("id", "day", "target", "pair", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("span"))
-    sooner = keyed.select(F.col("id").alias("earlier"), F.col("day").alias("since"), "target", "pair", "span")
-    met = later.join(sooner, ["target", "pair", "span"])
-    in_order = (F.col("since") < F.col("day")) | ((F.col("since") == F.col("day")) & (F.col("earlier") < F.col("id")))
-    return met.where(in_order & (F.datediff("day", "since") <= days)).select("id", "earlier").distinct()
+    plain = clean_title(F.col("title"))
+    day = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    named = {"id": F.col("id").cast("long"), "at": day, "plain": F.lower(plain), "words": significant_tokens(F.col("title")), "own": significant_tokens(plain)}
+    row = F.named_struct(*(x for name, c in named.items() for x in (F.lit(name), c)))
+    rows = articles.select(row.alias("row"), F.floor(day / days).alias("span"), F.explode(F.array_distinct("target_keys")).alias("target"))
+    sizes = rows.groupBy("target", "span").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    dealt = rows.join(sizes, ["target", "span"]).withColumn("tile", F.pmod(F.xxhash64("row.id"), F.col("tiles")))
+    tiles = dealt.groupBy("target", "span", "tile").agg(F.collect_list("row").alias("rows"))
+    later = tiles.select("target", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("span"), F.col("rows").alias("later"))
+    met = later.join(tiles.select("target", "span", F.col("rows").alias("sooner")), ["target", "span"]).select("later", "sooner")
+    return met.mapInArrow(_near(days), "id long, earlier long").distinct()
+
+
+def _common(a: list, b: list) -> np.ndarray:
+    """How many elements each set of a has in common with each of b."""
+    places: dict = {}
+    marks = []
+    for sets in (a, b):
+        marks.append([[places.setdefault(x, len(places)) for x in s] for s in sets])
+    out = []
+    for sets in marks:
+        m = np.zeros((len(sets), len(places)), np.float32)
+        m[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([x for s in sets for x in s], np.int64)] = 1
+        out.append(m)
+    return (out[0] @ out[1].T).round().astype(np.int64)
+
+
+def _numbered(parts: list[str]) -> list[tuple]:
+    """Each part with the number of times that it occurred before: what two such sets have in common is what the multisets have."""
+    seen: Counter = Counter()
+    out = []
+    for x in parts:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+def _near(days: int) -> Callable:
+    least = GATE / WEAK  # the ratio of sequences that still gives GATE under two shared words
+
+    def of(rows: list, name: str) -> list:
+        return [r[name] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                a, b = batch.column("later")[at].as_py(), batch.column("sooner")[at].as_py()
+                (ids, day), (others, since) = ((np.array(of(x, "id"), np.int64), np.array(of(x, "at"), np.int64)) for x in (a, b))
+                gap = day[:, None] - since
+                open_ = (gap <= days) & ((gap > 0) | ((gap == 0) & (others < ids[:, None])))
+                own = _common(of(a, "own"), of(b, "own"))
+                union = np.array([len(x) for x in of(a, "own")])[:, None] + np.array([len(x) for x in of(b, "own")]) - own
+                taken = open_ & ((_common(of(a, "words"), of(b, "words")) >= 2) | (own >= 2) | (own >= GATE * np.maximum(union, 1)))
+                # What matches is `need` characters at least, in one block more than characters are left over at most; so many characters and neighbours the titles share.
+                texts, their = of(a, "plain"), of(b, "plain")
+                la, lb = np.array([len(x) for x in texts])[:, None], np.array([len(x) for x in their])
+                need = np.ceil(least * (la + lb) / 2 - 1e-6)
+                rest = open_ & ~taken & (la > 0) & (lb > 0) & (np.minimum(la, lb) >= need)
+                if rest.any():
+                    rest &= _common([_numbered(list(x)) for x in texts], [_numbered(list(x)) for x in their]) >= need
+                    pairs = [[_numbered([x[i : i + 2] for i in range(len(x) - 1)]) for x in side] for side in (texts, their)]
+                    rest &= _common(*pairs) >= 3 * need - (la + lb) - 1
+                    match = SequenceMatcher(None)
+                    for j in np.flatnonzero(rest.any(axis=0)):
+                        match.set_seq2(their[j])
+                        for i in np.flatnonzero(rest[:, j]):
+                            match.set_seq1(texts[i])
+                            taken[i, j] = match.ratio() * WEAK >= GATE - 1e-9
+                i, j = np.nonzero(taken)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j])], names=["id", "earlier"])
+
+    return run
 
 
 def follow(articles: DataFrame, days: int = DAYS, threshold: float = THRESHOLD) -> DataFrame:
     """(id, leader, score): the most similar earlier article, of equals the earliest."""
     titles = articles.select("id", "title", "summary")
     before = titles.select(F.col("id").alias("earlier"), F.col("title").alias("t"), F.col("summary").alias("s"))
-    pairs = shared_words(articles, days).join(titles, "id").join(before, "earlier")
-    score = F.greatest(similarity(F.col("title"), F.col("t")), 0.65 * similarity(F.col("summary"), F.col("s")))
-    best = pairs.select("id", "earlier", score.alias("score")).where(F.col("score") >= threshold).groupBy("id").agg(F.max(F.struct("score", -F.col("earlier"))).alias("b"))
+    pairs = candidates(articles, days).join(titles, "id").join(before, "earlier")
+    shared = F.size(F.array_intersect(significant_tokens(F.col("title")), significant_tokens(F.col("t"))))
+    of_titles = similarity(F.col("title"), F.col("t"))
+    score = F.greatest("of_titles", 0.65 * similarity(F.col("summary"), F.col("s")))
+    scored = pairs.withColumn("shared", shared).withColumn("of_titles", of_titles).where((F.col("shared") >= 2) | (F.col("of_titles") >= GATE)).select("id", "earlier", score.alias("score"))
+    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.max(F.struct("score", -F.col("earlier"))).alias("b"))
     return best.select("id", (-F.col("b.col2")).alias("leader"), F.col("b.score").alias("score"))
 
 
