@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
@@ -24,22 +26,46 @@ def test_each_operator_has_a_query():
 # --- BPE
 
 
-def test_bpe_is_that_of_the_library():
+LETTERS = "abcDEF  \n\t\r\x1c\x85\xa0\u3000\u2003 'stllveremd123éüñ漢字🙂.,!?-_\x00\x0b"
+
+
+@pytest.fixture(scope="module")
+def library():
     from tokenizers import Tokenizer
 
-    theirs, ours = Tokenizer.from_file(bpe.public_vocabulary()), bpe.Bpe(open(bpe.public_vocabulary(), encoding="utf-8").read())
+    return Tokenizer.from_file(bpe.public_vocabulary())
+
+
+def as_library(library, texts):
+    """(n_tokens, ids, decoded) of each text by the library."""
+    out = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [(len(x.ids), ",".join(map(str, x.ids)), library.decode(x.ids, skip_special_tokens=False)) for x in out]
+
+
+def test_bpe_is_that_of_the_library(library):
+    ours = bpe.Bpe(open(bpe.public_vocabulary(), encoding="utf-8").read())
     random.seed(1)
-    letters = "abcDEF  \n\t\r\x1c\x85\xa0 'stllveremd123éüñ漢字🙂.,!?-_​\x00\x0b"
-    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 60))) for _ in range(500)]
-    texts += ["<|endoftext|>a <|endoftext|>  b", "  ", "a  ", " \n a\n\n b", "x" * 3000, "I'll've don't 'S", " " * 700 + "a", "\n" * 40, "0007687190000"]
-    for (ids, decoded), want in zip(ours.run(texts), theirs.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert ids.decode() == ",".join(map(str, want.ids))
-        assert decoded.decode("utf-8", "replace") == theirs.decode(want.ids, skip_special_tokens=False)
+    texts = ["".join(random.choice(LETTERS) for _ in range(random.randint(0, 60))) for _ in range(3000)]
+    texts += ["<|endoftext|>a <|endoftext|>  b", "<|endof", "text|>", "<|endoftext|><|endoftext|> '", "  ", "a  ", " \n a\n\n b", "x" * 3000, "I'll've don't 'S", "it's's 're''s 'llx", " " * 700 + "a", "\n" * 40, "0007687190000", None]
+    for part in (texts, texts[-5:], [], [None], ["", ""]):
+        n, ids, decoded = ours.run(pa.array(part, pa.string()))
+        assert list(zip(n.tolist(), ids.to_pylist(), decoded.to_pylist(), strict=True)) == as_library(library, part)
+
+
+def test_bpe_query_is_that_of_the_library(spark, sf, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {d: (n, sha(ids), sha(text)) for d, (n, ids, text) in zip(texts, as_library(library, texts.values()), strict=True)}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op7_bpe(spark, sf).collect()} == want
 
 
-def test_bpe_of_null_and_repeated_rows(texts):
+def test_bpe_edges(spark, texts):
     rows = bpe.encode(texts([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a")]), bpe.public_vocabulary()).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in rows) == [(0, 1, "a"), (1, 0, ""), (2, 0, ""), (3, 2, "a b"), (3, 2, "a b")]
+    clash = spark.createDataFrame([(1, "a b " * 100_000, "x", 1)], "doc_id long, text string, ids string, n_tokens int")
+    (row,) = bpe.encode(clash, bpe.public_vocabulary()).collect()
+    assert row.decoded == "a b " * 100_000 and row.n_tokens == row.ids.count(",") + 1
+    assert bpe.encode(clash.limit(0), bpe.public_vocabulary()).count() == 0
 
 
 # --- URL filter
