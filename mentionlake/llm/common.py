@@ -119,15 +119,15 @@ def word_hashes(column: pa.Array, lower: bool = False, slice_bytes: int = 1_000_
     return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
 
 
-def hashed_texts(batches: Iterator[pa.RecordBatch], size: int, lower: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(first column, hashes of all words, words by row) of runs of rows that hold about `size` words."""
+def hashed_texts(batches: Iterator[pa.RecordBatch], size: int, lower: bool = False, rows: int = 1 << 30) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, hashes of all words, words by row) of runs of rows that hold about `size` words, and `rows` rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:  # six bytes a word
-            hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + size * 6, side="right")))
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + size * 6, side="right"))))
             yield batch.column(0).slice(lo, hi - lo), *word_hashes(batch.column(1).slice(lo, hi - lo), lower)
             lo = hi
 

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 from collections import defaultdict
 
 
@@ -65,24 +66,43 @@ def repeats(rows, window=20):
     return sorted(out, key=repr)
 
 
-def language_model(rows, histogram, fit, mixture, training):
-    """{doc_id: (n_tokens, n_known, score)}, with weights from the given functions."""
-    import numpy as np
-
-    texts = defaultdict(list)
-    for d, t in rows:
-        texts[d].append([*(t or "").encode().lower().split(), b""])
+def language_model(rows, training, rounds=60):
+    """[(doc_id, n_tokens, n_known, base_score, score)] of each row, and the number of training tokens: counts in dictionaries, weights by expectation-maximisation one cell after another."""
+    texts = [(d, [*(t or "").encode().lower().split(), b""]) for d, t in rows]
     one, two = defaultdict(int), defaultdict(int)
-    for d, many in texts.items():
-        for w in many if training(d) else ():
-            for a, b in zip([b"", *w], w, strict=False):
-                one[b] += 1
-                two[a, b] += 1
-    total, pairs = sum(one.values()), list(two)
-    cells = histogram(*(np.array(x, float) for x in ([two[p] for p in pairs], [one[a] for a, _ in pairs], [one[b] for _, b in pairs])), total)
-    mix = mixture(fit(*(cells.column(k).to_numpy() for k in range(4)), len(one)), total, len(one))
-    out = {}
-    for d, many in texts.items():
-        rows = [(two.get((a, b), 0), one.get(a, 0), one.get(b, 0)) for w in many for a, b in zip([b"", *w], w, strict=False)]
-        out[d] = (len(rows), sum(r[2] > 0 for r in rows), float(mix.log10(*np.array(rows, float).T).sum()))
+    for d, w in texts:
+        for a, b in zip([b"", *w], w, strict=False) if training(d) else ():
+            one[b] += 1
+            two[a, b] += 1
+    total, uniform = sum(one.values()), 1 / (len(one) + 1)
+    bucket = lambda c: c.bit_length()  # noqa: E731  0, then one for each power of two
+    on_grid = lambda a, b: round(8 * math.log2(a / b)) if a > 0 and b > 0 else None
+    value = lambda g: 0.0 if g is None else 2 ** (g / 8)
+    cells = defaultdict(int)
+    for (a, b), n in two.items():
+        cells[bucket(one[a] - 1), on_grid(n - 1, one[a] - 1), on_grid(one[b] - 1, total - 1)] += n
+
+    def climb(own, w):
+        for _ in range(rounds):
+            shares = [0.01] * 3
+            for (_, p3, p2), n in own:
+                parts = [w[0] * uniform, w[1] * value(p2), w[2] * value(p3)]
+                for k in range(3):
+                    shares[k] += n * parts[k] / sum(parts)
+            w = [x / sum(shares) for x in shares]
+        return w
+
+    whole = climb(cells.items(), [1 / 3] * 3) if cells else [1.0, 0.0, 0.0]
+    weights = {k: climb([c for c in cells.items() if c[0][0] == k], whole) for k in {c[0] for c in cells}}
+    none = weights.get(0, whole)
+    weights[0] = [none[0] / (none[0] + none[1]), none[1] / (none[0] + none[1]), 0.0]
+    out = []
+    for d, words in texts:
+        score = base = known = 0
+        for a, b in zip([b"", *words], words, strict=False):
+            w, c = weights.get(bucket(one.get(a, 0)), whole), one.get(b, 0)
+            score += math.log10(w[0] * uniform + (w[1] * c / total if total else 0) + (w[2] * two.get((a, b), 0) / one[a] if one.get(a) else 0))
+            base += math.log10((c + 0.5) / (total + 0.5 * (len(one) + 1)))
+            known += c > 0
+        out.append((d, len(words), known, base, score))
     return total, out

@@ -1,3 +1,5 @@
+import zlib
+
 import brute
 import pytest
 
@@ -57,15 +59,33 @@ def test_substring_dedup(docs, texts):
         assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got.collect()), key=repr) == brute.repeats(pairs(df))
 
 
-@pytest.mark.parametrize("common", [65_535, 50, 1])
-def test_lm_score(docs, texts, common):
+def held_out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("options", [{}, {"common_words": 50, "pairs": 40, "part_tokens": 3000}, {"common_words": 1, "pairs": 1, "part_tokens": 5000}])
+def test_lm_score(docs, texts, options):
     for df in (docs, texts(TOKENS)):
-        total, want = brute.language_model(pairs(df), lm_score.histogram, lm_score.fit, lm_score.Mixture, lm_score._is_training)
-        rows = lm_score.score_texts(df, common_words=common, chunk_tokens=20000).collect()
-        got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in rows}
-        assert got.keys() == want.keys() and {r.train_tokens for r in rows} == {total}
-        for d, (n, known, score) in want.items():
-            assert got[d][:2] == (n, known) and got[d][2] == pytest.approx(score, rel=1e-7)
+        total, want = brute.language_model(pairs(df), lambda d: not held_out(d))
+        rows = lm_score.score_texts(df, chunk_tokens=20000, **options).collect()
+        assert {r.train_tokens for r in rows} == {total} and all(r.held_out == held_out(r.doc_id) for r in rows)
+        order = lambda x: (x[0] is None, x[0] or 0, x[1:])
+        got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows), key=order)
+        assert len(got) == len(want)
+        for x, y in zip(got, sorted(want, key=order), strict=True):
+            assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], rel=1e-9) and x[4] == pytest.approx(y[4], rel=1e-5)
+
+
+def test_lm_with_clashing_columns_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a b " * 50_000, 1.0, "x"), (2, "a c", 2.0, "y"), (2, "b", 2.0, "y")], "doc_id int, text string, score double, chunk string")
+    got = {(r.doc_id, r.n_tokens) for r in lm_score.score_texts(df).collect()}
+    assert got == {(1, 100_001), (2, 3), (2, 2)}
+
+
+def test_lm_without_training_texts(texts):
+    (d,) = [d for d in range(20) if held_out(d)][:1]
+    (row,) = lm_score.score_texts(texts([(d, "a b")])).collect()
+    assert (row.n_known, row.train_tokens, row.score) == (0, 0, 0.0)
 
 
 def test_lm_beats_its_base_on_held_out_texts(docs):
