@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,21 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, however often (or in whatever lambda) it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the checkpoint folder, which all executors share: lineage ends here, and a lost executor loses nothing. Its files go with the folder."""
+    """df as a table in the checkpoint folder, which all executors share: lineage ends here, and a lost executor loses nothing. Its files go with the folder.
+
+    Without spark.checkpoint.dir, local sessions get a temporary folder; on a cluster, whose executors share none, that is an error.
+    """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="mentionlake-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/mentionlake-{uuid.uuid4().hex}"
@@ -43,20 +53,34 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_listed(df: DataFrame, of: DataFrame, bits: int, on: str = "doc_id") -> DataFrame:
-    """df with the column `listed`: true for every value of the column `on` that of (d) holds, and for few others. A bitmap of a fixed number of bits answers; so it may be sent to all tasks."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    maps = of.select(at(F.col("d")).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bitmap_bit_position(bit) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    found = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(bitmap_bit_position(bit) % 8 as int)")).bitwiseAND(1) == 1, F.lit(False))
-    probed = df.withColumn("bit", at(F.col(on))).withColumn("bucket", F.expr("bitmap_bucket_number(bit)"))
-    return probed.join(F.broadcast(maps), "bucket", "left").withColumn("listed", found).drop("bit", "bucket", "bitmap")
+#: Bits of a bitmap that is sent to all tasks: at most 32 MB.
+MOST_BITS = 1 << 28
+
 
+def maybe_among(df: DataFrame, keys: DataFrame, on: str = "doc_id", most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose value of the column `on` may be among keys (d), a settled table, and those whose value surely isn't.
 
-def without_ids(docs: DataFrame, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """docs but the rows whose doc_id is among ids (d). Only rows that the bitmap lists are shuffled."""
-    marked = maybe_listed(docs, ids, bits)
-    return marked.where("not listed").drop("listed").unionByName(marked.where("listed").drop("listed").join(ids, F.col("doc_id") == F.col("d"), "left_anti"))
+    A bitmap answers, of about 16 bits a key and `most_bits` at most; for so many keys that it would list nearly everything, all rows may be among them.
+    A null may be among keys that hold a null.
+    """
+    n = keys.count()
+    if n * 2 > most_bits:
+        return df, df.limit(0)
+    bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
+    bucket, bit, bitmap, listed = (f"__maybe_{k}" for k in ("bucket", "bit", "bitmap", "listed"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = keys.select(at(F.col("d")).alias(bit)).groupBy(F.expr(f"bitmap_bucket_number({bit})").alias(bucket)).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias(bitmap))
+    byte = F.ascii(F.decode(F.expr(f"substring({bitmap}, cast(bitmap_bit_position({bit}) div 8 + 1 as int), 1)"), "ISO-8859-1"))
+    found = F.coalesce(F.call_function("shiftright", byte, F.expr(f"cast(bitmap_bit_position({bit}) % 8 as int)")).bitwiseAND(1) == 1, F.lit(False))
+    marked = df.withColumn(bit, at(F.col(on))).withColumn(bucket, F.expr(f"bitmap_bucket_number({bit})")).join(F.broadcast(maps), bucket, "left").withColumn(listed, found)
+    return marked.where(listed).select(*(f"`{c}`" for c in df.columns)), marked.where(f"not {listed}").select(*(f"`{c}`" for c in df.columns))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but the rows whose doc_id is among ids (d), a settled table. Only rows that a bitmap lists are shuffled."""
+    listed, others = maybe_among(docs, ids)
+    gone = ids.select(F.col("d").alias("__gone_id"))
+    return others.unionByName(listed.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti"))
 
 
 def corpus_chars(docs: DataFrame) -> int:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import maybe_listed, settled, stream_groups, table, word_hashes
+from mentionlake.llm.common import maybe_among, settled, stream_groups, table, word_hashes
 from mentionlake.llm.substring_dedup import window_hashes
 
 SHINGLE = 5
@@ -37,7 +37,6 @@ SMALL = 2000
 BLOCK = 2000
 DEPTH = 4
 BINS = 32
-LISTED_BITS = 1 << 25
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -232,7 +231,7 @@ def by_group(rows: DataFrame, *keys: str) -> DataFrame:
 
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows (id, ...) with the text of each id. Texts that no row asks for are not shuffled."""
-    listed = maybe_listed(docs, rows.select(F.col("id").alias("d")), LISTED_BITS).where("listed").select(F.col("doc_id").alias("id"), "text")
+    listed = maybe_among(docs, rows.select(F.col("id").alias("d")))[0].select(F.col("doc_id").alias("id"), "text")
     return rows.join(listed, "id")
 
 
@@ -262,9 +261,9 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     # One text for each class: those of later copies are left out, those that repeat a row are taken once.
     later = members.join(classes.where("copies > 1"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), (F.col("doc_id") != F.col("id")).alias("later"), "copies")
     later = settled(later.groupBy("d").agg(F.max("later").alias("later")))
-    marked = maybe_listed(docs, later, LISTED_BITS)
-    some = marked.where("listed").join(later, F.col("doc_id") == F.col("d"), "left").where("not coalesce(later, false)").select("doc_id", "text").dropDuplicates(["doc_id"])
-    single = marked.where("not listed").select("doc_id", "text").union(some).where("doc_id is not null")
+    listed, others = maybe_among(docs, later)
+    some = listed.join(later, F.col("doc_id") == F.col("d"), "left").where("not coalesce(later, false)").select("doc_id", "text").dropDuplicates(["doc_id"])
+    single = others.select("doc_id", "text").union(some).where("doc_id is not null")
 
     rows = single.mapInArrow(_choose(size, choices, runs_needed(recall, threshold, choices, depth)), ROWS)
     found = None

@@ -24,14 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import corpus_chars, hashed_texts, maybe_listed, powers, runs, settled, table, words_of
+from mentionlake.llm.common import corpus_chars, hashed_texts, maybe_among, powers, runs, settled, table, words_of
 
 WINDOW = 20
 DEPTH = 2
 MAX_BITS = 29
 SEGMENT_BITS = 22
 CHUNK_WORDS = 1_000_000
-LISTED_BITS = 1 << 25  # of the bitmap of documents with repeats, 4 MB: only their texts are shuffled
 SKETCHED = 6_000_000  # windows that a task sketches together
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -310,9 +309,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     """(doc_id, n_words, n_removed, kept): kept is the text of the words that stay, joined by spaces, in UTF-8."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs, window, **options).select(F.when(F.col("doc_id") != int(LAST), F.col("doc_id")).alias("d"), "starts")
-    marked = maybe_listed(docs, starts, LISTED_BITS)
-    some = marked.where("listed").join(starts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "starts")
-    rest = marked.where("not listed").select("doc_id", "text", F.lit(None).cast("binary").alias("starts"))
+    listed, others = maybe_among(docs, starts)  # only texts that repeat something are shuffled
+    some = listed.join(starts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "starts")
+    rest = others.select("doc_id", "text", F.lit(None).cast("binary").alias("starts"))
     return some.union(rest).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 

@@ -38,9 +38,12 @@ def jaccard(rows, size=5, threshold=0.8):
 
 def lines_gone(rows, least_words=5):
     lines = sorted((place(d, k), d, k, tuple(words(line))) for d, t in rows for k, line in enumerate((t or "").split("\n")))
-    lines = [x for x in lines if len(x[3]) >= least_words]
     whole, cut, swapped, gone = {}, {}, {}, set()
     for at, d, k, w in lines:
+        if len(w) < least_words:  # no neighbours; blank lines stay
+            if w and whole.setdefault(w, at) < at:
+                gone.add((d, k))
+            continue
         shorter = [w[:i] + w[i + 1 :] for i in range(len(w))]
         met = [whole.get(w), cut.get(w), *(whole.get(s) for s in shorter), *(swapped.get((i, s)) for i, s in enumerate(shorter))]
         if any(m is not None and m < at for m in met):
