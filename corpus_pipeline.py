@@ -5,48 +5,50 @@ Every stage but the last takes and returns the columns of documents. ``STAGES``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.llm import bpe, toxicity
 from mentionlake.llm.common import settled, table, without_ids
 from mentionlake.llm.jaccard_join import jaccard_join
 from mentionlake.llm.line_dedup import dedup_lines
-from mentionlake.llm.mixing import mix_sources, position
+from mentionlake.llm.mixing import training_order
+
+#: Helper columns, named so that no column of documents clashes with them.
+SCORE, LINES = "__stage_score", ("__stage_lines", "__stage_removed", "__stage_kept")
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more go; the models learn from the labels that op5 may learn from."""
+    """Documents scored 0.7 or more go; the models learn from the labels that op5 may learn from. Rows that repeat a document are scored each; one without text has the score of an empty text."""
     labels = toxicity.learnable(table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, *toxicity.train(docs, labels)).where(F.col("likely_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, *toxicity.train(docs, labels), into=SCORE).where(F.col(SCORE) < toxicity.THRESHOLD).select(*columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go. A document of which nothing but white space is left goes too; one that was empty before stays."""
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return cleaned.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns)
+    """Repeated and nearly repeated lines go. A document of which nothing but white space is left goes too; one that was empty before stays, as do all texts that lose no line."""
+    cleaned = dedup_lines(docs, names=LINES).where((F.col(LINES[1]) == 0) | F.col(LINES[2]).rlike(r"\S"))
+    changed = F.col(LINES[1]) > 0
+    chars = F.when(changed, F.length(LINES[2]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", chars).withColumn("text", F.when(changed, F.col(LINES[2])).otherwise(F.col("text"))).select(*columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more, directly or through others, the one with the smallest doc_id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more, directly or through others, the one with the smallest doc_id stays, with all rows that repeat that doc_id; null doc_ids and texts without words stay."""
     gone = settled(jaccard_join(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("d")).distinct())
-    return without_ids(docs, gone).select(*docs.columns)
+    return without_ids(docs, gone).select(*columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights, in training order: a document once for each time it is taken, and not at all if it isn't. The document on which a source's demand ends is taken whole if half of it is wanted."""
-    plan = mix_sources(docs).withColumn("last", F.col("taken") - F.col("epochs") * F.col("size"))
-    copies = (F.col("epochs") + ((F.col("last") > 0) & (F.col("last") * 2 >= F.col("size"))).cast("long")).cast("int")
-    plan = plan.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    plan = plan.select(F.col("doc_id").alias("d"), "copy", F.when(F.col("target") > 0, position(F.col("copy"))).alias("at")).dropDuplicates(["d", "copy"])
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("d")))
-    return taken.sort(F.col("at").asc_nulls_last(), "doc_id").select(*docs.columns)
+    """The sources at their target weights, in training order: a document once for each time it is taken, and not at all if it isn't. Repeated rows are rows of their own; empty texts are never taken."""
+    return training_order(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of the mix."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of the mix; a null text is an empty one."""
     return bpe.digests(bpe.encode(docs, bpe.public_vocabulary()))
 
 

@@ -167,8 +167,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return hot.unionByName(rest).where(F.col("all") | (F.col("place") > F.col("first"))).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the columns n_lines, n_removed and kept (the text without the lines that go)."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_removed", "kept")) -> DataFrame:
+    """docs with three more columns: the number of lines, that of the lines that go, and the text without them."""
     gone = settled(repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone_lines")))
     every = text_lines(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(GONE))
@@ -177,9 +177,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     some = listed.join(gone.select(F.col("d").alias(f"{GONE}_id"), F.col("gone_lines").alias(GONE)), F.col("doc_id").eqNullSafe(F.col(f"{GONE}_id")), "left").drop(f"{GONE}_id")
     return (
         some.unionByName(rest.withColumn(GONE, F.lit(None).cast("array<int>")))
-        .withColumn("n_lines", F.size(every).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size(GONE), F.lit(0)).cast("long"))
-        .withColumn("kept", F.when(F.col(GONE).isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
+        .withColumn(names[0], F.size(every).cast("long"))
+        .withColumn(names[1], F.coalesce(F.size(GONE), F.lit(0)).cast("long"))
+        .withColumn(names[2], F.when(F.col(GONE).isNull(), F.coalesce("text", F.lit(""))).otherwise(kept))
         .drop(GONE)
     )
 

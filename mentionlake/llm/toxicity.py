@@ -164,7 +164,7 @@ def _measures(models: Models, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _measured(model, finish: Callable | None) -> Callable:
+def _measured(model, finish: Callable | None, into: str = "") -> Callable:
     """Appends the measures of the column text, or what finish makes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def _measured(model, finish: Callable | None) -> Callable:
                     end += 1
                 x = _measures(model.value, texts[at:end])
                 more = [pa.array(finish(x))] if finish else [pa.array(np.ascontiguousarray(c)) for c in x.T]
-                names = ["likely_toxic"] if finish else [f"m{k}" for k in range(len(more))]
+                names = [into] if finish else [f"m{k}" for k in range(len(more))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), *more], names=[*batch.schema.names, *names])
                 at = end
 
@@ -245,10 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int =
     return models, Constant(float(share or 0.0))
 
 
-def score(docs: DataFrame, models: Models, curve: Callable) -> DataFrame:
-    """docs with the column likely_toxic, from 0 to 1."""
+def score(docs: DataFrame, models: Models, curve: Callable, into: str = "likely_toxic") -> DataFrame:
+    """docs with one more column, from 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_measured(sent, curve), StructType([*docs.schema.fields, StructField("likely_toxic", DoubleType())]))
+    return docs.mapInArrow(_measured(sent, curve, into), StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def learnable(labels: DataFrame) -> DataFrame:

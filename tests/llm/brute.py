@@ -1,7 +1,8 @@
 """Plain versions of the operators, for small inputs."""
 
+import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 
 def words(text):
@@ -109,3 +110,47 @@ def language_model(rows, training, rounds=60):
             known += c > 0
         out.append((d, len(words), known, base, score))
     return total, out
+
+
+def mix_targets(sizes, weights=(5, 2, 1), most=3):
+    """{source: target} from {source: size}: what is above most times a size is shared anew until none is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        left = total - sum(most * sizes[s] for s in full)
+        share = sum(w for s, w in weight.items() if s not in full)
+        target = {s: most * sizes[s] if s in full else left * weight[s] / share for s in order}
+        above = {s for s in order if s not in full and target[s] > most * sizes[s]}
+        if not above:
+            return target
+        full |= above
+
+
+def mixed(rows, seed="mix-1"):
+    """How often each doc_id is taken into the mix, from rows (doc_id, text, source)."""
+    streams, taken = defaultdict(list), Counter()
+    for d, t, source in rows:
+        turn = hashlib.md5(f"{seed}{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:16]
+        streams[source].append((turn, len(words(t)), d))
+    targets = mix_targets({s: sum(x[1] for x in own) for s, own in streams.items()})
+    for source, own in streams.items():
+        size, demand = sum(x[1] for x in own), math.floor(targets[source] + 0.5)
+        rest = demand - demand // size * size if size else 0
+        groups, start = defaultdict(list), 0
+        for x in own:
+            groups[x[0]].append(x)
+        for turn in sorted(groups):
+            n = sum(x[1] for x in groups[turn])
+            more = rest > start and 2 * (rest - start) >= n
+            for _, k, d in groups[turn]:
+                if k:
+                    taken[d] += demand // size + more
+            start += n
+    return +taken
+
+
+def library_tokens(vocabulary, texts):
+    from tokenizers import Tokenizer
+
+    return [len(x.ids) for x in Tokenizer.from_file(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)]
