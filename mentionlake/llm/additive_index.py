@@ -10,8 +10,8 @@ the score. The ``SHORTLIST`` best of each block of the index are scored exactly,
 The codebooks are fitted on ``SAMPLE`` vectors at most (those with the smallest hash of vec_id), so what is sent to the tasks is bounded. Every
 vector is indexed and every query meets every block. Queries and index are packed in blocks; a task holds one block of each.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from most take no part, neither as queries nor
-as candidates. Rows that repeat a vec_id count once. Fewer candidates than asked for: all of them. Other columns are not looked at.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, neither as queries nor as candidates; vectors meet those
+of their own length. Rows that repeat a vec_id count once. Fewer candidates than asked for: all of them. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.llm.common import settled, table
-from mentionlake.llm.vectors import blocks, clean, matrix, nearest_per_query, result, unpack
+from mentionlake.llm.vectors import blocks, by_length, clean, matrix, nearest_per_query, result, unpack
 
 BOOKS, ENTRIES, BEAM = 12, 256, 4
 SAMPLE = 8192
@@ -147,4 +147,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, shortlist:
 
 def op4_additive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = settled(clean(table(spark, sf_dir, "embeddings"), zero=False))
-    return search(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+    return by_length(search, vectors, vectors.where(F.col("vec_id") % EVERY == 0))

@@ -7,8 +7,9 @@ with the box's two ends. The traversal takes the node with the greatest bound fi
 A query visits the shard that its own hash names first. Its k-th score there goes with it to all other shards, where only better boxes (or equal ones:
 ties go to the smaller vec_id) are opened. Queries and shards are packed in blocks; a task holds one of each.
 
-Defined results: vectors that are null, hold null or non-finite components, or differ in length from most take no part. Rows that repeat a vec_id
-count once. Fewer candidates than asked for: all of them. Scores are exact up to 2^63. Other columns are not looked at.
+Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet those of their own length. Rows that repeat a vec_id
+count once. Fewer candidates than asked for: all of them. Scores are exact; those that a 64-bit integer can't hold are given as its ends, where ties go
+to the smaller vec_id. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.llm.common import settled, table
-from mentionlake.llm.vectors import blocks, clean, nearest_per_query, result, unpack
+from mentionlake.llm.vectors import blocks, by_length, clean, nearest_per_query, result, unpack
 
 SHARD, QUERY_BLOCK, LEAF = 8192, 1024, 128
 NEAREST, EVERY, SCALE = 5, 50, 256
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class Tree:
@@ -51,13 +53,21 @@ class Tree:
             k += 1
         self.low, self.high = np.stack(low), np.stack(high)
         self.rows = x[self.order]
+        self.largest = np.abs(x).max(initial=0)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """For each query and node: no vector of the node has a greater inner product. A little is added for rounding."""
+        """For each query and node: no vector of the node has a greater inner product. A little is added for rounding, by the size of what is summed up."""
         b = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        return b + np.abs(b) * 1e-12
+        return b + np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high)).T * 1e-12
 
-    def best(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, own: int, k: int, reach: float) -> list[tuple[float, int]]:
+    def scores(self, a: int, b: int, q: np.ndarray) -> np.ndarray:
+        """Exact inner products with the rows a to b: as doubles where these hold all of it, else as integers, held at the ends of 64 bits."""
+        if self.largest * np.abs(q).sum() < 2**53:
+            return self.rows[a:b] @ q
+        exact = (sum(int(x) * int(y) for x, y in zip(row, q.tolist(), strict=True)) for row in self.rows[a:b].tolist())
+        return np.array([min(max(s, LEAST), MOST) for s in exact], object)
+
+    def best(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, own: int, k: int, reach: float | int) -> list[tuple[float, int]]:
         """The k best (score, -id) but own, opening no box whose bound is below reach or the k-th score so far."""
         top: list[tuple[int, int]] = []
         heap = [(-bounds[0], 0)]
@@ -69,7 +79,7 @@ class Tree:
                         heapq.heappush(heap, (-bounds[c], c))
                 continue
             a, b = self.ranges[node]
-            scores = self.rows[a:b] @ q
+            scores = self.scores(a, b, q)
             for j in np.flatnonzero(scores >= reach):
                 i = int(ids[self.order[a + j]])
                 if i != own:
@@ -92,7 +102,7 @@ def _search(k: int) -> Callable:
                     (ids, x), last = unpack(s_ids, s_vectors), block
                     tree = Tree(x)
                 qi, q = unpack(q_ids, q_vectors)
-                reached = np.frombuffer(reach, np.float64) if reach else np.full(len(qi), -np.inf)
+                reached = [-np.inf if r == LEAST else r for r in np.frombuffer(reach, np.int64).tolist()] if reach else [-np.inf] * len(qi)
                 bounds = tree.bounds(q)
                 out: tuple[list, list, list] = ([], [], [])
                 for j, own in enumerate(qi.tolist()):
@@ -111,7 +121,7 @@ def _with_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from mentionlake.llm.vectors import matrix
 
     for (block,), g in stream_groups(batches, 1):
-        pack = [g.column("vec_id").to_numpy().tobytes(), np.ascontiguousarray(matrix(g.column("v"))).tobytes(), g.column("reach").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
+        pack = [g.column("vec_id").to_numpy().tobytes(), np.ascontiguousarray(matrix(g.column("v"))).tobytes(), g.column("reach").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([p], pa.binary()) for p in pack)], names=["home", "q_ids", "q_vectors", "reach"])
 
 
@@ -121,14 +131,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
     shards = settled(shards)
     home = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     found = "query_id long, vec_id long, score long"
-    dealt = queries.select(home.alias("block"), "vec_id", "v", F.lit(float("-inf")).alias("reach")).repartition("block").sortWithinPartitions("block")
+    dealt = queries.select(home.alias("block"), "vec_id", "v", F.lit(LEAST).alias("reach")).repartition("block").sortWithinPartitions("block")
     packed = "home int, q_ids binary, q_vectors binary, reach binary"
     columns = ("block", "q_ids", "q_vectors", "reach", "ids", "vectors")
     first = dealt.mapInArrow(_with_reach, packed).withColumnRenamed("home", "block").join(shards, "block").select(*columns)
     near = settled(first.mapInArrow(_search(k), found))
     reach = near.groupBy("query_id").agg(F.count("score").alias("n"), F.min("score").alias("least"))
     known = queries.join(reach, queries["vec_id"] == reach["query_id"], "left")
-    known = known.select(home.alias("block"), "vec_id", "v", F.when(F.col("n") == k, F.col("least").cast("double")).otherwise(float("-inf")).alias("reach"))
+    known = known.select(home.alias("block"), "vec_id", "v", F.when(F.col("n") == k, F.col("least")).otherwise(LEAST).alias("reach"))
     asked = known.repartition("block").sortWithinPartitions("block").mapInArrow(_with_reach, packed)
     others = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where("block <> home")
     rest = others.join(shards, "block").select(*columns).mapInArrow(_search(k), found)
@@ -141,7 +151,7 @@ def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def op6_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = settled(whole(clean(table(spark, sf_dir, "embeddings"), zero=True)))
-    return search(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
+    return by_length(search, vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
 
 ORACLE = r"""

@@ -7,9 +7,9 @@ An expression too rare to be counted in one class is so judged by the shared cou
 The difference of the log-likelihoods is normalised by length, over the whole text, over the worst stretch of ten words and by the word, so that a few
 insults show in a text of any length. A logistic curve over these, fitted on labelled texts that the models haven't seen, gives the score.
 
-Bounds, all of them parameters: the models and the curve are fitted on ``sample`` labelled texts of each class at most (those with the smallest hash of
-doc_id; where that changes their odds, the curve is moved back to the odds among all labels), and keep at most ``grams`` character sequences
-(the most frequent). So what is sent to the tasks is bounded. Every word of every text is scored.
+One bound, a parameter: the models and the curve are fitted on ``sample`` labelled texts of each class at most (those with the smallest hash of doc_id;
+where that changes their odds, the curve is moved back to the odds among all labels). So what is sent to the tasks doesn't grow with the corpus. All
+character sequences of those texts are kept, and every word of every text is scored. Words are cut at Unicode's white space and lower-cased.
 
 Defined results: a null text is empty; an empty text has no words and gets the score of the curve there. Labels other than 0 and 1, or null, are
 not learned from; of several labels for one document the highest counts. Without labels of both classes the score is the share of toxic ones
@@ -31,7 +31,6 @@ from mentionlake.llm.common import table
 ORDER = 5
 DISCOUNT = 0.75
 SAMPLE = 3000
-GRAMS = 1_000_000
 STRETCH = 10
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -59,10 +58,24 @@ def _mix(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().replace(START, "").replace(STOP, "").split()
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts in toxic and ordinary texts."""
+    for batch in batches:
+        counts: dict[str, list[int]] = {}
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for w in words_of(text):
+                counts.setdefault(w, [0, 0])[1 - toxic] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["word", "toxic", "ordinary"])
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of character sequences, from distinct words with their counts in toxic and ordinary texts."""
     for batch in batches:
-        words = [w.replace(START, "").replace(STOP, "") for w in batch.column("word").to_pylist()]
+        words = batch.column("word").to_pylist()
         points, at = _points(words)
         owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
         rows = np.stack([points[at - k].astype(np.int32) for k in range(ORDER - 1, -1, -1)])
@@ -144,7 +157,7 @@ def _measures(models: Models, texts: list[str]) -> np.ndarray:
     numbers = _Numbers()
     flat, lengths = [], []
     for t in texts:
-        words = t.lower().replace(START, "").replace(STOP, "").split()
+        words = words_of(t)
         lengths.append(len(words))
         flat += [numbers[w] for w in words]
     lengths = np.array(lengths, np.int64)
@@ -217,7 +230,7 @@ def prior_shift(toxic: int, ordinary: int, sample: int) -> float:
     return float(np.log(toxic / ordinary) - np.log(min(toxic, sample) / min(ordinary, sample)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple[Models, Callable]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Models, Callable]:
     """The models and the curve, from docs (doc_id, text) and labels (doc_id, toxic); the caller has left out what may not be learned from."""
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -228,12 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grams: int =
     picked = picked.select(F.col("doc_id").alias("d"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("late"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("d"))
     texts = texts.select("text", "toxic", "late").persist()
-    words = texts.where(~F.col("late")).select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counted = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
+    words = texts.where(~F.col("late")).select("toxic", "text").mapInArrow(_words, "word string, toxic long, ordinary long")
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     kinds = [f"c{k}" for k in range(ORDER)]
     sequences = counted.mapInArrow(_grams, ", ".join(f"{k} int" for k in kinds) + ", toxic long, ordinary long")
-    summed = sequences.groupBy(*kinds).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    top = summed.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), *kinds).limit(grams).toArrow()
+    top = sequences.groupBy(*kinds).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()  # of the sample alone
     models = Models(np.stack([top.column(k).to_numpy() for k in kinds]), *(top.column(k).to_numpy() for k in ("toxic", "ordinary")))
     sent = spark.sparkContext.broadcast(models)
     rows = texts.where("late").select("toxic", "text").mapInArrow(_measured(sent, None), "toxic int, text string, m0 double, m1 double, m2 double, m3 double").drop("text").toArrow()

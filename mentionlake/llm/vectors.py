@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,19 @@ PACK = "block int, ids binary, vectors binary"
 
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, v): the vectors without null or non-finite components, of the commonest length (of several the greatest), and, if zero is false, not all zero. Of rows that repeat a vec_id the smallest vector stays; null ids take no part."""
+    """(vec_id, v): the vectors without null or non-finite components, and, if zero is false, not all zero. Of rows that repeat a vec_id the smallest vector stays; null ids take no part."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
     if not zero:
         good = good.where(F.exists("v", lambda x: x != 0))
-    common = good.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
-    return good.where(F.size("v") == (common["length"] if common else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.where(F.size("v") > 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def by_length(search: Callable[[DataFrame, DataFrame], DataFrame], vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """What search(vectors, queries) finds among vectors of each length; there are few lengths."""
+    lengths = [r[0] for r in vectors.groupBy(F.size("v")).count().collect()] or [0]
+    of = lambda df, n: df.where(F.size("v") == n)
+    return reduce(DataFrame.unionByName, (search(of(vectors, n), of(queries, n)) for n in sorted(lengths)))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

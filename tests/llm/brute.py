@@ -154,3 +154,43 @@ def library_tokens(vocabulary, texts):
     from tokenizers import Tokenizer
 
     return [len(x.ids) for x in Tokenizer.from_file(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def kneser_ney(counts, asked, order=5, discount=0.75):
+    """log p(toxic) - log p(ordinary) of the asked words, from {word: (toxic, ordinary)}: sums of characters after order - 1 others, lower orders by continuation counts of both classes."""
+    padded = lambda w: ["^"] * (order - 1) + list(w) + ["$"]
+    grams = lambda w: [tuple(padded(w)[k - order + 1 : k + 1]) for k in range(order - 1, len(padded(w)))]
+    seen = [defaultdict(int), defaultdict(int)]
+    for w, both in counts.items():
+        for g in grams(w):
+            for k in (0, 1):
+                seen[k][g] += both[k]
+    every = {g for g in [*seen[0], *seen[1]]}
+
+    def shared(g):
+        p = 1 / 4096
+        for n in range(1, order):
+            longer = {x[-n - 1 :] for x in every}
+            tail, head = g[-n:], g[-n:-1] if n > 1 else ()
+            same_head = [x for x in longer if x[1:-1] == head]
+            count, total, kinds = sum(x[1:] == tail for x in same_head), len(same_head), len({x[1:] for x in same_head})
+            p = max(count - discount, 0) / total + discount * kinds / total * p
+        return p
+
+    lower = {g: shared(g) for g in every}
+    totals, kinds = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)]
+    for k in (0, 1):
+        for g, n in seen[k].items():
+            totals[k][g[:-1]] += n
+            kinds[k][g[:-1]] += n > 0
+    contexts = {g[:-1] for g in every}
+    left = lambda k, c: discount * kinds[k][c] / totals[k][c] if totals[k][c] else 1.0
+
+    def one(g):
+        c = g[:-1]
+        if g in every:
+            p = [(max(seen[k][g] - discount, 0) / totals[k][c] if totals[k][c] else 0) + left(k, c) * lower[g] for k in (0, 1)]
+            return math.log(p[0]) - math.log(p[1])
+        return math.log(left(0, c)) - math.log(left(1, c)) if c in contexts else 0.0
+
+    return [sum(map(one, grams(w))) for w in asked]

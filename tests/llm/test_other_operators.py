@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mentionlake.llm import additive_index, bpe, kd_search, mixing, toxicity, url_filter
 from mentionlake.llm.queries import ORACLES, QUERIES
-from mentionlake.llm.vectors import clean
+from mentionlake.llm.vectors import by_length, clean
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -137,14 +138,26 @@ EDGES = [(0, [1.0, 2.0], 1), (20, [1.0, 2.0], 1), (40, None, 1), (60, [float("na
 def test_vector_edges(spark):
     df = spark.createDataFrame(EDGES, VECTORS)
     v = clean(df, zero=False)
-    assert sorted(r.vec_id for r in v.collect()) == [0, 1, 20]
-    got = additive_index.search(v, v.where("vec_id % 20 = 0")).collect()
+    assert sorted(r.vec_id for r in v.collect()) == [0, 1, 2, 20]
+    got = by_length(additive_index.search, v, v.where("vec_id % 20 = 0")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 5.0), (0, 2, 20, 5.0), (20, 1, 0, 5.0), (20, 2, 1, 5.0)]
     w = kd_search.whole(clean(df, zero=True))
-    got = kd_search.search(w, w.where("vec_id % 50 = 0")).collect()
+    got = by_length(kd_search.search, w, w.where("vec_id % 50 = 0")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 327680), (0, 2, 20, 327680), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0), (100, 3, 20, 0)]
     empty = clean(df.limit(0), zero=True)
-    assert kd_search.search(empty, empty).count() == 0 and additive_index.search(empty, empty).count() == 0
+    assert by_length(kd_search.search, empty, empty).count() == 0 and by_length(additive_index.search, empty, empty).count() == 0
+
+
+def test_kd_search_beyond_doubles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [int(x) for x in rng.integers(-(10**9), 10**9, 8)]) for k in range(300)] + [(300, [2**62] * 8), (301, [2**62] * 8)]
+    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in rows], "vec_id long, v array<double>")
+    want = []
+    for q, x in rows[::50]:
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(int(float(a)) * int(float(b)) for a, b in zip(x, y, strict=True)))), k) for k, y in rows if k != q)
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scores[:5])]
+    got = kd_search.search(v, v.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
 def test_kd_search_over_many_shards(spark, monkeypatch):
@@ -178,3 +191,26 @@ def test_toxicity_without_labels(spark, texts):
     none = spark.createDataFrame([(9, 1)], "doc_id long, toxic int").limit(0)
     got = toxicity.score(docs, *toxicity.train(docs, none)).collect()
     assert len(got) == 4 and {r.likely_toxic for r in got} == {0.0}
+
+
+def test_toxicity_models_are_plain_kneser_ney():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(200)]
+    counts = {w: (rng.randint(0, 3), rng.randint(1, 9)) for w in words}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(counts)), *(pa.array([c[k] for c in counts.values()]) for k in (0, 1))], names=["word", "toxic", "ordinary"])
+    (grams,) = toxicity._grams([batch])
+    models = toxicity.Models(np.stack([c.to_numpy() for c in grams.columns[: toxicity.ORDER]]), *(grams.column(k).to_numpy() for k in ("toxic", "ordinary")))
+    asked = [*words[:50], "zzz", "abcde", "", "a"]
+    assert models.words(asked) == pytest.approx(brute.kneser_ney(counts, asked), abs=1e-4)
+
+
+def test_toxicity_edges(spark):
+    rows = [(k, ("vile words here " if k % 3 == 0 else "kind words there ") * 3, "x", 0.5) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (3, "vile words here", "x", 0.5), (3, "vile words here", "x", 0.5), (61, "kind words there " * 50_000, "x", 0.5), (62, None, "x", 0.5), (None, "", "x", 0.5)], "doc_id long, text string, word string, m0 double")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(5, None), (None, 1), (7, 5)], "doc_id long, toxic int")
+    models = toxicity.train(docs, labels)
+    got = toxicity.score(docs, *models).collect()
+    assert len(got) == 65 and all(0 <= r.likely_toxic <= 1 and r.m0 == 0.5 for r in got)
+    by = {r.doc_id: r.likely_toxic for r in got}
+    assert by[3] > by[61] and by[62] == by[None]
+    assert toxicity.score(docs.limit(0), *models).count() == 0
