@@ -60,13 +60,13 @@ MOST_BITS = 1 << 28
 def maybe_among(df: DataFrame, keys: DataFrame, on: str = "doc_id", most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose value of the column `on` may be among keys (d), a settled table, and those whose value surely isn't.
 
-    A bitmap answers, of about 16 bits a key and `most_bits` at most; for so many keys that it would list nearly everything, all rows may be among them.
+    A bitmap answers, of about 64 bits a key and `most_bits` at most; for so many keys that it would list nearly everything, all rows may be among them.
     A null may be among keys that hold a null.
     """
     n = keys.count()
     if n * 2 > most_bits:
         return df, df.limit(0)
-    bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
+    bits = min(most_bits, max(1 << 15, 1 << (64 * n).bit_length()))
     bucket, bit, bitmap, listed = (f"__maybe_{k}" for k in ("bucket", "bit", "bitmap", "listed"))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
     maps = keys.select(at(F.col("d")).alias(bit)).groupBy(F.expr(f"bitmap_bucket_number({bit})").alias(bucket)).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias(bitmap))

@@ -117,7 +117,7 @@ def near_candidates(docs: DataFrame, uniq: DataFrame) -> DataFrame:
     chosen = settled(met.groupBy(F.col("h1").alias("d"), F.col("place").alias("p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("code"))).alias("codes")))
     # The words of the chosen lines, read again; of all others the bitmap lists few.
     listed = maybe_among(canonical_lines(docs).select("h1", place_of(F.col("doc_id"), F.col("line_no")).alias("place"), "line"), chosen, "h1")[0]
-    own = listed.join(chosen, (F.col("h1") == F.col("d")) & (F.col("place") == F.col("p")))
+    own = listed.join(chosen.hint("merge"), (F.col("h1") == F.col("d")) & (F.col("place") == F.col("p")))
     return settled(own.dropDuplicates(["place"]).select("place", "codes", F.split("line", " ").alias("words")))
 
 
@@ -174,7 +174,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, s
     left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(GONE))
     kept = let(every, lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     listed, rest = maybe_among(docs, gone)
-    some = listed.join(gone.select(F.col("d").alias(f"{GONE}_id"), F.col("gone_lines").alias(GONE)), F.col("doc_id").eqNullSafe(F.col(f"{GONE}_id")), "left").drop(f"{GONE}_id")
+    lines = gone.select(F.col("d").alias(f"{GONE}_id"), F.col("gone_lines").alias(GONE)).hint("merge")  # grows with the corpus
+    some = listed.join(lines, F.col("doc_id").eqNullSafe(F.col(f"{GONE}_id")), "left").drop(f"{GONE}_id")
     return (
         some.unionByName(rest.withColumn(GONE, F.lit(None).cast("array<int>")))
         .withColumn(names[0], F.size(every).cast("long"))
