@@ -36,8 +36,8 @@ SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: What follows an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Bytes that the cache of words may hold, about; pairs of tokens that the other one may.
-CACHE = 150_000_000
-APART = 1_000_000
+CACHE = 60_000_000
+APART = 400_000
 NEVER = 1 << 40
 GROUP_BYTES = 8_000_000
 

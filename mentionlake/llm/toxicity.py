@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -34,7 +35,7 @@ SAMPLE = 3000
 STRETCH = 10
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-CHUNK_WORDS = 1_000_000
+CHUNK_BYTES = 1_500_000
 START, STOP = "\x02", "\x03"
 
 
@@ -182,14 +183,12 @@ def _measured(model, finish: Callable | None, into: str = "") -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            text = batch.column("text")
+            ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and held < CHUNK_WORDS * 6:
-                    held += len(texts[end])
-                    end += 1
-                x = _measures(model.value, texts[at:end])
+            while at < len(text):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+                x = _measures(model.value, [t or "" for t in text.slice(at, end - at).to_pylist()])
                 more = [pa.array(finish(x))] if finish else [pa.array(np.ascontiguousarray(c)) for c in x.T]
                 names = [into] if finish else [f"m{k}" for k in range(len(more))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), *more], names=[*batch.schema.names, *names])
