@@ -6,16 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mentionlake.functions.dates import parsed
-
-#: The entities that are unescaped here.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
+from mentionlake.functions.entities import unescape
 
 def html_to_text(html: Column) -> Column:
     plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
@@ -23,24 +14,96 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"https?://\S+", " "), r"(?U)\s+", " "))
 
 
+#: Classes of elements that hold an article's text.
+BODY_CLASSES = ("entry-content", "post-content", "article-content", "materia-content", "content-body")
+
+
 def main_block(html: Column) -> Column:
-    """The longest article or main element's inside, the first of equals; the page if there is none."""
-    found = F.concat(F.regexp_extract_all(html, F.lit(r"(?is)<article[^>]*>(.*?)</article>"), F.lit(1)), F.regexp_extract_all(html, F.lit(r"(?is)<main[^>]*>(.*?)</main>"), F.lit(1)))
+    """The longest inside of an article or main element, or of a division of a known class; the first of equals, and the page if there is none."""
+    inside = lambda tag: F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    known = rf"(?is)<div[^>]+class=[\"'][^\"']*(?:{'|'.join(BODY_CLASSES)})[^\"']*[\"'][^>]*>(.*?)</div>"
+    found = F.concat(inside("article"), inside("main"), F.regexp_extract_all(html, F.lit(known), F.lit(1)))
     longest = F.aggregate(found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    return F.when(longest != "", longest).otherwise(html)
+    return F.when(F.size(found) > 0, longest).otherwise(F.coalesce(html, F.lit("")))
+
+
+def article_text(html: Column) -> Column:
+    """The text of the part of a page that holds the article."""
+    return html_to_text(main_block(html))
+
+
+def fragment(html: Column) -> Column:
+    """The text of a piece of HTML in one line; URLs stay."""
+    return F.btrim(F.regexp_replace(unescape(F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", " ")), r"(?U)\s+", " "))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, in either kind of quotes; empty if the tag hasn't got it."""
+    quoted = lambda q: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}([^{q}]*){q}", 1)
+    return F.coalesce(F.nullif(quoted('"'), F.lit("")), quoted("'"))
+
+
+def attributes(html: Column, tag: str) -> Column:
+    """The attributes of the first such tag, as a map; values in double quotes come before others of the same name."""
+    first = F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<{tag}\b([^>]*)>", 1)
+
+    def pairs(quote: str) -> Column:
+        found = F.regexp_extract_all(first, F.lit(rf"([A-Za-z_:][\w:.-]*\s*=\s*{quote}[^{quote}]*{quote})"), F.lit(1))
+        return F.transform(found, lambda p: F.struct(F.rtrim(F.substring_index(p, "=", 1)).alias("key"), unescape(F.regexp_extract(p, rf"(?s){quote}(.*){quote}", 1)).alias("value")))
+
+    doubled, single = pairs('"'), pairs("'")
+    names = lambda x: F.transform(x, lambda p: p["key"])
+    last = lambda x: F.filter(x, lambda p, i: ~F.array_contains(names(F.slice(x, i + 2, F.size(x))), p["key"]))
+    once = F.filter(single, lambda p, i: ~F.array_contains(names(doubled), p["key"]) & ~F.array_contains(names(F.slice(single, 1, i)), p["key"]))
+    return F.map_from_entries(F.concat(last(doubled), once))
+
+
+def meta(html: Column, key: str, value: str) -> Column:
+    """The content of the meta elements whose attribute is of this value, in order."""
+    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<meta\s[^>]*>)"), F.lit(1)), lambda t: F.lower(attribute(t, key)) == value)
+    return F.transform(tags, lambda t: attribute(t, "content"))
+
+
+def _first(values: Column) -> Column:
+    return F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
 def title(html: Column) -> Column:
-    tries = [r"(?is)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+name=[\"']twitter:title[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<title[^>]*>(.*?)</title>"]
-    texts = [F.nullif(F.trim(F.regexp_replace(unescape(F.regexp_extract(html, p, 1)), r"(?U)\s+", " ")), F.lit("")) for p in tries]
-    return F.coalesce(*texts, F.lit(""))
+    """The title that a page gives for sharing, or else its own."""
+    own = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    shown = lambda t: F.btrim(F.regexp_replace(F.regexp_replace(unescape(t), r"<[^>]+>", " "), r"(?U)\s+", " "))
+    return _first(F.transform(F.array(_first(meta(html, "property", "og:title")), _first(meta(html, "name", "twitter:title")), own), shown))
 
 
 def published_at(html: Column) -> Column:
-    tries = [r"(?is)<meta[^>]+property=[\"']article:published_time[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<meta[^>]+name=[\"']pubdate[\"'][^>]+content=[\"']([^\"']+)", r"(?is)<time[^>]+datetime=[\"']([^\"']+)"]
-    return F.coalesce(*(parsed(F.regexp_extract(html, p, 1)) for p in tries))
+    """When a page was published, by its meta elements or its first time element."""
+    times = F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<time\s[^>]*>)"), F.lit(1)), lambda t: attribute(t, "datetime"))
+    return F.coalesce(parsed(_first(meta(html, "property", "article:published_time"))), parsed(_first(meta(html, "name", "pubdate"))), parsed(_first(times)))
 
 
 def hrefs(html: Column) -> Column:
     """Targets of links without fragments, in order; scripts and mail addresses are no links."""
-    return F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href=[\"']([^\"'#]+)[\"']"), F.lit(1)), lambda h: ~h.rlike("(?i)^(javascript|mailto):"))
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href=[\"']([^\"'#]+)[\"']"), F.lit(1))
+    return F.filter(F.transform(found, F.trim), lambda h: (h != "") & ~h.rlike("(?i)^(javascript|mailto):"))
+
+
+def anchors(html: Column) -> Column:
+    """The links of a page in order, as (title, href, attributes)."""
+    whole = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(<a\b[^>]*?href=[\"'][^\"'#]+[\"'][^>]*>.*?</a>)"), F.lit(1))
+
+    def one(a: Column) -> Column:
+        tag = F.regexp_extract(a, r"(?is)^(<a\b[^>]*>)", 1)
+        rest = F.regexp_replace(F.regexp_replace(tag, r"(?i)^<a|>$", ""), r"(?i)href=[\"'][^\"'#]+[\"']", "")
+        return F.struct(fragment(F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*)</a>$", 1)).alias("title"), F.trim(F.regexp_extract(tag, r"(?i)href=[\"']([^\"'#]+)[\"']", 1)).alias("href"), F.trim(rest).alias("attrs"))
+
+    return F.transform(whole, one)
+
+
+def blocks(html: Column, pattern: str) -> Column:
+    """The insides of all matches of a pattern with one group."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), F.lit(1))
+
+
+def article_refs(html: Column) -> Column:
+    """The numbers of the articles that a snapshot names."""
+    return F.transform(blocks(html, r"\barticle-(\d+)\b"), lambda x: x.cast("long"))

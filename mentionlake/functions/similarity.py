@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from mentionlake.functions.text import clean_title, jaccard, significant_tokens
+from mentionlake.functions.text import clean_title, jaccard, normalize_text, significant_tokens
 
 
 @F.pandas_udf(DoubleType())
@@ -20,9 +20,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity(a: Column, b: Column) -> Column:
     """The greater of the ratio of sequences (weakened if under two significant words are shared) and the Jaccard similarity of significant words."""
-    x, y = clean_title(a), clean_title(b)
+    x, y = normalize_text(clean_title(a)), normalize_text(clean_title(b))
     tokens_x, tokens_y = significant_tokens(x), significant_tokens(y)
-    ratio = sequence_ratio(F.lower(x), F.lower(y))
+    ratio = sequence_ratio(x, y)
     shared = F.size(F.array_intersect(tokens_x, tokens_y))
     both = (x != "") & (y != "")
     return F.when(both, F.greatest(F.when(shared < 2, ratio * 0.55).otherwise(ratio), jaccard(tokens_x, tokens_y))).otherwise(0.0)

@@ -50,7 +50,8 @@ def with_targets(decorated: DataFrame, story_targets: DataFrame) -> DataFrame:
 def dedup_story_urls(rows: DataFrame) -> DataFrame:
     """rows (story_id, article_id, url, last_published_at, temperature, ai): a URL stays in the first story only, by last date and temperature; empty URLs all stay. Counts are made anew, stories left empty go."""
     order = Window.partitionBy("url").orderBy(F.desc("last_published_at"), F.desc("temperature"), "story_id", "article_id")
-    kept = rows.withColumn("r", F.row_number().over(order)).where("r = 1 or url = ''")
+    named = rows.where("url <> ''").withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    kept = named.unionByName(rows.where("coalesce(url, '') = ''"))
     return kept.groupBy("story_id").agg(F.count(F.lit(1)).alias("article_count"), F.sum("ai").cast("long").alias("ai_count"), F.sum(1 - F.col("ai")).cast("long").alias("raw_count"))
 
 

@@ -36,7 +36,7 @@ def candidates(articles: DataFrame, days: int = DAYS, tile: int = TILE) -> DataF
     """
     plain = clean_title(F.col("title"))
     day = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    named = {"id": F.col("id").cast("long"), "at": day, "plain": F.lower(plain), "words": significant_tokens(F.col("title")), "own": significant_tokens(plain)}
+    named = {"id": F.col("id").cast("long"), "at": day, "plain": plain, "words": significant_tokens(F.col("title")), "own": significant_tokens(plain)}
     row = F.named_struct(*(x for name, c in named.items() for x in (F.lit(name), c)))
     rows = articles.select(row.alias("row"), F.floor(day / days).alias("span"), F.explode(F.array_distinct("target_keys")).alias("target"))
     sizes = rows.groupBy("target", "span").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
@@ -137,6 +137,8 @@ def _stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mentionlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/stories-{uuid.uuid4().hex}"

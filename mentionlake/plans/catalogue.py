@@ -258,12 +258,17 @@ def pages_dedup_by_url(spark, sf_dir):
 
 
 @query(PARTS + """ SELECT page_id, scheme IN ('http', 'https') AND path NOT IN ('', '/') AND NOT regexp_matches(lower(path), '\\.(jpg|jpeg|png|gif|webp|svg|js|css|pdf|xml|php)$')
-  AND len([s FOR s IN string_split(lower(path), '/') IF length(s) >= 4]) > 0 AS likely FROM canon""")
+  AND NOT regexp_matches(lower(path), '/feed|/rss|/wp-content|/tag/|/author/|/category/|/comentarios|/search/|/vereadores/|/atividade-parlamentar/|/comissoes/|/frentes/')
+  AND len([s FOR s IN string_split(lower(path), '/') IF length(s) >= 12]) > 0 AS likely, regexp_matches(url, '^http.*(e|n)[a-z]*[.]example[.](com|net)') AND page_id % 3 <> 1 AS likely_titled FROM canon JOIN pages USING (page_id)""")
 def likely_article_url(spark, sf_dir):
-    return L.read(spark, sf_dir, "pages").select("page_id", U.likely_article(F.col("url"), longest=4).alias("likely"))
+    """Whether URLs look like articles: as they are, and with a title behind them (a third as a page of a tag)."""
+    pages = L.read(spark, sf_dir, "pages")
+    titled = F.concat(U.without_query(F.col("url")), F.when(F.col("page_id") % 3 == 1, F.lit("/tag/")).otherwise(F.lit("/")), F.lit("a-title-of-some-length"))
+    near = F.col("url").rlike("^http.*(e|n)[a-z]*[.]example[.](com|net)")
+    return pages.select("page_id", U.likely_article(F.col("url")).alias("likely"), (near & U.likely_article(titled)).alias("likely_titled"))
 
 
-UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 
 
 @query("SELECT page_id, trim(regexp_replace(" + UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '\\s+', ' ', 'g')) AS title FROM pages")
@@ -310,10 +315,13 @@ def forced_terms(spark, sf_dir):
     return L.read(spark, sf_dir, "documents").select("doc_id", T.passes_terms(text, ["und", "idiot", "ab"]).alias("some"), T.passes_terms(text, ["the", "and"], "all").alias("every"))
 
 
-@query(r"""WITH plain AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+', ' ', 'g'), '[\s\x{00A0}\x{0085}\x{2028}\x{2029}]+', ' ', 'g')) AS p FROM documents),
-cut AS (SELECT doc_id, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM plain),
-good AS (SELECT doc_id, s, [x FOR x IN s IF NOT regexp_matches(x, '(?i)(resultado[s]?\s+da\s+pesquisa|wp-content|comments?)') AND len(string_split_regex(trim(x), '\s+')) >= 6] AS g FROM cut)
-SELECT doc_id, left(array_to_string((CASE WHEN len(g) > 0 THEN g ELSE s END)[1:3], ' '), 700) AS summary FROM good""")
+WS = r"[\s\x{00A0}\x{0085}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH plain AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g'), 'https?://\S+', ' ', 'g') AS p FROM documents),
+cut AS (SELECT doc_id, p, [y FOR y IN [regexp_replace(x, '^{WS}+|{WS}+$', '', 'g') FOR x IN string_split(regexp_replace(p, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1))] IF y <> ''] AS s FROM plain),
+good AS (SELECT doc_id, p, s, [x FOR x IN s IF NOT regexp_matches(x, '(?i)(resultado[s]?\s+da\s+pesquisa|wp-content|comments?)') AND len([w FOR w IN string_split_regex(x, '{WS}+') IF w <> '']) >= 6] AS g FROM cut)
+SELECT doc_id, CASE WHEN len(s) = 0 THEN left(p, 420) ELSE left(array_to_string((CASE WHEN len(g) > 0 THEN g ELSE s END)[1:3], ' '), 700) END AS summary FROM good""")
 def summarize(spark, sf_dir):
     return L.read(spark, sf_dir, "documents").select("doc_id", T.summarize(F.col("text")).alias("summary"))
 
