@@ -35,8 +35,12 @@ RECALL = 0.999
 CHOICES = 2.0
 SMALL = 2000
 BLOCK = 2000
+#: Shingles that the texts of a block may have, about: what a task holds is bounded by words, too.
+BLOCK_SHINGLES = 2_000_000
 DEPTH = 4
 BINS = 32
+#: How far below the threshold a sketch may lie, in units of 1 / sqrt(bins used); five standard deviations at the threshold.
+MARGIN = 2.0
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,12 +91,13 @@ def _members(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
         for batch in batches:
-            keys = []
+            keys, sizes = [], []
             for s in sets.of(batch.column("text")):
+                sizes.append(len(s))
                 h = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
                 keys.append((None, None) if h is None else (h >> 64, h & (2**64 - 1)))
             k1, k2 = (pa.array([None if k[i] is None else k[i] - 2**63 for k in keys], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), k1, k2], names=["doc_id", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), k1, k2, pa.array(sizes, pa.int64())], names=["doc_id", "k1", "k2", "n"])
 
     return run
 
@@ -157,7 +162,7 @@ def _clusters(threshold: float) -> Callable:
                     x, y = s[a:b, k, None], s[None, :, k]
                     same += (x == y) & (x > 0)
                     used += (x | y) > 0
-                ok = same / np.maximum(used, 1) >= threshold - 1.6 / np.sqrt(np.maximum(used, 1))
+                ok = same / np.maximum(used, 1) >= threshold - MARGIN / np.sqrt(np.maximum(used, 1))
                 ok &= np.minimum(n[a:b, None], n) >= threshold * np.maximum(n[a:b, None], n) - 1e-9
                 if key[1] != key[2]:
                     ok &= side[a:b, None] != side
@@ -171,7 +176,7 @@ def _clusters(threshold: float) -> Callable:
             for members in np.split(ids[by_root], np.flatnonzero(np.diff(root[by_root])) + 1):
                 if len(members) > 1:
                     h = xxhash.xxh3_64_intdigest(members.tobytes()) - 2**63
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(members), pa.int64()), pa.array(members)], names=["cluster", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(members), pa.int64()), pa.array(members), pa.array(n[np.searchsorted(ids, members)].astype(np.int64))], names=["cluster", "id", "n"])
 
     return run
 
@@ -218,8 +223,9 @@ def _verified(size: int, threshold: float, counting: bool) -> Callable:
 
 
 def in_blocks(rows: DataFrame, key: str, many: DataFrame, block: int) -> DataFrame:
-    """rows with the columns lo, hi and block: a key of up to `block` rows is one group; a larger one is cut into blocks, and each pair of blocks is a group."""
-    cut = rows.join(many.select(key, F.ceil(F.col("k") / block).cast("int").alias("blocks")), key)
+    """rows with the columns lo, hi and block: a key of up to `block` rows (k), and as many shingles (words) as a block may have, is one group; a larger one is cut into blocks, and each pair of blocks is a group."""
+    words = F.col("words") / BLOCK_SHINGLES if "words" in many.columns else F.lit(0)
+    cut = rows.join(many.select(key, F.ceil(F.greatest(F.col("k") / block, words)).cast("int").alias("blocks")), key)
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
     spread = cut.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
@@ -229,9 +235,9 @@ def by_group(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (id, ...) with the text of each id. Texts that no row asks for are not shuffled."""
-    listed = maybe_among(docs, rows.select(F.col("id").alias("d")))[0].select(F.col("doc_id").alias("id"), "text")
+def with_text(rows: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, ...) with the text of each id; ids is a settled table that holds all of them. Texts that no row asks for are not shuffled."""
+    listed = maybe_among(docs, ids.select(F.col("id").alias("d")))[0].select(F.col("doc_id").alias("id"), "text")
     return rows.join(listed, "id")
 
 
@@ -256,8 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, choices: float = CHOICES) -> DataFrame:
     """(doc_id, copy_of, class_id, n_links) for every row of docs: the smallest doc_id with the same set, that of the class, and how many other documents are at the threshold or above."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = settled(docs.mapInArrow(_members(size), "doc_id long, k1 long, k2 long"))
-    classes = settled(members.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    members = settled(docs.mapInArrow(_members(size), "doc_id long, k1 long, k2 long, n long"))
+    classes = settled(members.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
     # One text for each class: those of later copies are left out, those that repeat a row are taken once.
     later = members.join(classes.where("copies > 1"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), (F.col("doc_id") != F.col("id")).alias("later"), "copies")
     later = settled(later.groupBy("d").agg(F.max("later").alias("later")))
@@ -273,20 +279,21 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
         large = many.where(F.col("k") > small) if level < depth else many.limit(0)
         few = many.where(F.col("k") <= small) if level < depth else many
         groups = by_group(in_blocks(rows, "bucket", few, block).select("bucket", "lo", "hi", "block", "id", "n", "sketch"), "bucket", "lo", "hi")
-        clusters = groups.mapInArrow(_clusters(threshold), "cluster long, id long")
+        clusters = groups.mapInArrow(_clusters(threshold), "cluster long, id long, n long")
         found = clusters if found is None else found.union(clusters)
         if level == depth or large.isEmpty():
             break
         paths = settled(rows.join(large, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("paths")))
-        rows = with_text(paths, single).select(F.col("id").alias("doc_id"), "text", "paths").mapInArrow(_choose(size, choices * 2, None), ROWS)
+        rows = with_text(paths, single, paths).select(F.col("id").alias("doc_id"), "text", "paths").mapInArrow(_choose(size, choices * 2, None), ROWS)
     found = settled(found.distinct())
-    whole = with_text(found, single).select("cluster", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), "id", "text", F.lit(1).alias("copies"))
+    in_cluster = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("words"))
+    whole = with_text(in_blocks(found, "cluster", in_cluster, 2 * block), single, found).select("cluster", "lo", "hi", "block", "id", "text", F.lit(1).alias("copies"))
     forest = by_group(whole, "cluster", "lo", "hi").mapInArrow(_verified(size, threshold, False), "a long, b long")
     joined = components(forest)
     nodes = joined.union(joined.select(F.col("component").alias("id"), "component")).distinct()
-    nodes = settled(nodes.join(classes.select("id", "copies"), "id"))
-    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-    placed = with_text(in_blocks(nodes, "component", sizes, block), single).select("component", "lo", "hi", "block", "id", "text", "copies")
+    nodes = settled(nodes.join(classes.select("id", "copies", "n"), "id"))
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("words"))
+    placed = with_text(in_blocks(nodes, "component", sizes, block), single, nodes).select("component", "lo", "hi", "block", "id", "text", "copies")
     links = by_group(placed, "component", "lo", "hi").mapInArrow(_verified(size, threshold, True), "a long, b long")
     linked = links.groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     known = classes.join(nodes.select("id", "component"), "id", "left").join(linked, "id", "left")
