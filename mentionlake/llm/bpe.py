@@ -36,10 +36,10 @@ SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: What follows an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Bytes that the cache of words may hold, about; pairs of tokens that the other one may.
-CACHE = 60_000_000
+CACHE = 50_000_000
 APART = 400_000
 NEVER = 1 << 40
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 3_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -175,6 +175,10 @@ class Bpe:
                 at = starts[at]
             yield word, found[::-1]
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that waits for its next task holds little memory."""
+        self.words, self.apart, self.edges, self.held = {}, {}, {}, CACHE + 1
+
     def learn(self, words: list[bytes]) -> None:
         """Adds words to the cache."""
         if self.held > CACHE:
@@ -231,7 +235,7 @@ _ready: dict[str, Bpe] = {}
 
 
 def _loaded(spec: str) -> Bpe:
-    """One encoder for each Python worker, kept with its caches from task to task."""
+    """One encoder for each Python worker, kept from task to task; its caches are not."""
     if spec not in _ready:
         _ready.clear()
         _ready[spec] = Bpe(spec)
@@ -256,6 +260,7 @@ def _encode(spec) -> Callable:
             for lo, hi in _groups(texts):
                 tokens, ids, decoded = bpe.run(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens), ids, decoded], names=["doc_id", "n_tokens", "ids", "decoded"])
+        bpe.forget()
 
     return run
 
