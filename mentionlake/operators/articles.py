@@ -35,6 +35,11 @@ def mention_sets(mentions: DataFrame) -> DataFrame:
     )
 
 
+def ai_flags(mentions: DataFrame) -> DataFrame:
+    """(article_id, ai): whether a summariser has handled some mention of an article, 1 or 0."""
+    return mentions.groupBy("article_id").agg(F.max(summarised(F.col("sentiment_reason")).cast("int")).alias("ai"))
+
+
 def article_filter(articles: DataFrame, mentions: DataFrame, *, date_from: str = "", date_to: str = "", target_keys: list[str] | None = None, only_pending: bool = False) -> DataFrame:
     """Articles that meet all conditions given: text comparison of dates, some mention of a target, some mention that isn't summarised yet."""
     conditions = [F.lit(True)]
@@ -55,9 +60,15 @@ def article_filter(articles: DataFrame, mentions: DataFrame, *, date_from: str =
 def export_articles(articles: DataFrame, mentions: DataFrame, story_articles: DataFrame, *, limit: int = 5000, **conditions) -> DataFrame:
     """Articles with mentions, newest first: lists cover all mentions of an article, whatever it was selected by."""
     kept = article_filter(articles, mentions, **conditions)
-    sets = mention_sets(mentions).drop("n_mentions")
-    joined = kept.join(sets, kept["id"] == sets["article_id"]).drop("article_id").join(story_articles, F.col("id") == F.col("article_id"), "left")
-    return newest(joined, limit).select("id", "url", "title", "source_name", "source_type", "published_at", "discovered_at", "story_id", "target_keys", "target_names", "keywords", "has_ai_summary")
+    top = newest(kept.join(mentions.select("article_id"), kept["id"] == mentions["article_id"], "left_semi"), limit)
+    sets = sets_of(mentions, top).drop("n_mentions")
+    joined = top.join(sets, top["id"] == sets["article_id"]).drop("article_id").join(story_articles, F.col("id") == F.col("article_id"), "left")
+    return joined.orderBy(effective_date().desc(), F.col("id")).select("id", "url", "title", "source_name", "source_type", "published_at", "discovered_at", "story_id", "target_keys", "target_names", "keywords", "has_ai_summary")
+
+
+def sets_of(mentions: DataFrame, articles: DataFrame) -> DataFrame:
+    """The mention sets of some articles (id); mentions of others are not aggregated."""
+    return mention_sets(mentions.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi"))
 
 
 def newest(rows: DataFrame, limit: int) -> DataFrame:
@@ -67,14 +78,19 @@ def newest(rows: DataFrame, limit: int) -> DataFrame:
 def list_articles(articles: DataFrame, mentions: DataFrame, story_articles: DataFrame, *, limit: int = 300) -> DataFrame:
     """Articles with or without mentions, newest first, in the shape that the dashboard reads."""
     top = newest(articles, limit)
-    sets = mention_sets(mentions.join(top.select(F.col("id").alias("article_id")), "article_id", "left_semi"))
+    sets = sets_of(mentions, top)
     joined = top.join(sets, top["id"] == sets["article_id"], "left").drop("article_id").join(story_articles, F.col("id") == F.col("article_id"), "left")
     return joined.select(
         F.concat(F.lit("a-"), F.col("id").cast("string")).alias("article_id"),
         F.when(F.col("story_id").isNotNull(), F.concat(F.lit("st-"), F.col("story_id").cast("string"))).otherwise("").alias("story_id"),
         "title",
+        "url",
         "source_name",
+        "source_type",
+        effective_date("python").alias("published_at"),
         F.coalesce("target_keys", F.lit("")).alias("target_keys"),
+        F.coalesce("target_names", F.lit("")).alias("target_names"),
+        F.coalesce("keywords", F.lit("")).alias("keywords"),
         F.coalesce("first_sentiment", F.lit("neutral")).alias("sentiment"),
         F.when(F.coalesce("has_ai_summary", F.lit(0)) == 1, "llm").otherwise("raw").alias("summary_source"),
         F.coalesce("n_mentions", F.lit(0)).cast("long").alias("n_mentions"),
@@ -84,8 +100,8 @@ def list_articles(articles: DataFrame, mentions: DataFrame, story_articles: Data
 def articles_by_ids(articles: DataFrame, mentions: DataFrame, ids: DataFrame) -> DataFrame:
     """Articles with mentions whose id is among ids (id); ids that aren't positive are left out."""
     wanted = articles.join(ids.where("id > 0").select("id").distinct(), "id", "left_semi")
-    sets = mention_sets(mentions)
-    return wanted.join(sets, wanted["id"] == sets["article_id"]).select("id", "url", "title", "target_keys", "keywords")
+    sets = sets_of(mentions, wanted)
+    return wanted.join(sets, wanted["id"] == sets["article_id"]).select("id", "url", "title", "source_name", "published_at", "target_keys", "target_names", "keywords", "has_ai_summary")
 
 
 def recent_stories(stories: DataFrame, as_of: str, days: int = 7) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +10,6 @@ from mentionlake.functions import url as U
 from mentionlake.functions.dates import within
 
 
-def union_plans(plans: list[DataFrame]) -> DataFrame:
-    """The candidates of several collectors, each with the number of its plan; order inside a plan is its column pos."""
-    return reduce(DataFrame.unionByName, [p.withColumn("plan", F.lit(k)) for k, p in enumerate(plans)])
-
-
 def first_by(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key in the order given; rows with an empty or null key go."""
     keyed = rows.withColumn("_key", key).where(F.coalesce(F.col("_key"), F.lit("")) != "")
@@ -34,8 +27,8 @@ def limit_per(rows: DataFrame, group: str, n: int, *order: str) -> DataFrame:
 
 
 def interleave(rows: DataFrame, batch: str, *order: str) -> DataFrame:
-    """The first of each batch, then the second of each, and so on, as the column turn and the order by it and the batch."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(batch).orderBy(*order)).cast("long"))
+    """rows with their place in their batch: sorted by place and batch they are the first of each batch, then the second of each, and so on."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(*order)).cast("long"))
 
 
 def keyword_map(targets: DataFrame) -> DataFrame:

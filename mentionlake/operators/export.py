@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlake.operators.articles import mention_sets
+from mentionlake.operators.articles import ai_flags
 
 
 def decorate(stories: DataFrame, story_articles: DataFrame, articles: DataFrame, mentions: DataFrame) -> DataFrame:
     """Stories with the first and last date and the numbers of their articles, of summarised and of raw ones; those without articles in scope go."""
-    ai = mention_sets(mentions).select(F.col("article_id").alias("m"), F.col("has_ai_summary").alias("ai"))
+    ai = ai_flags(mentions).withColumnRenamed("article_id", "m")
     rows = story_articles.join(articles.select("id", F.nullif("published_at", F.lit("")).alias("at")), F.col("article_id") == F.col("id")).drop("id").join(ai, F.col("article_id") == F.col("m"), "left")
     counts = rows.groupBy("story_id").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("article_count"), F.sum(F.coalesce("ai", F.lit(0))).cast("long").alias("ai_count"))
     joined = stories.join(counts, stories["id"] == counts["story_id"])

@@ -84,7 +84,7 @@ def llm_batch_pending(spark, sf_dir):
     return A.export_articles(t.articles, t.mentions, t.story_articles, only_pending=True, limit=200)
 
 
-@query(SETS + """ SELECT 'a-' || a.id AS article_id, CASE WHEN story_id IS NOT NULL THEN 'st-' || story_id ELSE '' END AS story_id, title, source_name, coalesce(target_keys, '') AS target_keys,
+@query(SETS + """ SELECT 'a-' || a.id AS article_id, CASE WHEN story_id IS NOT NULL THEN 'st-' || story_id ELSE '' END AS story_id, title, url, source_name, source_type, coalesce(nullif(published_at, ''), discovered_at) AS published_at, coalesce(target_keys, '') AS target_keys, coalesce(target_names, '') AS target_names, coalesce(keywords, '') AS keywords,
   coalesce(first_sentiment, 'neutral') AS sentiment, CASE WHEN has_ai_summary = 1 THEN 'llm' ELSE 'raw' END AS summary_source, coalesce(n_mentions, 0) AS n_mentions
   FROM articles a LEFT JOIN sets ON a.id = m LEFT JOIN story_articles sa ON sa.article_id = a.id ORDER BY coalesce(published_at, discovered_at) DESC, a.id LIMIT 300""", logical=True)
 def list_articles(spark, sf_dir):
@@ -92,7 +92,7 @@ def list_articles(spark, sf_dir):
     return A.list_articles(t.articles, t.mentions, t.story_articles)
 
 
-@query(SETS + " SELECT a.id, url, title, target_keys, keywords FROM articles a JOIN sets ON a.id = m WHERE a.id IN (SELECT user_id FROM events WHERE user_id > 0)", logical=True)
+@query(SETS + " SELECT a.id, url, title, source_name, published_at, target_keys, target_names, keywords, has_ai_summary FROM articles a JOIN sets ON a.id = m WHERE a.id IN (SELECT user_id FROM events WHERE user_id > 0)", logical=True)
 def articles_by_ids(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return A.articles_by_ids(t.articles, t.mentions, t.events.select(F.col("user_id").alias("id")))
@@ -342,9 +342,9 @@ def significant_tokens(spark, sf_dir):
     return L.read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(T.significant_tokens(F.col("text"))), " ").alias("tokens"))
 
 
-@query("SELECT doc_id, round(length(text)::DOUBLE / greatest(len(string_split(text, ' ')), 1), 6) AS mean_word, trim(left(text, 80)) AS title FROM documents")
+@query("SELECT doc_id, round(length(text)::DOUBLE / greatest(len(string_split(text, ' ')), 1), 6) AS mean_word, split_part(text, chr(10), 1) AS first_line FROM documents")
 def document_shape(spark, sf_dir):
-    return L.read(spark, sf_dir, "documents").select("doc_id", F.round(F.length("text") / F.greatest(F.size(F.split("text", " ")), F.lit(1)), 6).alias("mean_word"), F.trim(F.left("text", F.lit(80))).alias("title"))
+    return L.read(spark, sf_dir, "documents").select("doc_id", F.round(F.length("text") / F.greatest(F.size(F.split("text", " ")), F.lit(1)), 6).alias("mean_word"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"))
 
 
 @query()
@@ -363,7 +363,7 @@ def title_similarity(spark, sf_dir):
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS place FROM conversations")
 def round_robin(spark, sf_dir):
     rows = L.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")).cast("long")).orderBy("place", "conv_id")
+    return C.interleave(rows, "conv_id", "turn", "role").orderBy("place", "conv_id")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 10")
@@ -491,9 +491,9 @@ def date_windows(spark, sf_dir):
 # --- more of the scalar library ----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'target') AS slug FROM documents")
+@query("SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'target') AS slug FROM documents")
 def slug_keys(spark, sf_dir):
-    return L.read(spark, sf_dir, "documents").select("doc_id", T.slug_key(F.left("text", F.lit(60))).alias("slug"))
+    return L.read(spark, sf_dir, "documents").select("doc_id", T.slug_key(F.col("text")).alias("slug"))
 
 
 @query("WITH u AS (SELECT user_id, event_type, value FROM events) SELECT user_id FROM u WHERE event_type = 'click' INTERSECT SELECT user_id FROM u WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM u WHERE event_type = 'error' AND value > 90")
@@ -517,11 +517,11 @@ def portuguese_dates(spark, sf_dir):
     return L.read(spark, sf_dir, "events").select("event_id", D.portuguese(shown).alias("at"))
 
 
-@query("""WITH p AS (SELECT doc_id, doc_id % 3 = 0 AS ai, nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 900) END), '') AS s, nullif(trim(text), '') AS f FROM documents), t AS (SELECT doc_id, ai, coalesce(s, f) AS x FROM p)
+@query("""WITH p AS (SELECT doc_id, doc_id % 3 = 0 AS ai, nullif(trim(CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END), '') AS s, nullif(trim(text), '') AS f FROM documents), t AS (SELECT doc_id, ai, coalesce(s, f) AS x FROM p)
 SELECT doc_id, CASE WHEN x IS NULL THEN 'No text' WHEN ai THEN 'AI summary' ELSE 'Raw text' END AS label, CASE WHEN x IS NULL THEN '' WHEN ai OR length(x) <= 560 THEN x ELSE rtrim(left(x, 559)) || '...' END AS preview,
   CASE WHEN ai AND x IS NOT NULL THEN 'llm' ELSE 'raw' END AS source FROM t""")
 def summary_payloads(spark, sf_dir):
-    docs = L.read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.left("text", F.lit(900))).alias("summary"))
+    docs = L.read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")).alias("summary"))
     return docs.select("doc_id", X.summary_payload(F.col("doc_id") % 3 == 0, F.col("summary"), F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
