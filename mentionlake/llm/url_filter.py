@@ -29,7 +29,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """The rules as a table of the plan itself; a rule's parts are literals."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rules) + " AS t(verdict, host, path)")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

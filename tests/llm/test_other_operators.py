@@ -82,9 +82,27 @@ def test_url_filter_edges(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
 
 
+def test_url_filter_with_very_long_urls(spark):
+    urls = ["http://example.com/en/" + "x/" * 100_000, "http://" + "a." * 50_000 + "net/es/", "http://net/fr/" + "?" * 100_000]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_table(spark, url_filter.RULES)).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in rows} == {0: ("example.com/en/", "block"), 1: ("net/es/", "block"), 2: ("net/fr/", "block")}
+
+
+def test_url_filter_runs_no_python(spark, sf):
+    assert "Python" not in url_filter.op8_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 # --- mixing
 
 
+def test_mix_with_clashing_columns(spark):
+    names = ["size", "turn", "bucket", "s", "b", "target", "copy", "at", "rest", "epochs"]
+    df = spark.createDataFrame([(k, "w " * (k % 5), "ab"[k % 2], *names) for k in range(60)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert mixing.mix_sources(df).count() == 60
+    taken = mixing.training_order(df)
+    assert taken.columns == df.columns and all(r[n] == n for r in taken.collect() for n in names)
+
+
 def test_mix_meets_targets_and_caps(spark):
     rows = [(k, " ".join(["w"] * (k % 7)), ["a", "b", "c", None][k % 4]) for k in range(400)] + [(400, None, "a"), (5, "w w", "b"), (5, "w w", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

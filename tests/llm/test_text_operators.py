@@ -95,3 +95,19 @@ def test_lm_beats_its_base_on_held_out_texts(docs):
 
 def test_lm_of_nothing(docs):
     assert lm_score.score_texts(docs.limit(0)).count() == 0
+
+
+CLASHES = ["id", "d", "k1", "k2", "n", "bucket", "starts", "copies", "listed", "part", "words"]
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, *CLASHES) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_joins_and_dedup_with_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long.replace("w500 ", "other ")), (3, "a b c d e f"), (4, None), (5, long[:200_000])]
+    df = clashing(spark, rows)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()) == brute.jaccard(rows)
+    got = substring_dedup.remove_repeats(df)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got.collect()), key=repr) == brute.repeats(rows)
