@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mentionlake.functions.url import host_of, without_query
+
 
 def recall(gold: DataFrame, found: DataFrame, key: str, group: str) -> DataFrame:
     """Of each group: how many distinct keys are wanted, found and missed."""
@@ -33,3 +35,15 @@ def padded_days(days: DataFrame, start: str, end: str, padding: int) -> DataFram
     """Distinct days (day) with their neighbours, inside the window."""
     around = days.select(F.explode(F.sequence(F.date_sub("day", padding), F.date_add("day", padding), F.expr("interval 1 day"))).alias("day"))
     return around.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).distinct()
+
+
+def saved_urls(articles: DataFrame, mentions: DataFrame, target: str, host: str = "") -> DataFrame:
+    """The distinct URLs (url), without their queries, of articles that mention a target, on a host or on any."""
+    named = articles.join(mentions.where(F.col("target_key") == target).select("article_id"), articles["id"] == mentions["article_id"], "left_semi")
+    urls = named.select(without_query(F.col("url")).alias("url")).distinct()
+    return urls.where(host_of(F.col("url")) == host.lower().removeprefix("www.")) if host else urls
+
+
+def retained_texts(raw_texts: DataFrame, articles: DataFrame) -> DataFrame:
+    """The raw texts (article_id, ...) of articles (article_id) that are kept."""
+    return raw_texts.join(articles.select("article_id"), "article_id", "left_semi")

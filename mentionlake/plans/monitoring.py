@@ -11,11 +11,12 @@ from mentionlake.functions import url as U
 from mentionlake.operators import articles as A
 from mentionlake.operators import candidates as C
 from mentionlake.operators import dataset as E
+from mentionlake.operators import evaluate as V
 from mentionlake.operators import ingest as I
 from mentionlake.operators import match as M
 from mentionlake.plans.catalogue import KEYWORDS, ORACLES, PARTS, QUERIES, SETS, Tables, query
 from mentionlake.sources import adapters as L
-from mentionlake.sources import search
+from mentionlake.sources import search, snapshots
 
 __all__ = ["ORACLES", "QUERIES"]
 NOW = "2001-09-01T00:00:00+00:00"
@@ -280,3 +281,34 @@ def keyword_targets(spark, sf_dir):
     targets = spark.sql("SELECT * FROM VALUES ('a', 'A', 0, array('The', 'und')), ('b', 'B', 1, array('the', 'que')) AS t(key, name, ord, keywords)")
     words = C.keyword_map(targets).select("low", "key")
     return L.read(spark, sf_dir, "documents").join(F.broadcast(words), F.contains(F.lower("text"), F.col("low"))).select("doc_id", "low", "key")  # a few keywords
+
+
+# --- snapshots and gold lists ------------------------------------------------------------------------------------------------------------------
+
+
+def snapshot_pages(spark, sf_dir):
+    """Stories as cards of HTML, a page for each of a hundred groups, with an article in each."""
+    t = Tables(spark, sf_dir)
+    card = F.concat(
+        F.lit('<details class="x" data-story-id="'), F.col("id").cast("string"), F.lit('" data-temperature="'), F.col("temperature").cast("string"), F.lit('" data-targets="a,b"><summary><h2>'), "title",
+        F.lit('</h2></summary><details>inner</details><article class="article-card" id="article-'), (F.col("id") + 1).cast("string"), F.lit('"><h3><a href="http://www.a.com/'), F.col("id").cast("string"),
+        F.lit('">'), "summary", F.lit("</a></h3></article></details><p>after</p>"),
+    )
+    return t.stories.select((F.col("id") % 100).alias("page"), "id", card.alias("card")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "card"))), lambda x: x["card"]), "\n").alias("html"))
+
+
+@query(" SELECT id % 100 AS page, id AS story, title, temperature, 'a,b' AS keys, 1::BIGINT AS articles FROM stories", logical=True)
+def snapshot_stories(spark, sf_dir):
+    rows = snapshots.card_stories(snapshots.cards(snapshot_pages(spark, sf_dir)))
+    return rows.select("page", "story", "title", "temperature", F.array_join("target_keys", ",").alias("keys"), F.col("article_count").alias("articles"))
+
+
+@query(" SELECT id AS story, id + 1 AS article, summary AS title, 'http://www.a.com/' || id AS url, 'a.com' AS source_host FROM stories", logical=True)
+def snapshot_articles(spark, sf_dir):
+    return snapshots.card_articles(snapshots.cards(snapshot_pages(spark, sf_dir))).select("story", "article", "title", "url", "source_host")
+
+
+@query(" SELECT DISTINCT url FROM articles WHERE starts_with(url, 'https://h3.example/') AND id IN (SELECT article_id FROM mentions WHERE target_key = 'R')", logical=True)
+def saved_urls(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return V.saved_urls(t.articles, t.mentions, "R", "h3.example")

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.functions.dates import parsed
-from mentionlake.functions.html import html_to_text
+from mentionlake.functions.dates import parsed, within
+from mentionlake.functions.html import hrefs, html_to_text
+from mentionlake.functions.url import canonical, is_news_link, news_target
+from mentionlake.operators.candidates import dedup_by_canonical_url, interleave, limit_per
 
 POSTS = "link string, title struct<rendered string>, excerpt struct<rendered string>, date_gmt string, date string"
 HITS = "result struct<hits struct<hits array<struct<_source struct<url string, title string, issued string, description string, body string>>>>>"
@@ -66,3 +68,21 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("key string, label string, primary boolean, keywords array<string>").option("multiLine", True).json(path).where("label is not null")
     first = F.coalesce("primary", F.lit(False))
     return rows.select(F.coalesce("key", slug_key(F.col("label"))).alias("key"), "label", first.alias("primary"), F.when(first, 1).otherwise(2).alias("priority"), F.array_distinct(F.concat(F.array("label"), F.coalesce("keywords", F.array().cast("array<string>")))).alias("keywords"))
+
+
+def collected(rows: DataFrame, feed: str, *order: str, limit: int, date_from: str = "", date_to: str = "") -> DataFrame:
+    """What a collector returns of its captures: the candidates inside the window, so many of each feed."""
+    return limit_per(rows.where(within(F.col("published_at"), date_from, date_to)), feed, max(1, limit), *order)
+
+
+def news(rows: DataFrame, query: str, *order: str, limit: int, date_from: str = "", date_to: str = "") -> DataFrame:
+    """Candidates of news searches (url, html snippet, ...): under the URL of the article itself where it is known, the first of each search in turn, each URL once. Links that still lead to the aggregator are marked for fetching."""
+    direct = rows.withColumn("url", canonical(news_target(F.col("url"), hrefs(F.col("snippet")))))
+    turned = interleave(collected(direct, query, *order, limit=limit, date_from=date_from, date_to=date_to), query, *order)
+    return dedup_by_canonical_url(turned, "place", query).withColumn("force_full_fetch", is_news_link(F.col("url")))
+
+
+def route(source: str, domain: str, routes: dict[str, list[str]], families: dict[str, str]) -> list[str]:
+    """The collectors that serve a source: those of its domain, else those of its kind (a part of its name), else its feed."""
+    kind = next((k for part, k in families.items() if part in source.lower()), None)
+    return routes.get(domain) or ([kind] if kind else ["rss"])
