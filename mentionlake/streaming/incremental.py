@@ -11,24 +11,29 @@ from mentionlake.functions.url import canonical
 from mentionlake.operators.persist import new_rows
 
 
+#: Folders that URLs are dealt to by hash; a batch is compared with those that its own URLs fall into.
+PARTS = 256
+
+
 def store_once(candidates: DataFrame, path: str, checkpoint: str, *order: str) -> StreamingQuery:
     """Appends candidates (url, ...) whose canonical URL isn't stored at path yet. A batch that is run again writes the same folder again, so nothing is stored twice."""
-    rows = candidates.withColumn("url", canonical(F.col("url")))
-    schema: StructType = rows.schema
+    rows = candidates.withColumn("url", canonical(F.col("url"))).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int"))
+    schema: StructType = candidates.schema
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = stored(spark, path, schema).where(F.col("batch") < number).select("url")
-        new_rows(batch, earlier, "url", *order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        parts = [r.part for r in batch.select("part").distinct().collect()]  # PARTS at most
+        earlier = stored(spark, path, schema).where((F.col("batch") < number) & F.col("part").isin(parts)).select("url")
+        new_rows(batch, earlier, "url", *order).write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What store_once has stored, with the number of the batch that stored it; empty before the first batch."""
+    """What store_once has stored, with the number of the batch that stored it and the folder of the URL; empty before the first batch."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    full = StructType([*schema.fields, StructField("batch", IntegerType())])
+    full = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("part", IntegerType())])
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
