@@ -35,9 +35,9 @@ OTHER, LETTER, DIGIT, SPACE = range(4)
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What follows an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Bytes that the cache of words may hold, about; pairs of tokens that the other one may.
-CACHE = 50_000_000
-APART = 400_000
+#: Bytes that the cache of words may hold, about; and entries of those of pairs and of tokens.
+CACHE = 25_000_000
+APART, EDGES = 150_000, 20_000
 NEVER = 1 << 40
 GROUP_BYTES = 3_000_000
 
@@ -53,7 +53,9 @@ def byte_characters() -> dict[str, int]:
 def kinds() -> np.ndarray:
     """The kind of every code point."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "." for c in range(0x110000))
+    points = np.arange(0x110000, dtype=np.uint32)
+    points[0xD800:0xE000] = ord(".")
+    every = points.tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
             out[m.start() : m.end()] = kind
@@ -107,6 +109,8 @@ class Bpe:
         """What stands at the left and at the right edge of a token while BPE builds it from bytes, each with the rank at which it goes into something larger; None if BPE doesn't build it."""
         if token in self.edges:
             return self.edges[token]
+        if len(self.edges) >= EDGES:
+            self.edges.clear()
         parts = [bytes([b]) for b in self.bytes[token]]
         left, right = [], []
         while len(parts) > 1:
@@ -145,9 +149,9 @@ class Bpe:
         """A depth-first walk over the trie of the words, which their sorted order is."""
         get, known, longest = self.ids.get, self.apart, self.longest
         path, tokens, starts = b"", [-1], [0]  # states by depth; the root has no last token
-        if len(known) > APART:
-            known.clear()
         for word in sorted(words):
+            if len(known) > APART:
+                known.clear()
             shared = len(commonprefix((path, word)))
             del tokens[shared + 1 :], starts[shared + 1 :]
             for depth in range(shared, len(word)):
