@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mentionlake.llm import additive_index, bpe, conversation_repair, jaccard_join, kd_search, line_dedup, lm_score, mixing, periodic_runs, substring_dedup, toxicity, url_filter
+from mentionlake.llm import additive_index, bpe, conversation_repair, jaccard_join, kd_search, license_scan, line_dedup, lm_score, mixing, periodic_runs, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLES = {"op8_url_filter": url_filter.ORACLE, "op9_mixing": mixing.ORACLE, "op6_kd_search": kd_search.ORACLE}
