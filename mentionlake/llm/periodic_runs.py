@@ -131,7 +131,7 @@ def seeds_of_runs(runs: np.ndarray, block: int, low: int) -> tuple[np.ndarray, n
         touch = a[:, 1] >= b[:, 0]  # then any lag up to the shorter one's length
         counts = np.clip(np.minimum(b[:, 1] - b[:, 0], a[:, 1] - a[:, 0]) - low + 1, 0, low) * touch
         lags = ranges(np.full(len(counts), low), counts)
-        found.append((np.repeat(a[:, 1] - 1, counts), lags))
+        found.append((np.minimum(np.repeat(a[:, 1], counts), np.repeat(b[:, 1], counts) - lags) - 1, lags))
         j += 1
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
