@@ -1,7 +1,8 @@
-"""Similarity of titles: the only functions that need Python, in Arrow batches."""
+"""Similarity of titles. Bounds decide most pairs; only what they leave open needs the matcher of blocks, which runs in Arrow batches."""
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,18 +12,59 @@ from pyspark.sql.types import DoubleType
 
 from mentionlake.functions.text import clean_title, jaccard, normalize_text, significant_tokens
 
+#: What the ratio of blocks counts if texts share under two significant words.
+WEAK = 0.55
+
+
+def common_letters(a: str, b: str) -> int:
+    """Letters that both have, each as often as the text that has fewer: no matching of blocks has more."""
+    return (Counter(a) & Counter(b)).total()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits for all of b at a time; blocks that match in order are one."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for c in a:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def ratio_above(a: str, b: str, least: float) -> float | None:
+    """The ratio of matching blocks, 2 M / (len(a) + len(b)), or None if that is surely under `least`: by the lengths, by the letters, by the longest common subsequence, or else by the blocks.
+
+    M depends on which text comes first, as the matcher does.
+    """
+    total = len(a) + len(b)
+    if not total:
+        return 1.0
+    need = least * total / 2 - 1e-9
+    if min(len(a), len(b)) < need or common_letters(a, b) < need or common_subsequence(a, b) < need:
+        return None
+    return SequenceMatcher(None, a, b).ratio()
+
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of matching blocks as the standard library defines it, which no built-in function gives."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio_over(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio of blocks, or null where it is surely under `least`; null texts are pairs that need none."""
+    return pd.Series([None if x is None or y is None else ratio_above(x, y, z) for x, y, z in zip(a, b, least, strict=True)], dtype="float64")
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The greater of the ratio of sequences (weakened if under two significant words are shared) and the Jaccard similarity of significant words."""
+    """The greater of the ratio of sequences (weakened if under two significant words are shared) and the Jaccard similarity of significant words.
+
+    Where the shorter text's length shows that the ratio can't exceed the Jaccard similarity, the pair isn't sent to Python.
+    """
     x, y = normalize_text(clean_title(a)), normalize_text(clean_title(b))
     tokens_x, tokens_y = significant_tokens(x), significant_tokens(y)
-    ratio = sequence_ratio(x, y)
-    shared = F.size(F.array_intersect(tokens_x, tokens_y))
+    words = jaccard(tokens_x, tokens_y)
+    weight = F.when(F.size(F.array_intersect(tokens_x, tokens_y)) < 2, WEAK).otherwise(1.0)
     both = (x != "") & (y != "")
-    return F.when(both, F.greatest(F.when(shared < 2, ratio * 0.55).otherwise(ratio), jaccard(tokens_x, tokens_y))).otherwise(0.0)
+    most = weight * 2 * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+    open_ = both & (most > words)
+    ratio = ratio_over(F.when(open_, x), F.when(open_, y), words / weight)
+    return F.when(both, F.greatest(F.coalesce(weight * ratio, F.lit(0.0)), words)).otherwise(0.0)

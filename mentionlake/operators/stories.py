@@ -1,146 +1,281 @@
-"""Assigning articles to stories.
+"""Assigning articles to stories, article by article in the order of time.
 
-The model's rule is sequential: each article joins the best story so far. What is done here is its parallel form: an article follows the most similar
-earlier article that shares a target with it, and at least two significant words of the title or else a title similarity of 0.45, inside the window of days; articles that follow one another,
-directly or not, are a story, and its first article gives the id. It links to articles rather than to stories that grow, so a long chain can differ
-from the sequential result; the threshold and the score are the model's.
+An article joins, of the stories that were updated in the last days and share a target with it, the one whose title or summary is most similar; strictly more similar than all that come before it by
+temperature and time of update. If none reaches the threshold, it founds a story. Each article changes what the next one meets: a story's targets, temperature and
+time; so the rule is a scan with state, not a join.
+
+The scan is keyed: articles that share no target, directly or through others, never meet, and neither do those with a gap of over the days between them. The targets are configuration, so their components are a small
+table. Each (component, stretch without gap) is one ordered scan, in which rows stream by and the state is the stories of the last days. A new article looks up, by an
+inverted index of words and by profiles of letters, the few stories that can pass; bounds rule out most of these before blocks are matched.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections import Counter
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections import Counter, OrderedDict, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mentionlake.functions.similarity import similarity
-from mentionlake.functions.text import clean_title, significant_tokens
+from mentionlake.functions import text as T
+from mentionlake.functions.similarity import WEAK, ratio_above
+from mentionlake.functions.text import STOP_WORDS
+from mentionlake.sources.settle import settled
 
 THRESHOLD, DAYS = 0.5, 7
-#: Under two shared words titles must reach GATE, and their ratio counts WEAK times.
-GATE, WEAK = 0.45, 0.55
-TILE = 256
+#: Under two shared words titles must reach GATE; a summary's similarity counts SUMMARY times.
+GATE, SUMMARY = 0.45, 0.65
+NEW_TITLE = "Nova historia"
+DAY = 86_400_000_000  # microseconds
+STATE = "id long, title string, summary string, temperature double, updated_at timestamp, target_keys array<string>, n_articles long, sources array<string>"
+EDGES = "article_id long, story_id long, score double"
 
 
-def candidates(articles: DataFrame, days: int = DAYS, tile: int = TILE) -> DataFrame:
-    """(id, earlier): all pairs of articles that share a target, the second at most some days earlier, whose titles share two significant words or reach GATE.
+def temperature(articles: int, sources: int) -> float:
+    return max(0.0, min(100.0, 22.0 + 9.0 * articles + 6.0 * sources))
 
-    Articles of a target and a span of days are dealt into tiles of about `tile` rows, each compared with those of its own span and of the span before, so a frequent
-    target or a busy day makes more tiles and none that is larger.
-    """
-    plain = clean_title(F.col("title"))
-    day = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    named = {"id": F.col("id").cast("long"), "at": day, "plain": plain, "words": significant_tokens(F.col("title")), "own": significant_tokens(plain)}
-    row = F.named_struct(*(x for name, c in named.items() for x in (F.lit(name), c)))
-    rows = articles.select(row.alias("row"), F.floor(day / days).alias("span"), F.explode(F.array_distinct("target_keys")).alias("target"))
-    sizes = rows.groupBy("target", "span").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    dealt = rows.join(sizes, ["target", "span"]).withColumn("tile", F.pmod(F.xxhash64("row.id"), F.col("tiles")))
-    tiles = dealt.groupBy("target", "span", "tile").agg(F.collect_list("row").alias("rows"))
-    later = tiles.select("target", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("span"), F.col("rows").alias("later"))
-    met = later.join(tiles.select("target", "span", F.col("rows").alias("sooner")), ["target", "span"]).select("later", "sooner")
-    return met.mapInArrow(_near(days), "id long, earlier long").distinct()
-
-
-def _common(a: list, b: list) -> np.ndarray:
-    """How many elements each set of a has in common with each of b."""
-    places: dict = {}
-    marks = []
-    for sets in (a, b):
-        marks.append([[places.setdefault(x, len(places)) for x in s] for s in sets])
-    out = []
-    for sets in marks:
-        m = np.zeros((len(sets), len(places)), np.float32)
-        m[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([x for s in sets for x in s], np.int64)] = 1
-        out.append(m)
-    return (out[0] @ out[1].T).round().astype(np.int64)
-
-
-def _numbered(parts: list[str]) -> list[tuple]:
-    """Each part with the number of times that it occurred before: what two such sets have in common is what the multisets have."""
-    seen: Counter = Counter()
-    out = []
-    for x in parts:
-        out.append((x, seen[x]))
-        seen[x] += 1
-    return out
-
-
-def _near(days: int) -> Callable:
-    least = GATE / WEAK  # the ratio of sequences that still gives GATE under two shared words
-
-    def of(rows: list, name: str) -> list:
-        return [r[name] for r in rows]
+
+def warmth(articles: Column, sources: Column) -> Column:
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(22.0) + articles * 9 + sources * 6))
+
+
+def words_of(text: str) -> frozenset[str]:
+    return frozenset(w for w in text.split() if len(w) >= 4 and w not in STOP_WORDS)
+
+
+def similar(a: str, b: str, words_a: frozenset, words_b: frozenset, least: float) -> float:
+    """The similarity of two normalised texts; 0 if it is surely under `least`."""
+    if not a or not b:
+        return 0.0
+    shared = len(words_a & words_b)
+    jaccard = shared / len(words_a | words_b) if words_a and words_b else 0.0
+    weight = 1.0 if shared >= 2 else WEAK
+    ratio = ratio_above(a, b, max(least, jaccard) / weight) if max(least, jaccard) <= weight else None
+    return max(jaccard, weight * (ratio or 0.0))
+
+
+@dataclass
+class Story:
+    id: int
+    title: str  # normalised, without a site's name
+    words: frozenset  # of the title as it is
+    summary: str
+    targets: set
+    updated: int
+    articles: int = 0
+    sources: set = field(default_factory=set)
+    temperature: float = 0.0
+    slot: int = -1
+
+    def __post_init__(self):
+        self.title_words, self.summary_words = words_of(self.title), words_of(self.summary)
+
+
+class Profiles:
+    """How often each letter (by its number modulo 64) occurs in the titles of stories: a bound on what any matching of blocks finds, for all stories at once."""
+
+    def __init__(self):
+        self.counts, self.lengths, self.ids, self.free = np.zeros((64, 64), np.uint16), np.zeros(64, np.int64), np.zeros(64, np.int64), list(range(63, -1, -1))
+
+    @staticmethod
+    def of(title: str) -> np.ndarray:
+        return np.bincount([ord(c) % 64 for c in title], minlength=64).astype(np.uint16) if title else np.zeros(64, np.uint16)
+
+    def add(self, title: str, story: int) -> int:
+        if not self.free:
+            n = len(self.ids)
+            self.counts, self.lengths, self.ids = (np.concatenate((x, np.zeros_like(x))) for x in (self.counts, self.lengths, self.ids))
+            self.free = list(range(2 * n - 1, n - 1, -1))
+        slot = self.free.pop()
+        self.counts[slot], self.lengths[slot], self.ids[slot] = self.of(title), len(title), story
+        return slot
+
+    def remove(self, slot: int) -> None:
+        self.lengths[slot] = 0
+        self.free.append(slot)
+
+    def near(self, title: str, least: float) -> list[int]:
+        """Stories whose titles may have that ratio with this one."""
+        total = self.lengths + len(title)
+        slots = np.flatnonzero((self.lengths > 0) & (np.minimum(self.lengths, len(title)) >= least * total / 2 - 1e-9))
+        if not title or not len(slots):
+            return []
+        common = np.minimum(self.counts[slots], self.of(title)).sum(axis=1)
+        return self.ids[slots[common >= least * total[slots] / 2 - 1e-9]].tolist()
+
+
+class Recent:
+    """The stories of the last days, oldest update first."""
+
+    def __init__(self, days: int):
+        self.stories: OrderedDict[int, Story] = OrderedDict()
+        self.by_word: dict[str, set[int]] = defaultdict(set)
+        self.by_title_word: dict[str, set[int]] = defaultdict(set)
+        self.letters, self.span = Profiles(), days * DAY
+
+    def put(self, story: Story) -> None:
+        self.stories[story.id] = story
+        story.slot = self.letters.add(story.title, story.id)
+        for index, words in ((self.by_word, story.words), (self.by_title_word, story.title_words)):
+            for w in words:
+                index[w].add(story.id)
+
+    def forget(self, before: int) -> None:
+        while self.stories and (story := next(iter(self.stories.values()))).updated < before:
+            self.stories.popitem(last=False)
+            self.letters.remove(story.slot)
+            for index, words in ((self.by_word, story.words), (self.by_title_word, story.title_words)):
+                for w in words:
+                    index[w].discard(story.id)
+                    if not index[w]:
+                        del index[w]
+
+    def candidates(self, title: str, words: frozenset, title_words: frozenset) -> set[int]:
+        """All stories that can pass the gate: two shared words, or a title similarity of GATE, by words or by letters."""
+        common = Counter(s for w in words for s in self.by_word.get(w, ()))
+        found = {s for s, n in common.items() if n >= 2}
+        for s, n in Counter(s for w in title_words for s in self.by_title_word.get(w, ())).items():
+            if n >= 2 or n >= GATE * len(title_words | self.stories[s].title_words) - 1e-9:
+                found.add(s)
+        return found | set(self.letters.near(title, GATE / WEAK))
+
+    def choose(self, a: dict, threshold: float) -> tuple[Story | None, float]:
+        words, title_words, summary_words = frozenset(a["words"]), words_of(a["plain"]), words_of(a["brief"])
+        best, best_key = None, (threshold, -1.0, -1, 0)
+        for s in self.candidates(a["plain"], words, title_words):
+            story = self.stories[s]
+            if story.updated < a["at"] - self.span or story.targets.isdisjoint(a["target_keys"]):
+                continue
+            weak = len(words & story.words) < 2
+            of_title = similar(a["plain"], story.title, title_words, story.title_words, min(GATE, best_key[0]) if weak else best_key[0])
+            if weak and of_title < GATE:
+                continue
+            of_summary = similar(a["brief"], story.summary, summary_words, story.summary_words, best_key[0] / SUMMARY) if best_key[0] <= SUMMARY else 0.0
+            key = (max(of_title, SUMMARY * of_summary), story.temperature, story.updated, -story.id)
+            if key > best_key:
+                best, best_key = story, key
+        return best, best_key[0]
+
+    def place(self, a: dict, threshold: float) -> tuple[int, float | None]:
+        """The story of an article, which the article has joined or founded, and the score if it has joined."""
+        self.forget(a["at"] - self.span)
+        story, score = self.choose(a, threshold)
+        if story is None:
+            title = a["story_plain"] if a["story_plain"] is not None else a["plain"]
+            summary = a["story_brief"] if a["story_brief"] is not None else a["brief"]
+            story, score = Story(a["id"], title, frozenset(a["story_words"] if a["story_words"] is not None else a["words"]), summary, set(), a["at"]), None
+            self.put(story)
+        story.articles += 1
+        story.sources.add(a["source_name"])
+        story.targets.update(a["target_keys"])
+        story.temperature = temperature(story.articles, len(story.sources - {None}))
+        story.updated = max(story.updated, a["at"])
+        self.stories.move_to_end(story.id)
+        return story.id, score
+
+
+def _scan(days: int, threshold: float):
+    """Rows come by key, stored stories before articles, then by time and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, recent = None, Recent(days)
         for batch in batches:
-            for at in range(batch.num_rows):
-                a, b = batch.column("later")[at].as_py(), batch.column("sooner")[at].as_py()
-                (ids, day), (others, since) = ((np.array(of(x, "id"), np.int64), np.array(of(x, "at"), np.int64)) for x in (a, b))
-                gap = day[:, None] - since
-                open_ = (gap <= days) & ((gap > 0) | ((gap == 0) & (others < ids[:, None])))
-                own = _common(of(a, "own"), of(b, "own"))
-                union = np.array([len(x) for x in of(a, "own")])[:, None] + np.array([len(x) for x in of(b, "own")]) - own
-                taken = open_ & ((_common(of(a, "words"), of(b, "words")) >= 2) | (own >= 2) | (own >= GATE * np.maximum(union, 1)))
-                # What matches is `need` characters at least, in one block more than characters are left over at most; so many characters and neighbours the titles share.
-                texts, their = of(a, "plain"), of(b, "plain")
-                la, lb = np.array([len(x) for x in texts])[:, None], np.array([len(x) for x in their])
-                need = np.ceil(least * (la + lb) / 2 - 1e-6)
-                rest = open_ & ~taken & (la > 0) & (lb > 0) & (np.minimum(la, lb) >= need)
-                if rest.any():
-                    rest &= _common([_numbered(list(x)) for x in texts], [_numbered(list(x)) for x in their]) >= need
-                    pairs = [[_numbered([x[i : i + 2] for i in range(len(x) - 1)]) for x in side] for side in (texts, their)]
-                    rest &= _common(*pairs) >= 3 * need - (la + lb) - 1
-                    match = SequenceMatcher(None)
-                    for j in np.flatnonzero(rest.any(axis=0)):
-                        match.set_seq2(their[j])
-                        for i in np.flatnonzero(rest[:, j]):
-                            match.set_seq1(texts[i])
-                            taken[i, j] = match.ratio() * WEAK >= GATE - 1e-9
-                i, j = np.nonzero(taken)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j])], names=["id", "earlier"])
+            out: list[tuple] = []
+            for a in batch.to_pylist():
+                if a["key"] != key:
+                    key, recent = a["key"], Recent(days)
+                if a["stored"]:
+                    recent.put(Story(a["id"], a["plain"], frozenset(a["words"]), a["brief"], set(a["target_keys"]), a["at"], a["n_articles"], set(a["sources"]), a["temperature"]))
+                else:
+                    out.append((a["id"], *recent.place(a, threshold)))
+            ids, stories, scores = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stories, pa.int64()), pa.array(scores, pa.float64())], names=["article_id", "story_id", "score"])
 
     return run
 
 
-def follow(articles: DataFrame, days: int = DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, leader, score): the most similar earlier article, of equals the earliest."""
-    titles = articles.select("id", "title", "summary")
-    before = titles.select(F.col("id").alias("earlier"), F.col("title").alias("t"), F.col("summary").alias("s"))
-    pairs = candidates(articles, days).join(titles, "id").join(before, "earlier")
-    shared = F.size(F.array_intersect(significant_tokens(F.col("title")), significant_tokens(F.col("t"))))
-    of_titles = similarity(F.col("title"), F.col("t"))
-    score = F.greatest("of_titles", 0.65 * similarity(F.col("summary"), F.col("s")))
-    scored = pairs.withColumn("shared", shared).withColumn("of_titles", of_titles).where((F.col("shared") >= 2) | (F.col("of_titles") >= GATE)).select("id", "earlier", score.alias("score"))
-    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.max(F.struct("score", -F.col("earlier"))).alias("b"))
-    return best.select("id", (-F.col("b.col2")).alias("leader"), F.col("b.score").alias("score"))
+def components(sets: DataFrame) -> DataFrame:
+    """(target, component) of sets (target_keys): targets that occur together, directly or through others, have the same least target. A round a step of the longest chain; the targets are few."""
+    members = settled(sets.select(F.array_sort(F.array_distinct("target_keys")).alias("s")).where(F.size("s") > 0).distinct().select(F.xxhash64("s").alias("set"), F.explode("s").alias("target")))
+    labels = settled(members.select("target", F.col("target").alias("component")).distinct())
+    while True:
+        least = members.join(labels, "target").groupBy("set").agg(F.min("component").alias("least"))
+        lower = members.join(least, "set").groupBy("target").agg(F.min("least").alias("lower"))
+        moved = settled(labels.join(lower, "target").select("target", F.col("lower").alias("component"), (F.col("lower") < F.col("component")).alias("moved")))
+        if moved.where("moved").isEmpty():
+            return labels
+        labels = moved.select("target", "component")
 
 
-def assign_stories(articles: DataFrame, days: int = DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, story_id) for articles (id, day, title, summary, target_keys). Leaders of leaders are followed, twice as far each time, until all are first articles."""
-    links = follow(articles, days, threshold).select("id", "leader")
-    ways = _stored(articles.select("id").join(links, "id", "left").select("id", F.coalesce("leader", "id").alias("story_id")))
-    while True:
-        up = ways.select(F.col("id").alias("mid"), F.col("story_id").alias("top"))
-        ways = _stored(ways.join(up, F.col("story_id") == F.col("mid")).select("id", F.col("top").alias("story_id"), (F.col("top") != F.col("story_id")).alias("moved")))
-        if ways.where("moved").isEmpty():
-            return ways.select("id", "story_id")
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="mentionlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/stories-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _prepared(rows: DataFrame) -> DataFrame:
+    """What the scan compares, made of title and summary, and of what a story would keep of them (null if that is the same)."""
+    title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
+    kept = story_title(title)
+    plain = lambda c: T.normalize_text(T.clean_title(c))
+    story = {"story_plain": plain(kept), "story_brief": plain(story_summary(title, summary)), "story_words": T.significant_tokens(kept)}
+    own = {"plain": plain(title), "brief": plain(summary), "words": T.significant_tokens(title)}
+    return rows.select(*(F.col(c) for c in rows.columns if c not in ("title", "summary")), *(v.alias(k) for k, v in own.items()), *(F.when(v != w, v).alias(k) for (k, v), w in zip(story.items(), own.values(), strict=True)))
+
+
+def story_title(title: Column) -> Column:
+    return F.coalesce(F.nullif(F.left(title, F.lit(220)), F.lit("")), F.lit(NEW_TITLE))
+
+
+def story_summary(title: Column, summary: Column) -> Column:
+    return F.coalesce(F.nullif(F.left(summary, F.lit(800)), F.lit("")), F.left(title, F.lit(220)))
+
+
+def assign(articles: DataFrame, state: DataFrame | None = None, days: int = DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """(article_id, story_id, score) of articles (id, at, title, summary, source_name, target_keys), given the stories so far (STATE); the score is null where an article founds its story, whose id is the article's.
+
+    An article without targets founds a story of its own that none joins. A null title, summary or list is an empty one; equal times go by id.
+    """
+    spark = articles.sparkSession
+    state = spark.createDataFrame([], STATE) if state is None else state
+    keys = F.coalesce("target_keys", F.array().cast("array<string>"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    new = articles.select(F.lit(False).alias("stored"), F.col("id").cast("long"), micros("at").alias("at"), "title", "summary", "source_name", keys.alias("target_keys"), F.lit(0).cast("long").alias("n_articles"), F.array().cast("array<string>").alias("sources"), F.lit(0.0).alias("temperature"))
+    old = state.select(F.lit(True).alias("stored"), "id", micros("updated_at").alias("at"), "title", "summary", F.lit(None).cast("string").alias("source_name"), keys.alias("target_keys"), "n_articles", "sources", "temperature")
+    rows = _prepared(new.unionByName(old)).withColumn("target", F.get("target_keys", F.lit(0)))
+    part = components(new.select("target_keys").unionByName(old.select("target_keys")))
+    alone = rows.where("target is null and not stored").select(F.col("id").alias("article_id"), F.col("id").alias("story_id"), F.lit(None).cast("double").alias("score"))
+    met = rows.join(part, "target").withColumn("day", F.floor(F.col("at") / DAY))
+    met = met.join(_stretches(met.select("component", "day").distinct(), days), ["component", "day"])
+    keyed = met.withColumn("key", F.concat_ws("\n", "component", F.col("stretch").cast("string"))).drop("component", "target", "day", "stretch")
+    order = ["key", F.desc("stored"), "at", "id"]
+    return keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(_scan(days, threshold), EDGES).unionByName(alone)
+
+
+def _stretches(active: DataFrame, days: int) -> DataFrame:
+    """(component, day, stretch): active days, numbered anew after each gap in which all stories are forgotten. A row a component and day."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("component").orderBy("day")
+    gap = F.coalesce(F.col("day") - F.lag("day").over(order) > days, F.lit(False))
+    return active.withColumn("cut", gap.cast("int")).withColumn("stretch", F.sum("cut").over(order)).drop("cut")
+
+
+def stories_after(articles: DataFrame, edges: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """The stories that edges touch as they are then: STATE and created_at. What a story had before is in state, for which created_at is taken if it is there."""
+    spark = articles.sparkSession
+    named = F.named_struct(F.lit("title"), "title", F.lit("summary"), "summary")
+    joined = edges.join(articles.withColumn("id", F.col("id").cast("long")), F.col("article_id") == F.col("id"))
+    founder = F.col("article_id") == F.col("story_id")
+    grown = joined.groupBy("story_id").agg(
+        F.max(F.when(founder, named)).alias("founder"), F.min(F.when(founder, F.col("at").cast("timestamp"))).alias("born"), F.max(F.col("at").cast("timestamp")).alias("last"),
+        F.count(F.lit(1)).alias("n"), F.collect_set("source_name").alias("from"), F.array_distinct(F.flatten(F.collect_set("target_keys"))).alias("of"),
+    )
+    old = (spark.createDataFrame([], STATE) if state is None else state).withColumnRenamed("id", "story_id")
+    old = old if "created_at" in old.columns else old.withColumn("created_at", F.lit(None).cast("timestamp"))
+    both = grown.join(old, "story_id", "left")
+    none = F.array().cast("array<string>")
+    title, summary = F.coalesce("founder.title", F.lit("")), F.coalesce("founder.summary", F.lit(""))
+    n = F.coalesce("n_articles", F.lit(0)) + F.col("n")
+    sources = F.array_sort(F.array_union(F.coalesce("sources", none), "from"))
+    return both.select(
+        F.col("story_id").alias("id"), F.coalesce("title", story_title(title)).alias("title"), F.coalesce(both["summary"], story_summary(title, summary)).alias("summary"), warmth(n, F.size(sources)).alias("temperature"),
+        F.greatest("updated_at", "last").alias("updated_at"), F.array_sort(F.array_union(F.coalesce("target_keys", none), "of")).alias("target_keys"), n.alias("n_articles"), sources.alias("sources"), F.coalesce("created_at", "born").alias("created_at"),
+    )

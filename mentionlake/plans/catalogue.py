@@ -19,6 +19,8 @@ from mentionlake.operators import export as X
 from mentionlake.operators import persist as P
 from mentionlake.operators import stories as R
 from mentionlake.sources import adapters as L
+from mentionlake.sources.settle import shared_folder
+from mentionlake.streaming.story_store import StoryStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -527,8 +529,49 @@ def summary_payloads(spark, sf_dir):
 
 @query()
 def assigned_stories(spark, sf_dir):
-    """Stories of documents by similarity of their first words; targets are sources, days follow doc_id. Needs the sequence ratio, so there is no SQL."""
+    """Stories of documents by the model's rule, article by article: titles are first sentences, summaries those of whole texts, the target is the language. Needs the ratio of blocks, so there is no SQL."""
     docs = L.read(spark, sf_dir, "documents")
-    day = F.date_add(F.lit("2000-01-01").cast("date"), F.floor(F.col("doc_id") / 100).cast("int"))
-    rows = docs.select(F.col("doc_id").alias("id"), day.alias("day"), F.left("text", F.lit(80)).alias("title"), F.substring("text", 81, 200).alias("summary"), F.array("lang").alias("target_keys"))
-    return R.assign_stories(rows)
+    at = F.timestamp_seconds(F.col("doc_id") * 864 + 946_684_800)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), at.alias("at"), T.capped(F.get(F.split(text, "[.!?\n]"), F.lit(0)), "title").alias("title"), T.summarize(text).alias("summary"), F.col("source").alias("source_name"), F.array("lang").alias("target_keys"))
+    return R.assign(rows)
+
+
+# --- stories that grow batch by batch ----------------------------------------------------------------------------------------------------------
+
+GROWN = """WITH a AS (SELECT event_id AS id, ts, md5(user_id || ':' || event_type) AS h, event_type, 's' || (event_id % 4) AS source FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 7 DAY THEN 0 ELSE 1 END AS cut FROM a WINDOW w AS (PARTITION BY h ORDER BY ts, id)), k AS (SELECT *, sum(cut) OVER (PARTITION BY h ORDER BY ts, id) AS island FROM g),
+f AS (SELECT *, first_value(id) OVER (PARTITION BY h, island ORDER BY ts, id) AS story_id FROM k) """
+
+
+def grown_stories(spark, sf_dir):
+    """A store of stories fed with events in three batches of time, one of them twice. Titles are hashes of user and kind, so the same key is the same story unless a week has passed."""
+    events = L.read(spark, sf_dir, "events")
+    h = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    title = F.concat_ws(" ", F.left(h, F.lit(16)), F.right(h, F.lit(16)))
+    rows = events.select(F.col("event_id").alias("id"), F.col("ts").alias("at"), title.alias("title"), title.alias("summary"), F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("source_name"), F.array("event_type").alias("target_keys"))
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select("low", ((F.unix_micros(F.col("high").cast("timestamp")) - F.unix_micros(F.col("low").cast("timestamp"))) / 3).alias("third"))
+    part = F.least(F.floor((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("low").cast("timestamp"))) / F.greatest("third", F.lit(1.0))), F.lit(2))
+    dealt = rows.crossJoin(F.broadcast(span)).withColumn("part", part).drop("low", "third")  # one row
+    store = StoryStore(spark, shared_folder(spark))
+    for number in (0, 1, 1, 2):
+        store.apply(number, dealt.where(F.col("part") == number).drop("part"))
+    return store
+
+
+@query(GROWN + """SELECT story_id AS id, substr(h, 1, 16) || ' ' || substr(h, 17) AS title, least(100.0::DOUBLE, 22.0::DOUBLE + 9 * count(*) + 6 * count(DISTINCT source)) AS temperature, count(*) AS n_articles, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+  any_value(event_type) AS target_keys, min(ts)::TIMESTAMP AS created_at, max(ts)::TIMESTAMP AS updated_at FROM f GROUP BY story_id, h""")
+def stored_stories(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    return grown_stories(spark, sf_dir).stories().select("id", "title", "temperature", "n_articles", joined("sources"), joined("target_keys"), *times)
+
+
+@query(GROWN + "SELECT story_id, id AS article_id FROM f")
+def stored_story_articles(spark, sf_dir):
+    return grown_stories(spark, sf_dir).story_articles().select("story_id", "article_id")
+
+
+@query(GROWN + "SELECT DISTINCT story_id, event_type AS target_key FROM f")
+def stored_story_targets(spark, sf_dir):
+    return grown_stories(spark, sf_dir).story_targets()
