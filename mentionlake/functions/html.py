@@ -63,7 +63,7 @@ def tags(html: Column, tag: str, **attrs: str) -> Column:
 
 def linked(html: Column, tag: str, **attrs: str) -> Column:
     """Where the first such tag leads; empty without one."""
-    return F.coalesce(attribute(F.get(tags(html, tag, **attrs), F.lit(0)), "href"), F.lit(""))
+    return unescape(F.coalesce(attribute(F.get(tags(html, tag, **attrs), F.lit(0)), "href"), F.lit("")))
 
 
 #: Parts of classes of elements that hold an article's text.

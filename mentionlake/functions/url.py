@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mentionlake.functions.bind import let
+
 #: Query keys that only track, parts of paths and file endings that no article has.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "ref", "ref_src", "ref_url", "_ga", "mc_cid", "mc_eid"]
 BAD_PATHS = ["/feed", "/rss", "/wp-content", "/tag/", "/author/", "/category/", "/comentarios", "/search/", "/vereadores/", "/atividade-parlamentar/", "/comissoes/", "/frentes/"]
@@ -184,12 +186,13 @@ def host_matches(host: Column, expected: Column) -> Column:
 
 def likely_article(url: Column, host_fragment: str = "", longest: int = 12) -> Column:
     """An http(s) URL on the host, with a path that has a long segment and nothing that only listings and files have."""
-    path = F.lower(_part(url, 3))
-    ok = F.lower(_part(url, 1)).isin("http", "https") & ~path.isin("", "/")
-    if host_fragment:
-        ok = ok & F.contains(authority(url), F.lit(host_fragment.lower()))
-    for token in BAD_PATHS:
-        ok = ok & ~F.contains(path, F.lit(token))
-    for ending in BAD_ENDINGS:
-        ok = ok & ~F.endswith(path, F.lit(ending))
-    return ok & F.exists(F.split(path, "/"), lambda s: F.length(s) >= longest)
+
+    def of(path: Column) -> Column:
+        ok = ~path.isin("", "/") & ~F.exists(F.array(*map(F.lit, BAD_PATHS)), lambda token: F.contains(path, token)) & ~F.exists(F.array(*map(F.lit, BAD_ENDINGS)), lambda end: F.endswith(path, end))
+        return ok & F.exists(F.split(path, "/"), lambda s: F.length(s) >= longest)
+
+    def whole(u: Column) -> Column:
+        ok = F.lower(_part(u, 1)).isin("http", "https") & let(F.lower(_part(u, 3)), of)
+        return ok & F.contains(authority(u), F.lit(host_fragment.lower())) if host_fragment else ok
+
+    return let(url, whole)

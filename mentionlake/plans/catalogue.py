@@ -322,7 +322,7 @@ WS = r"[\s\x{00A0}\x{0085}\x{2028}\x{2029}]"
 
 @query(rf"""WITH plain AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g'), 'https?://\S+', ' ', 'g') AS p FROM documents),
 cut AS (SELECT doc_id, p, [y FOR y IN [regexp_replace(x, '^{WS}+|{WS}+$', '', 'g') FOR x IN string_split(regexp_replace(p, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1))] IF y <> ''] AS s FROM plain),
-good AS (SELECT doc_id, p, s, [x FOR x IN s IF NOT regexp_matches(x, '(?i)(resultado[s]?\s+da\s+pesquisa|wp-content|comments?)') AND len([w FOR w IN string_split_regex(x, '{WS}+') IF w <> '']) >= 6] AS g FROM cut)
+good AS (SELECT doc_id, p, s, [x FOR x IN s IF NOT regexp_matches(x, '{T.SEARCH_NOISE}') AND len([w FOR w IN string_split_regex(x, '{WS}+') IF w <> '']) >= 6] AS g FROM cut)
 SELECT doc_id, CASE WHEN len(s) = 0 THEN left(p, 420) ELSE left(array_to_string((CASE WHEN len(g) > 0 THEN g ELSE s END)[1:3], ' '), 700) END AS summary FROM good""")
 def summarize(spark, sf_dir):
     return L.read(spark, sf_dir, "documents").select("doc_id", T.summarize(F.col("text")).alias("summary"))
@@ -377,12 +377,12 @@ DECISIONS = r"""WITH c AS (SELECT d.doc_id, d.source, trim(left(d.text, 80)) AS
   CASE WHEN doc_id % 9 = 0 THEN '' ELSE strftime(DATE '2000-01-01' + (doc_id % 400)::INTEGER, '%Y-%m-%d') END AS published_at, doc_id % 7 = 0 AS needs_date, doc_id % 5 = 0 AS exact_body, doc_id % 4 = 0 AS stored,
   CASE WHEN doc_id % 23 = 0 THEN 'timeout' END AS fetch_error, contains(lower(d.text), 'the') OR contains(lower(d.text), 'und') AS hit, contains(lower(left(d.text, 280)), 'the') OR contains(lower(left(d.text, 280)), 'und') AS preview FROM documents d),
 q AS (SELECT *, published_at = '' OR (published_at >= '2000-02-01' AND published_at <= '2000-12-31') AS inside,
-  trim(title) = '' OR lower(title) = '(sem titulo)' OR regexp_matches(title, '(?i)(resultado[s]?\s+da\s+pesquisa|wp-content|comments?)') OR regexp_matches(summary, '(?i)(resultado[s]?\s+da\s+pesquisa|wp-content|comments?)') AS noise,
+  trim(title) = '' OR lower(title) = '(sem titulo)' OR regexp_matches(title, '@NOISE') OR regexp_matches(summary, '@NOISE') AS noise,
   len([w FOR w IN string_split_regex(summary, '\s+') IF w <> '']) < 20 AS short FROM c),
 decided AS (SELECT doc_id, source, CASE WHEN NOT needs_date AND NOT inside THEN 'outside_date_window' WHEN fetch_error IS NOT NULL THEN 'fetch_fail:' || fetch_error WHEN needs_date AND published_at = '' THEN 'missing_published_at'
   WHEN NOT hit THEN 'no_match_exact_name' WHEN exact_body AND trim(body) = '' THEN 'missing_body' WHEN NOT contains(title || ' ' || summary || ' ' || body, 'the') THEN 'forced_terms_not_matched'
   WHEN NOT inside THEN 'outside_date_window' WHEN noise OR (short AND NOT preview) THEN 'low_article_quality' WHEN stored THEN 'already_in_database' ELSE 'saved' END AS reason FROM q),
-final AS (SELECT *, CASE reason WHEN 'saved' THEN 'selected' WHEN 'already_in_database' THEN 'duplicate' ELSE 'skipped' END AS status FROM decided) """
+final AS (SELECT *, CASE reason WHEN 'saved' THEN 'selected' WHEN 'already_in_database' THEN 'duplicate' ELSE 'skipped' END AS status FROM decided) """.replace("@NOISE", T.SEARCH_NOISE)
 
 
 def decisions_of(spark: SparkSession, sf_dir: str) -> DataFrame:

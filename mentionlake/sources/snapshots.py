@@ -78,7 +78,7 @@ def card_articles(found: DataFrame) -> DataFrame:
     spans = F.transform(H.insides(meta, "span"), T.fragment_text)
     span = lambda k: F.coalesce(F.get(spans, F.lit(k)), F.lit(""))
     heading = H.first_inside(a, "h3")
-    url = H.unescape(H.linked(heading, "a"))
+    url = H.linked(heading, "a")
     title = T.fragment_text(heading)
     label = T.fragment_text(H.first_inside(a, *LABEL))
     label = F.when(label != "", label).when(F.contains(a, F.lit("summary-ai")), AI).otherwise(RAW)

@@ -21,3 +21,31 @@ def test_windowed_counts(spark, sf):
     query = counted.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n) from counts").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_captures_resume(spark, tmp_path):
+    """A query that is stopped and started again reads each captured page once, in order, in bounded batches."""
+    from mentionlake.streaming import captures
+
+    folder = tmp_path / "captures"
+    put = lambda day, page: (folder / day[:7]).mkdir(parents=True, exist_ok=True) or (folder / day[:7] / f"{day}_{page:04d}.html").write_text(f"https://a/{day}/{page}\n<p>{page}</p>\nend")
+    for day, page in (("2026-01-01", 1), ("2026-01-01", 2), ("2026-01-02", 1), ("2026-01-03", 1), ("2025-12-31", 9)):
+        put(day, page)
+    (folder / "notes.txt").write_text("x")
+    out = str(tmp_path / "out")
+
+    def run():
+        captures.follow(captures.captured(spark, str(folder), start_date="2026-01-01", end_date="2026-01-31", pages="2"), out, str(tmp_path / "check"), "q", "2026-01-01", "2026-01-31").awaitTermination()
+        return sorted((r.day, r.page) for r in spark.read.parquet(f"{out}/pages").collect())
+
+    first = run()
+    assert first == [("2026-01-01", 1), ("2026-01-01", 2), ("2026-01-02", 1), ("2026-01-03", 1)] or first == [("2026-01-01", 1), ("2026-01-01", 2)]
+    put("2026-01-03", 2)
+    put("2026-02-01", 1)
+    for _ in range(3):
+        last = run()
+    assert last == [("2026-01-01", 1), ("2026-01-01", 2), ("2026-01-02", 1), ("2026-01-03", 1), ("2026-01-03", 2)]
+    log = spark.read.parquet(f"{out}/state")
+    row = captures.state(log, "q", "2026-01-01", "2026-01-31").first()
+    assert (row.current_date, row.current_page) == ("2026-01-03", 2) and captures.state(log, "q", "", "").count() == 0
+    assert {r.html for r in spark.read.parquet(f"{out}/pages").collect()} == {"<p>1</p>\nend", "<p>2</p>\nend"}
