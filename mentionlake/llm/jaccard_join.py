@@ -11,8 +11,8 @@
    each document its number of links (copies counted), with no pair written anywhere.
 
 Words are runs of characters other than space and U+0009 to U+000D, unchanged. Defined results: a text of fewer words than a shingle has one shingle, all its
-words. A text without words (null, empty) has no set: it links to nothing and is its own class. Rows that repeat a doc_id are each a document with the same
-id. Null doc_ids take no part in classes: class and copy are null, links 0. Other columns are not looked at.
+words. A text without words (null, empty) has no set: it links to nothing and is its own class. Rows that repeat a doc_id are each a document with that
+id, whether their texts are equal or not; of classes with the same smallest doc_id each has its own members. Null doc_ids take no part in classes: class and copy are null, links 0. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.where(edge < stop, first % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
 
 
-def _members(size: int) -> Callable:
+def _members(size: int, texts: bool = False) -> Callable:
+    """Of each row doc_id, the 128-bit hash of its set (null without words), and the set's size or, with `texts`, the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
         for batch in batches:
@@ -97,7 +99,8 @@ def _members(size: int) -> Callable:
                 h = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
                 keys.append((None, None) if h is None else (h >> 64, h & (2**64 - 1)))
             k1, k2 = (pa.array([None if k[i] is None else k[i] - 2**63 for k in keys], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), k1, k2, pa.array(sizes, pa.int64())], names=["doc_id", "k1", "k2", "n"])
+            last = batch.column("text") if texts else pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), k1, k2, last], names=["doc_id", "k1", "k2", "text" if texts else "n"])
 
     return run
 
@@ -259,17 +262,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def several_sets(members: DataFrame) -> DataFrame:
+    """(d): doc_ids of rows with different sets, or with a set and without one."""
+    one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2")) & (F.count("k1") == F.count(F.lit(1)))
+    ids = members.where("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg((one | (F.count("k1") == 0)).alias("one"))
+    return settled(ids.where("not one").select("d"))
+
+
 def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, choices: float = CHOICES) -> DataFrame:
     """(doc_id, copy_of, class_id, n_links) for every row of docs: the smallest doc_id with the same set, that of the class, and how many other documents are at the threshold or above."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = settled(docs.mapInArrow(_members(size), "doc_id long, k1 long, k2 long, n long"))
-    classes = settled(members.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
+    mixed_ids = several_sets(members)
+    some_mixed = not mixed_ids.isEmpty()
+    lasting = members.join(mixed_ids, F.col("doc_id") == F.col("d"), "left").withColumn("own", F.when(F.col("d").isNull(), F.col("doc_id"))).drop("d") if some_mixed else members.withColumn("own", F.col("doc_id"))
+    grouped = lasting.where("doc_id is not null and k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min("own").alias("own"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    # A class is known by its smallest doc_id that has one set only; without one by a number below all doc_ids.
+    least = members.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("least"))
+    classes = settled(grouped.crossJoin(F.broadcast(least)).select("k1", "k2", "first", F.coalesce("own", F.col("least") - 1 - F.monotonically_increasing_id()).alias("id"), F.col("own").isNull().alias("made"), "copies", "n"))  # least: one row
     # One text for each class: those of later copies are left out, those that repeat a row are taken once.
-    later = members.join(classes.where("copies > 1"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), (F.col("doc_id") != F.col("id")).alias("later"), "copies")
+    later = members.join(classes.where("copies > 1"), ["k1", "k2"]).select(F.col("doc_id").alias("d"), (F.col("doc_id") != F.col("id")).alias("later"))
+    later = later.unionByName(mixed_ids.select("d", F.lit(True).alias("later"))) if some_mixed else later
     later = settled(later.groupBy("d").agg(F.max("later").alias("later")))
     listed, others = maybe_among(docs, later)
     some = listed.join(later, F.col("doc_id") == F.col("d"), "left").where("not coalesce(later, false)").select("doc_id", "text").dropDuplicates(["doc_id"])
     single = others.select("doc_id", "text").union(some).where("doc_id is not null")
+    if some_mixed:
+        theirs = maybe_among(docs, mixed_ids)[0].mapInArrow(_members(size, True), "doc_id long, k1 long, k2 long, text string")
+        single = single.union(settled(theirs.join(classes.where("made"), ["k1", "k2"]).groupBy("id").agg(F.min("text").alias("text"))))
 
     rows = single.mapInArrow(_choose(size, choices, runs_needed(recall, threshold, choices, depth)), ROWS)
     found = None
@@ -291,13 +311,15 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     forest = by_group(whole, "cluster", "lo", "hi").mapInArrow(_verified(size, threshold, False), "a long, b long")
     joined = components(forest)
     nodes = joined.union(joined.select(F.col("component").alias("id"), "component")).distinct()
-    nodes = settled(nodes.join(classes.select("id", "copies", "n"), "id"))
+    nodes = settled(nodes.join(classes.select("id", "first", "copies", "n"), "id"))
     sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("words"))
     placed = with_text(in_blocks(nodes, "component", sizes, block), single, nodes).select("component", "lo", "hi", "block", "id", "text", "copies")
     links = by_group(placed, "component", "lo", "hi").mapInArrow(_verified(size, threshold, True), "a long, b long")
     linked = links.groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
-    known = classes.join(nodes.select("id", "component"), "id", "left").join(linked, "id", "left")
-    known = known.select("k1", "k2", F.col("id").alias("copy_of"), F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = nodes.groupBy("component").agg(F.min("first").alias("class")) if some_mixed else None
+    nodes = nodes.join(named, "component").select("id", "class") if some_mixed else nodes.select("id", F.col("component").alias("class"))
+    known = classes.join(nodes, "id", "left").join(linked, "id", "left")
+    known = known.select("k1", "k2", F.col("first").alias("copy_of"), F.coalesce("class", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lone = members.where("doc_id is null or k1 is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return members.where("doc_id is not null").join(known, ["k1", "k2"]).select("doc_id", "copy_of", "class_id", "n_links").union(lone)
 
