@@ -1,52 +1,78 @@
-"""HTML entities: named and numbered ones, without a Python UDF."""
+"""HTML entities: named and numbered ones, without a Python UDF. A name is looked up by its hash, in one step however many names there are."""
 
 from __future__ import annotations
 
 import json
 from functools import cache
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mentionlake.functions.bind import let
+
+BUCKETS = 4096
+LOST = "�"
+
 
 @cache
-def _names() -> str:
-    """The standard library's table of names that end in a semicolon, as JSON."""
-    return json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+def _named() -> str:
+    """The standard library's names without their semicolon, dealt by their hash, as JSON; `bare`: also read without one."""
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for name, value in html5.items():
+        if name.endswith(";"):
+            buckets[crc32(name[:-1].encode()) % BUCKETS].append({"name": name[:-1], "value": value})
+    return json.dumps(buckets)
 
 
 @cache
-def _short_names() -> str:
-    """Names that old pages write without a semicolon."""
-    return "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+def _bare_names() -> tuple[str, ...]:
+    """Names that old pages write without a semicolon, longest first."""
+    return tuple(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+
+
+def _value(name: Column) -> Column:
+    """The text of a name; null for others."""
+    buckets = F.from_json(F.lit(_named()), "array<array<struct<name:string,value:string>>>")
+    return F.get(F.filter(F.get(buckets, F.pmod(F.crc32(name), F.lit(BUCKETS)).cast("int")), lambda x: x["name"] == name), F.lit(0))["value"]
+
+
+def _windows(byte: int) -> str:
+    try:
+        return bytes([byte]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(byte)
+
+
+def _from_code(code: Column) -> Column:
+    """The character that a number stands for: 128 to 159 as old pages mean them, nothing for what is no character, the mark of a lost one for 0, surrogates and beyond Unicode."""
+    old = F.array(*(F.lit(_windows(b)) for b in range(128, 160)))
+    nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # a mark of byte order first, or the decoder takes U+FEFF for one
+    return F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), LOST).when(code.between(128, 159), F.get(old, (code - 128).cast("int"))).when(nothing, "").otherwise(char)
 
 
-def _character(digits: Column, base: int) -> Column:
-    """The character of a code point."""
-    code = F.conv(digits, base, 16)
-    usable = (F.length(code) <= 6) & ~code.isin("0", "FFFFFFFFFFFFFFFF") & (F.lpad(code, 8, "0") <= "0010FFFF")
-    return F.when(usable, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise("\ufffd")
+def _numbered(digits: Column, base: int) -> Column:
+    """The number of a digit text; null if it is longer than any character's."""
+    plain = F.ltrim(digits, F.lit("0"))
+    return F.when(F.length(plain) <= 8, F.conv(F.concat(F.lit("0"), plain), base, 10).cast("long"))
 
 
 def unescape(text: Column) -> Column:
     """Text with its entities read: &name; &#number; &#xnumber; and the old names without a semicolon. Others stay."""
-    names = F.from_json(F.lit(_names()), "map<string,string>")
 
     def one(part: Column) -> Column:
-        number, hexa = F.regexp_extract(part, r"^#([0-9]+);?", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+);?", 1)
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        short = F.regexp_extract(part, f"^({_short_names()})", 1)
+        number, hexa, name = F.regexp_extract(part, r"^#([0-9]+)", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.get(F.filter(F.array(*map(F.lit, _bare_names())), lambda n: F.startswith(part, n)), F.lit(0))
         rest = lambda pattern: F.regexp_replace(part, pattern, "")
-        known = F.try_element_at(names, name)
+        without_semicolon = let(bare, lambda n: F.when(n.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(_value(n), F.substring(part, F.length(n) + 1, F.length(part)))))
         return (
-            F.when(number != "", F.concat(_character(number, 10), rest(r"^#[0-9]+;?")))
-            .when(hexa != "", F.concat(_character(hexa, 16), rest(r"^#[xX][0-9a-fA-F]+;?")))
-            .when(known.isNotNull(), F.concat(known, rest(r"^[A-Za-z][A-Za-z0-9]*;")))
-            .when(short != "", F.concat(F.try_element_at(names, short), F.substring(part, F.length(short) + 1, F.length(part))))
-            .otherwise(F.concat(F.lit("&"), part))
+            F.when(number != "", F.concat(let(_numbered(number, 10), _from_code), rest(r"^#[0-9]+;?")))
+            .when(hexa != "", F.concat(let(_numbered(hexa, 16), _from_code), rest(r"^#[xX][0-9a-fA-F]+;?")))
+            .when(name != "", let(_value(name), lambda v: F.when(v.isNotNull(), F.concat(v, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(without_semicolon)))
+            .otherwise(without_semicolon)
         )
 
-    parts = F.split(text, "&")
-    read = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    read = let(F.split(text, "&"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), "")))
     return F.when(F.contains(text, F.lit("&")), read).otherwise(text)

@@ -89,3 +89,8 @@ def write_report(rows: DataFrame, path: str) -> None:
     """The report as JSON lines and as CSV."""
     rows.write.mode("overwrite").json(f"{path}/json")
     report(rows).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def locale_key(text: Column, locale: str = "pt") -> Column:
+    """Text that sorts and groups as the locale has it (a collation)."""
+    return F.collate(text, locale)

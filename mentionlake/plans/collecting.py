@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mentionlake.functions import text as T
 from mentionlake.functions import url as U
+from mentionlake.operators import export as X
 from mentionlake.plans.catalogue import ORACLES, QUERIES, query
 from mentionlake.sources import adapters as L
 from mentionlake.sources import archive as R
@@ -89,3 +92,20 @@ def scraped_links(spark, sf_dir):
     asked = F.split_part(U.path_of(F.col("url")), F.lit("/"), F.lit(2))
     found = R.direct_scrape(pages.select(site.alias("site"), asked.alias("query"), F.col("page_id").alias("place"), "url", "html"), "2026-01-01T00:00:00+00:00", limit=40, longest=3)
     return found.select("url", "source_name", "query", "title")
+
+
+@query("SELECT user_id, coalesce(min(CASE WHEN event_type <> 'view' THEN event_type END), '') AS query, CASE WHEN sum(event_id % 3) - 20 > 0 THEN sum(event_id % 3) - 20 ELSE 100000 END::BIGINT AS candidates FROM events GROUP BY user_id")
+def source_defaults(spark, sf_dir):
+    """The first keyword of each target, and the limit where none is asked for."""
+    events = L.read(spark, sf_dir, "events")
+    words = F.array_sort(F.collect_set(F.when(F.col("event_type") != "view", F.col("event_type"))))
+    return events.groupBy("user_id").agg(T.default_query(words).alias("query"), T.candidate_limit(F.sum(F.col("event_id") % 3) - 20).cast("long").alias("candidates"))
+
+
+@query("""WITH t AS (SELECT doc_id, lang, split_part(regexp_replace(coalesce(text, ''), '[^\\p{L} ]', '', 'g'), ' ', 1) AS title FROM documents), r AS (SELECT lang, doc_id, title, row_number() OVER (PARTITION BY lang ORDER BY title COLLATE pt, doc_id) AS place FROM t)
+SELECT lang, doc_id, place FROM r WHERE place <= 60""".replace("\\\\", "\\"))
+def titles_in_locale_order(spark, sf_dir):
+    """The first words of documents as titles, in the order of Portuguese: accents count after letters, case after accents."""
+    title = F.split_part(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L} ]", ""), F.lit(" "), F.lit(1))
+    rows = L.read(spark, sf_dir, "documents").select("lang", "doc_id", X.locale_key(title).alias("title"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("title", "doc_id")).cast("long")).where("place <= 60").select("lang", "doc_id", "place")
