@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mentionlake.functions import text as T
 from mentionlake.operators import candidates as C
+from mentionlake.sources.settle import settled
 
 NEW_STORY, NEW_TITLE = 34.0, "Nova historia"
 
@@ -64,11 +66,12 @@ def scrape_terms(target: dict, *, variants: dict[str, list[str]] | None = None,
     return list(dict.fromkeys(str(t).strip() for t in own if str(t).strip()))
 
 
-def ingest(candidates: DataFrame, stored: DataFrame, keywords: list[tuple[str, str]], *, source: str, per_source: int, names: dict[str, str], **options) -> dict[str, DataFrame]:
-    """Tables decisions, articles, mentions and log from planned candidates (url, pos, title, summary, body, published_at, fetch_error, needs_date, exact_body, source).
+def ingest(candidates: DataFrame, stored: DataFrame, keywords: list[tuple[str, str]], *, source: str, per_source: int, names: dict[str, str], on_progress: Callable[[dict], None] | None = None, **options) -> dict[str, DataFrame]:
+    """Tables decisions, articles, mentions and log in one pass over planned candidates (url, pos, title, summary, body, published_at, fetch_error, needs_date, exact_body, source).
 
     Each URL is looked at once a source, so many of each source. A candidate is matched by the keywords; the ladder of rules decides; what it selects is
-    an article (the first of its URL), with one mention for each target that was found.
+    an article (the first of its URL), with one mention for each target that was found. The ladder runs once: its decisions are settled, and the other tables
+    are made of them. What that pass has counted (seen, selected, duplicates, skipped, sources) goes to on_progress when it is over.
     """
     once = C.first_by(candidates, F.concat_ws("\n", F.col(source), F.col("url")), "pos").where("coalesce(url, '') <> ''")
     rows = C.limit_per(once, source, per_source, "pos")
@@ -76,7 +79,11 @@ def ingest(candidates: DataFrame, stored: DataFrame, keywords: list[tuple[str, s
     known = stored.select(F.col("url").alias("_known")).distinct()
     found = lambda text: sum((F.contains(F.lower(text), F.lit(w.lower())).cast("int") for _, w in keywords), F.lit(0))
     ready = rows.join(known, F.col("url") == F.col("_known"), "left").withColumn("stored", F.col("_known").isNotNull()).drop("_known").withColumn("n_hits", found(full)).withColumn("n_preview_hits", found(preview))
-    decisions = C.decide(ready, **options)
+    n = lambda status: F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0)).alias(status)
+    passed = Observation()
+    decisions = settled(C.decide(ready, **options).observe(passed, F.count(F.lit(1)).alias("seen"), n("selected"), n("duplicate"), n("skipped")))
+    if on_progress:
+        on_progress(passed.get)
     selected = C.first_by(decisions.where("status = 'selected'"), F.col("url"), "plan", "pos") if "plan" in decisions.columns else C.first_by(decisions.where("status = 'selected'"), F.col("url"), "pos")
     articles = selected.select(
         "url", T.capped(T.clean_title(F.col("title")), "title").alias("title"), F.col(source).alias("source_name"), "published_at",
@@ -90,6 +97,13 @@ def ingest(candidates: DataFrame, stored: DataFrame, keywords: list[tuple[str, s
     return {"decisions": decisions, "articles": articles, "mentions": mentions, "log": counters}
 
 
+def story_rows(articles: DataFrame, mentions: DataFrame, at: Column) -> DataFrame:
+    """Articles as a store of stories takes them (id, at, title, summary, source_name, target_keys): the id is a hash of the URL, the targets are those of the mentions."""
+    keys = mentions.groupBy(F.col("url").alias("_url")).agg(F.array_sort(F.collect_set("target_key")).alias("target_keys"))
+    joined = articles.join(keys, F.col("url") == F.col("_url"))
+    return joined.select(F.xxhash64("url").alias("id"), at.cast("timestamp").alias("at"), "title", "summary", "source_name", "target_keys")
+
+
 def new_mentions(rows: DataFrame) -> DataFrame:
     """Mentions as they are stored: neutral without a sentiment, empty without a reason or a context."""
     for name, default in (("sentiment", "neutral"), ("sentiment_reason", ""), ("context", "")):

@@ -109,3 +109,6 @@ def titles_in_locale_order(spark, sf_dir):
     title = F.split_part(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L} ]", ""), F.lit(" "), F.lit(1))
     rows = L.read(spark, sf_dir, "documents").select("lang", "doc_id", X.locale_key(title).alias("title"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("title", "doc_id")).cast("long")).where("place <= 60").select("lang", "doc_id", "place")
+
+
+ORACLES["site_results"] = FOUND_LINKS + "SELECT search_url, arg_min(title, pos) AS title, url FROM f WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.com') GROUP BY search_url, url"

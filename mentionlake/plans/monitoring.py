@@ -196,6 +196,41 @@ def ingested_decisions(spark, sf_dir):
     return ingested(spark, sf_dir)["decisions"].groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingested_whole(spark, sf_dir):
+    """A run in which texts are their own summaries, so that long ones are saved."""
+    docs, k = L.read(spark, sf_dir, "documents").where("source is not null"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.concat(F.lit("http://h/"), (k % 700).cast("string")).alias("url"), k.alias("pos"), "source", F.regexp_extract(text, r"^\S+", 0).alias("title"), text.alias("summary"), text.alias("body"), F.lit("2000-06-01").alias("published_at"),
+        F.lit(None).cast("string").alias("fetch_error"), F.lit(False).alias("needs_date"), F.lit(False).alias("exact_body"),
+    )
+    stored = spark.range(0, 700, 7).select(F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"))
+    return I.ingest(rows, stored, KEYWORDS, source="source", per_source=400, names={"german": "German", "french": "French"}, date_from="2000-01-01")
+
+
+SAVED = r"""WITH c AS (SELECT doc_id AS pos, 'http://h/' || (doc_id % 700) AS url, doc_id % 700 % 7 = 0 AS stored, source, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '^\S+') AS title, lower(regexp_extract(coalesce(text, ''), '^\S+') || ' ' || coalesce(text, '') || ' ' || coalesce(text, '')) AS low FROM documents WHERE source IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, url ORDER BY pos) AS r FROM c), l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM o WHERE r = 1),
+w AS (SELECT *, [x FOR x IN [{'t': 'insult', 'w': 'idiot'}, {'t': 'insult', 'w': 'worthless'}, {'t': 'article', 'w': 'the and'}, {'t': 'german', 'w': 'und der'}, {'t': 'french', 'w': 'de la'}] IF contains(low, x.w)] AS hits FROM l WHERE k <= 400),
+z AS (SELECT *, CASE WHEN len(hits) = 0 THEN 'skipped' WHEN trim(title) = '' OR lower(title) = '(sem titulo)' OR regexp_matches(title || chr(10) || text, '@NOISE') THEN 'skipped' WHEN stored THEN 'duplicate' ELSE 'selected' END AS status FROM w),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos) AS u FROM z WHERE status = 'selected') WHERE u = 1) """.replace("@NOISE", T.SEARCH_NOISE).replace("\\\\", "\\")
+
+
+@query(SAVED + "SELECT url, title, source AS source_name, left(text, 3000) AS snippet, md5(left(text, 60000)) AS full_text FROM s")
+def ingested_articles(spark, sf_dir):
+    return ingested_whole(spark, sf_dir)["articles"].select("url", "title", "source_name", "snippet", F.md5("full_text").alias("full_text"))
+
+
+@query(SAVED + """, h AS (SELECT url, low, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM s), f AS (SELECT url, h.t AS target_key, arg_min(h.w, i) AS keyword_matched, any_value(low) AS low FROM h GROUP BY ALL)
+SELECT url, target_key, CASE target_key WHEN 'german' THEN 'German' WHEN 'french' THEN 'French' ELSE target_key END AS target_name, keyword_matched FROM (SELECT DISTINCT ON (url, target_key) url, target_key, keyword_matched FROM (SELECT url, h.t AS target_key, h.w AS keyword_matched, i FROM h) ORDER BY url, target_key, i)""")
+def ingested_mentions(spark, sf_dir):
+    return ingested_whole(spark, sf_dir)["mentions"].select("url", "target_key", "target_name", "keyword_matched")
+
+
+@query(SAVED + "SELECT source, count(*) AS seen, count(CASE WHEN status = 'selected' THEN 1 END) AS inserted, count(CASE WHEN status = 'duplicate' THEN 1 END) AS duplicates, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped FROM z GROUP BY source")
+def ingested_log(spark, sf_dir):
+    return ingested_whole(spark, sf_dir)["log"]
+
+
 # --- the dataset in full -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mentionlake.functions import html as H
 from mentionlake.functions import url as U
+from mentionlake.functions.bind import let
 from mentionlake.functions.dates import portuguese
 from mentionlake.operators.candidates import first_by
 
@@ -55,7 +56,7 @@ READERS = {"vejario.abril.com.br": card_results, "camara.rio": listed_results, "
 def results(pages: DataFrame, host: str, source: str, longest: int = 12) -> DataFrame:
     """Candidates of result pages of a host: whole URLs of likely articles on it, each once a page, by the first titled link of a card or else its first link."""
     rows = pages.select(F.col("url").alias("search_url"), F.posexplode(READERS.get(host, link_results)(F.col("html"))).alias("pos", "r")).select("search_url", "pos", "r.*")
-    found = rows.withColumn("url", U.canonical(U.resolved(F.col("search_url"), F.col("href")))).where(U.likely_article(F.col("url"), host.removeprefix("www."), longest))
+    found = rows.withColumn("url", let(U.resolved(F.col("search_url"), F.col("href")), U.canonical)).where(U.likely_article(F.col("url"), host.removeprefix("www."), longest))
     card = found.groupBy("search_url", "card").agg(F.min_by(F.struct("pos", "url", "title", "snippet", "created"), F.struct(F.col("title") == "", "pos")).alias("r")).select("search_url", "r.*")
     once = first_by(card, F.concat_ws("\n", "search_url", "url"), "pos")
     title = F.when(H.fragment(F.col("title")) == "", U.slug_title(F.col("url"))).otherwise(H.fragment(F.col("title")))

@@ -74,7 +74,9 @@ def test_ingested_tables(spark):
     for name, value in (("fetch_error", None), ("needs_date", False), ("exact_body", False)):
         made = made.withColumn(name, F.lit(value).cast("string" if value is None else "boolean"))
     stored = spark.createDataFrame([("known",)], "url string")
-    out = I.ingest(made, stored, [("ana", "Ana"), ("bo", "Bo")], source="source", per_source=10, names={"ana": "Ana Sá"}, date_from="2000-01-01")
+    seen = []
+    out = I.ingest(made, stored, [("ana", "Ana"), ("bo", "Bo")], source="source", per_source=10, names={"ana": "Ana Sá"}, date_from="2000-01-01", on_progress=seen.append)
+    assert len(seen) == 1 and seen[0]["seen"] == out["decisions"].count() and seen[0]["selected"] == out["decisions"].where("status = 'selected'").count()
     assert {r.url: r.reason for r in out["decisions"].collect()} == {"u1": "saved", "u2": "no_match_exact_name", "u3": "outside_date_window", "u4": "saved", "known": "already_in_database"}
     assert {(r.url, r.title) for r in out["articles"].collect()} == {("u1", "Ana wins"), ("u4", "Bo")}
     assert {(r.url, r.target_key, r.target_name, r.keyword_matched, r.sentiment, r.context) for r in out["mentions"].collect()} == {("u1", "ana", "Ana Sá", "Ana", "positive", ""), ("u4", "bo", "bo", "Bo", "positive", "")}

@@ -150,3 +150,19 @@ def test_bounds():
         assert blocks <= common_subsequence(a, b) <= min(len(a), len(b))
         for least in (0.2, 0.5, 0.8, exact):
             assert (got := ratio_above(a, b, least)) == exact or got is None and exact < least
+
+
+def test_ingestion_ends_in_stories(spark, tmp_path):
+    """Candidates become articles, mentions and stories in one run; a second run of the same batch changes nothing."""
+    from mentionlake.operators import ingest
+
+    body = "Ana Sá speaks on the budget of the city council " * 6
+    rows = [("http://a/1", 1, "Council votes new budget", body), ("http://a/2", 2, "Council votes new budget today", body), ("http://a/3", 3, "River floods old town", "Bo Li was there. " * 12), ("http://a/4", 4, "No one", "nothing " * 30)]
+    made = spark.createDataFrame([(u, k, t, b, b, "2026-01-01", None, False, False, "s") for u, k, t, b in rows], "url string, pos long, title string, summary string, body string, published_at string, fetch_error string, needs_date boolean, exact_body boolean, source string")
+    stored = spark.createDataFrame([], "url string")
+    out = ingest.ingest(made, stored, [("ana", "Ana Sá"), ("bo", "Bo Li")], source="source", per_source=10, names={})
+    store = StoryStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        store.apply(0, ingest.story_rows(out["articles"], out["mentions"], catalogue.F.to_timestamp("published_at")))
+    got = sorted((r.n_articles, r.target_keys) for r in store.stories().collect())
+    assert got == [(1, ["bo"]), (2, ["ana"])] and store.story_articles().count() == 3
