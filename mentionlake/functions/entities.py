@@ -18,12 +18,12 @@ LOST = "�"
 
 @cache
 def _named() -> str:
-    """The standard library's names without their semicolon, dealt by their hash, as JSON; `bare`: also read without one."""
-    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    """The standard library's names without their semicolon and their texts, dealt by their hash, as JSON."""
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for name, value in html5.items():
         if name.endswith(";"):
-            buckets[crc32(name[:-1].encode()) % BUCKETS].append({"name": name[:-1], "value": value})
-    return json.dumps(buckets)
+            buckets[crc32(name[:-1].encode()) % BUCKETS][name[:-1]] = value
+    return json.dumps(buckets, separators=(",", ":"))
 
 
 @cache
@@ -32,10 +32,9 @@ def _bare_names() -> tuple[str, ...]:
     return tuple(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
 
 
-def _value(name: Column) -> Column:
+def _value(buckets: Column, name: Column) -> Column:
     """The text of a name; null for others."""
-    buckets = F.from_json(F.lit(_named()), "array<array<struct<name:string,value:string>>>")
-    return F.get(F.filter(F.get(buckets, F.pmod(F.crc32(name), F.lit(BUCKETS)).cast("int")), lambda x: x["name"] == name), F.lit(0))["value"]
+    return F.try_element_at(F.get(buckets, F.pmod(F.crc32(name), F.lit(BUCKETS)).cast("int")), name)
 
 
 def _windows(byte: int) -> str:
@@ -61,18 +60,27 @@ def _numbered(digits: Column, base: int) -> Column:
 
 def unescape(text: Column) -> Column:
     """Text with its entities read: &name; &#number; &#xnumber; and the old names without a semicolon. Others stay."""
-
-    def one(part: Column) -> Column:
-        number, hexa, name = F.regexp_extract(part, r"^#([0-9]+)", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1), F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        bare = F.get(F.filter(F.array(*map(F.lit, _bare_names())), lambda n: F.startswith(part, n)), F.lit(0))
+    table = F.from_json(F.lit(_named()), "array<map<string,string>>")
+    bare_names = F.array(*map(F.lit, _bare_names()))
+    after = lambda part, n: F.substring(part, n, F.length(part))
+
+    def named(part: Column, buckets: Column) -> Column:
+        bare = F.get(F.filter(bare_names, lambda n: F.startswith(part, n)), F.lit(0))
+        without_semicolon = let(bare, lambda n: F.when(n.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(_value(buckets, n), after(part, F.length(n) + 1))))
+        known = lambda name: let(_value(buckets, name), lambda v: F.when(v.isNotNull(), F.concat(v, after(part, F.length(name) + 2))).otherwise(without_semicolon))
+        return let(F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1), known)
+
+    def one(part: Column, buckets: Column) -> Column:
+        number, hexa = F.regexp_extract(part, r"^#([0-9]+)", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1)
         rest = lambda pattern: F.regexp_replace(part, pattern, "")
-        without_semicolon = let(bare, lambda n: F.when(n.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(_value(n), F.substring(part, F.length(n) + 1, F.length(part)))))
         return (
-            F.when(number != "", F.concat(let(_numbered(number, 10), _from_code), rest(r"^#[0-9]+;?")))
+            F.when(~F.startswith(part, F.lit("#")), named(part, buckets))
+            .when(number != "", F.concat(let(_numbered(number, 10), _from_code), rest(r"^#[0-9]+;?")))
             .when(hexa != "", F.concat(let(_numbered(hexa, 16), _from_code), rest(r"^#[xX][0-9a-fA-F]+;?")))
-            .when(name != "", let(_value(name), lambda v: F.when(v.isNotNull(), F.concat(v, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(without_semicolon)))
-            .otherwise(without_semicolon)
+            .otherwise(F.concat(F.lit("&"), part))
         )
 
-    read = let(F.split(text, "&"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), "")))
-    return F.when(F.contains(text, F.lit("&")), read).otherwise(text)
+    def read(t: Column) -> Column:
+        return let(table, lambda buckets: let(F.split(t, "&"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda part: one(part, buckets)), ""))))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), read(t)).otherwise(t))

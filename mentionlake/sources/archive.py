@@ -59,8 +59,8 @@ def council_items(url: Column, html: Column, host: str, prefix: str = "") -> Col
 
 #: Readers by source: (items of a page, URL of the next page).
 READERS: dict[str, tuple[Callable, Callable]] = {
-    "magazine": (magazine_items, lambda url, html: U.resolved(url, search.scrolled(html, F.regexp_extract(url, r"/pagina/(\d+)(?:/|$)", 1)))),
-    "council": (council_items, lambda url, html: U.resolved(url, H.linked(html, "link", rel="next"))),
+    "magazine": (magazine_items, lambda url, html: let(search.scrolled(html, F.regexp_extract(url, r"/pagina/(\d+)(?:/|$)", 1)), lambda href: U.resolved(url, href))),
+    "council": (council_items, lambda url, html: let(H.linked(html, "link", rel="next"), lambda href: U.resolved(url, href))),
 }
 
 
@@ -115,7 +115,7 @@ def archive(captures: DataFrame, seeds: list[tuple[str, str]], source: str, host
         for earlier in taken:
             own = own.join(earlier.select("url"), "url", "left_anti")
         taken.append(settled(own.orderBy("n", "pos").limit(limit)))
-    title = F.when(H.fragment(F.col("title")) == "", U.slug_title(F.col("url"))).otherwise(H.fragment(F.col("title")))
+    title = let(H.fragment(F.col("title")), lambda t: F.when(t == "", U.slug_title(F.col("url"))).otherwise(t))
     return reduce(DataFrame.unionByName, taken).select(
         "seed", F.col("n").alias("page"), "pos", title.alias("title"), "url", F.lit(name).alias("source_name"), F.lit(f"{source}_archive").alias("source_type"), F.col("published").alias("published_at"), H.fragment(F.col("snippet")).alias("snippet"),
     )

@@ -59,7 +59,7 @@ def results(pages: DataFrame, host: str, source: str, longest: int = 12) -> Data
     found = rows.withColumn("url", let(U.resolved(F.col("search_url"), F.col("href")), U.canonical)).where(U.likely_article(F.col("url"), host.removeprefix("www."), longest))
     card = found.groupBy("search_url", "card").agg(F.min_by(F.struct("pos", "url", "title", "snippet", "created"), F.struct(F.col("title") == "", "pos")).alias("r")).select("search_url", "r.*")
     once = first_by(card, F.concat_ws("\n", "search_url", "url"), "pos")
-    title = F.when(H.fragment(F.col("title")) == "", U.slug_title(F.col("url"))).otherwise(H.fragment(F.col("title")))
+    title = let(H.fragment(F.col("title")), lambda t: F.when(t == "", U.slug_title(F.col("url"))).otherwise(t))
     return once.select(
         "search_url", "pos", title.alias("title"), "url", F.lit(source).alias("source_name"), F.lit("internal_search").alias("source_type"),
         portuguese(H.fragment(F.col("created"))).alias("published_at"), H.fragment(F.col("snippet")).alias("snippet"),
@@ -78,9 +78,9 @@ def scrolled(html: Column, page: Column, host: str | None = None, parameters: bo
 def next_page(url: Column, html: Column, host: str) -> Column:
     """The URL of the next result page; empty if there is none. Links that say so by rel or by their text count, on the host only."""
     says = lambda a: F.lower(a["attrs"]).rlike("rel=[\"']next[\"']|title=\"próximo\"") | F.lower(a["title"]).rlike("próximo|proximo|next")
-    links = F.transform(F.filter(H.anchors(html), says), lambda a: U.canonical(U.resolved(url, a["href"])))
+    links = F.transform(F.filter(H.anchors(html), says), lambda a: let(U.resolved(url, a["href"]), U.canonical))
     generic = F.get(F.filter(links, lambda u: U.host_matches(U.authority(u), F.lit(host))), F.lit(0))
-    whole = lambda href: F.when(href != "", U.canonical(U.resolved(url, href))).otherwise("")
+    whole = lambda said: let(said, lambda href: F.when(href != "", let(U.resolved(url, href), U.canonical)).otherwise(""))
     if host == "camara.rio":
         return whole(H.linked(html, "link", rel="next"))
     if host == "www.conib.org.br":

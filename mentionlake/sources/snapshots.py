@@ -9,6 +9,7 @@ from mentionlake.functions import dates as D
 from mentionlake.functions import html as H
 from mentionlake.functions import text as T
 from mentionlake.functions import url as U
+from mentionlake.functions.bind import let
 from mentionlake.operators.dataset import AI, GROUPED, NO_SOURCE, RAW, UNTITLED
 
 #: Elements (tag, class) of snapshot pages.
@@ -76,7 +77,8 @@ def card_articles(found: DataFrame) -> DataFrame:
     late = F.row_number().over(Window.partitionBy("page", F.col("own") == 0).orderBy("story", "pos"))  # a page is one document
     meta = F.coalesce(F.nullif(H.first_inside(a, *META), F.lit("")), H.first_inside(a, *META_BLOCK))
     spans = F.transform(H.insides(meta, "span"), T.fragment_text)
-    span = lambda k: F.coalesce(F.get(spans, F.lit(k)), F.lit(""))
+    made = made.withColumn("spans", spans)
+    span = lambda k: F.coalesce(F.get("spans", F.lit(k)), F.lit(""))
     heading = H.first_inside(a, "h3")
     url = H.linked(heading, "a")
     title = T.fragment_text(heading)
@@ -85,7 +87,7 @@ def card_articles(found: DataFrame) -> DataFrame:
     raw = H.first_inside(a, *WHOLE)
     return made.select(
         "page", "story", "pos", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("top") + late).alias("article"), F.when(title == "", UNTITLED).otherwise(title).alias("title"), url.alias("url"),
-        F.when(span(0) == "", NO_SOURCE).otherwise(span(0)).alias("source_name"), F.when(span(2) != "", span(2)).otherwise(U.host_everywhere(url)).alias("source_host"),
+        F.when(span(0) == "", NO_SOURCE).otherwise(span(0)).alias("source_name"), F.when(span(2) != "", span(2)).otherwise(let(url, U.host_everywhere)).alias("source_host"),
         D.from_shown(span(1)).alias("published_at"), label.alias("summary_label"), T.fragment_text(H.first_inside(a, *PREVIEW)).alias("preview"),
         F.when(raw != "", T.fragment_text(raw)).alias("raw_text"),
     )
