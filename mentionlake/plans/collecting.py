@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from mentionlake.functions import text as T
 from mentionlake.functions import url as U
+from mentionlake.operators import candidates as C
 from mentionlake.operators import export as X
-from mentionlake.plans.catalogue import ORACLES, QUERIES, query
+from mentionlake.plans.catalogue import ORACLES, PARTS, QUERIES, Tables, query
 from mentionlake.sources import adapters as L
 from mentionlake.sources import archive as R
 
@@ -112,3 +113,27 @@ def titles_in_locale_order(spark, sf_dir):
 
 
 ORACLES["site_results"] = FOUND_LINKS + "SELECT search_url, arg_min(title, pos) AS title, url FROM f WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.com') GROUP BY search_url, url"
+
+
+@query(PARTS + ", hosts AS (SELECT regexp_replace(auth, '^www\\.', '') AS host, canonical FROM canon) SELECT host, string_agg(DISTINCT canonical, ' ' ORDER BY canonical) AS urls FROM hosts GROUP BY host")
+def url_sets_per_host(spark, sf_dir):
+    """The canonical URLs of each host as a set."""
+    pages = L.read(spark, sf_dir, "pages").select(U.host_of(F.col("url")).alias("host"), U.canonical(F.col("url")).alias("canonical"))
+    return pages.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("canonical")), " ").alias("urls"))
+
+
+@query("SELECT url, pos FROM (SELECT trim(url) AS url, pos, row_number() OVER (PARTITION BY trim(url) ORDER BY pos) AS r FROM (SELECT doc_id AS pos, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE ' http://h/' || (doc_id % 40) || ' ' END AS url FROM documents) WHERE trim(url) <> '') WHERE r = 1")
+def candidates_by_url(spark, sf_dir):
+    """The first candidate of each URL; blank URLs go, and blanks around one don't count."""
+    k = F.col("doc_id")
+    url = F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit(" http://h/"), (k % 40).cast("string"), F.lit(" ")))
+    rows = L.read(spark, sf_dir, "documents").select(k.alias("pos"), url.alias("url"))
+    return C.first_by(rows, F.trim("url"), "pos").select(F.trim("url").alias("url"), "pos")
+
+
+@query(" SELECT target_key FROM story_targets WHERE story_id = (SELECT min(story_id) FROM story_articles)", logical=True)
+def targets_of_a_story(spark, sf_dir):
+    """The targets of one story, the one with the smallest number."""
+    t = Tables(spark, sf_dir)
+    one = t.story_articles.agg(F.min("story_id").alias("asked"))
+    return t.story_targets.join(F.broadcast(one), F.col("story_id") == F.col("asked")).select("target_key")
