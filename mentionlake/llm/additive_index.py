@@ -7,11 +7,11 @@ that leave the least are kept. An index row holds a vector's codes and its norm
 A query's inner products with all codebook entries make a lookup table; the sum of a code's entries, times the stored ratio of norms, estimates
 the score. The ``SHORTLIST`` best of each block of the index are scored exactly, on the original vectors in double precision.
 
-The codebooks are fitted on ``SAMPLE`` vectors at most (those with the smallest hash of vec_id), so what is sent to the tasks is bounded. Every
+The codebooks are fitted on ``SAMPLE`` vectors at most (those with the smallest hash of vec_id and vector), so what is sent to the tasks is bounded. Every
 vector is indexed and every query meets every block. Queries and index are packed in blocks; a task holds one block of each.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, neither as queries nor as candidates; vectors meet those
-of their own length. Rows that repeat a vec_id count once. Fewer candidates than asked for: all of them. Other columns are not looked at.
+of their own length. Rows that repeat a vec_id are vectors of their own: each is a candidate, also for the others, and one that asks has its own nearest. Fewer candidates than asked for: all of them. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _index(books) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, x = unpack(ids, vectors)
+                _, _, x = unpack(ids, vectors)
                 codes = encode(x, books.value)
                 ratio = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(decode(codes, books.value), axis=1), 1e-12)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids]), pa.array([vectors]), pa.array([codes.tobytes()]), pa.array([ratio.astype(np.float32).tobytes()])], names=["block", "ids", "vectors", "codes", "ratios"])
@@ -106,35 +106,36 @@ def _search(books, k: int, shortlist: int, step: int = 256) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_ids, q_vectors, ids, vectors, codes, ratios in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (qi, q), (xi, x) = unpack(q_ids, q_vectors), unpack(ids, vectors)
+                (qi, qr, q), (xi, xr, x) = unpack(q_ids, q_vectors), unpack(ids, vectors)
                 c = np.frombuffer(codes, np.uint8).reshape(len(xi), -1)
                 ratio = np.frombuffer(ratios, np.float32)
                 few = min(shortlist, len(xi))
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for lo in range(0, len(qi), step):
-                    part, own = q[lo : lo + step], qi[lo : lo + step]
+                    part, own = q[lo : lo + step], qr[lo : lo + step]
                     estimate = np.zeros((len(part), len(xi)), np.float32)
                     for m, book in enumerate(books.value):
                         estimate += (part @ book.T).astype(np.float32)[:, c[:, m]]
                     estimate *= ratio
                     top = np.argpartition(-estimate, few - 1, axis=1)[:, :few]
                     score = np.einsum("qd,qrd->qr", part, x[top])
-                    score[xi[top] == own[:, None]] = -np.inf
+                    score[xr[top] == own[:, None]] = -np.inf
                     order = np.lexsort((xi[top], -score), axis=1)[:, :k]
                     found = np.take_along_axis(score, order, axis=1)
                     there = found > -np.inf
                     out[0].append(np.repeat(own, there.sum(1)))
-                    out[1].append(np.take_along_axis(xi[top], order, axis=1)[there])
-                    out[2].append(found[there])
+                    out[1].append(np.repeat(qi[lo : lo + step], there.sum(1)))
+                    out[2].append(np.take_along_axis(xi[top], order, axis=1)[there])
+                    out[3].append(found[there])
                 yield result(*out, pa.float64())
 
     return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score) for clean vectors and queries (vec_id, v): the k greatest inner products found, none with the query's own vec_id."""
+    """(query_id, rank, vec_id, score) for clean vectors and queries (row, vec_id, v), which are rows of them: the k greatest inner products found, none the query's own row."""
     spark = vectors.sparkSession
-    learn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # bounded by the parameter
+    learn = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(sample).toArrow()  # bounded by the parameter
     x = matrix(learn.column("v")) if learn.num_rows else np.zeros((1, 1))
     books = spark.sparkContext.broadcast(fit(x))
     index, n = blocks(vectors, INDEX_BLOCK, vectors.count())
@@ -142,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, shortlist:
     asked, _ = blocks(queries, QUERY_BLOCK, queries.count())
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     met = asked.join(index, "block").select("q_ids", "q_vectors", "ids", "vectors", "codes", "ratios")
-    return nearest_per_query(met.mapInArrow(_search(books, k, shortlist), "query_id long, vec_id long, score double"), k)
+    return nearest_per_query(met.mapInArrow(_search(books, k, shortlist), "query_row long, query_id long, vec_id long, score double"), k)
 
 
 def op4_additive_index(spark: SparkSession, sf_dir: str) -> DataFrame:

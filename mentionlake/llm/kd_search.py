@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over KD-trees, one for each shard.
 
-Vectors are dealt to shards by a hash of vec_id. In a shard a tree halves them at the median of the widest side, down to leaves, and each node has
+Vectors are dealt to shards by a hash of their place in the table. In a shard a tree halves them at the median of the widest side, down to leaves, and each node has
 the tight box around its vectors. The inner product of a query with anything in a box is at most the sum, over components, of the larger product
 with the box's two ends. The traversal takes the node with the greatest bound first and ends when no bound reaches the query's k-th score.
 
@@ -8,7 +8,7 @@ A query visits the shard that its own hash names first. Its k-th score there goe
 ties go to the smaller vec_id) are opened. Queries and shards are packed in blocks; a task holds one of each.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet those of their own length. Rows that repeat a vec_id
-count once. Fewer candidates than asked for: all of them. Scores are exact; those that a 64-bit integer can't hold are given as its ends, where ties go
+are vectors of their own: each is a candidate, also for the others, and one that asks has its own nearest. Fewer candidates than asked for: all of them. Scores are exact; those that a 64-bit integer can't hold are given as its ends, where ties go
 to the smaller vec_id. Other columns are not looked at.
 """
 
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionlake.llm.common import settled, table
-from mentionlake.llm.vectors import blocks, by_length, clean, nearest_per_query, result, unpack
+from mentionlake.llm.common import settled, stream_groups, table
+from mentionlake.llm.vectors import blocks, by_length, clean, dealt_to, matrix, nearest_per_query, result, unpack
 
 SHARD, QUERY_BLOCK, LEAF = 8192, 1024, 128
 NEAREST, EVERY, SCALE = 5, 50, 256
@@ -67,8 +67,8 @@ class Tree:
         exact = (sum(int(x) * int(y) for x, y in zip(row, q.tolist(), strict=True)) for row in self.rows[a:b].tolist())
         return np.array([min(max(s, LEAST), MOST) for s in exact], object)
 
-    def best(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, own: int, k: int, reach: float | int) -> list[tuple[float, int]]:
-        """The k best (score, -id) but own, opening no box whose bound is below reach or the k-th score so far."""
+    def best(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, k: int, reach: float | int) -> list[tuple[float, int]]:
+        """The k best (score, -id) but of the row own, opening no box whose bound is below reach or the k-th score so far."""
         top: list[tuple[int, int]] = []
         heap = [(-bounds[0], 0)]
         while heap and -heap[0][0] >= reach:
@@ -81,9 +81,9 @@ class Tree:
             a, b = self.ranges[node]
             scores = self.scores(a, b, q)
             for j in np.flatnonzero(scores >= reach):
-                i = int(ids[self.order[a + j]])
-                if i != own:
-                    heapq.heappush(top, (int(scores[j]), -i))
+                at = self.order[a + j]
+                if rows[at] != own:
+                    heapq.heappush(top, (int(scores[j]), -int(ids[at])))
                     if len(top) > k:
                         heapq.heappop(top)
             if len(top) == k:
@@ -95,50 +95,48 @@ def _search(k: int) -> Callable:
     """Joined packs (queries with their k-th scores so far, shard): the best of the shard for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, ids, x = None, None, None, None
+        last, tree, ids, rows = None, None, None, None
         for batch in batches:
             for block, q_ids, q_vectors, reach, s_ids, s_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != last:
-                    (ids, x), last = unpack(s_ids, s_vectors), block
+                    (ids, rows, x), last = unpack(s_ids, s_vectors), block
                     tree = Tree(x)
-                qi, q = unpack(q_ids, q_vectors)
+                qi, qr, q = unpack(q_ids, q_vectors)
                 reached = [-np.inf if r == LEAST else r for r in np.frombuffer(reach, np.int64).tolist()] if reach else [-np.inf] * len(qi)
                 bounds = tree.bounds(q)
-                out: tuple[list, list, list] = ([], [], [])
-                for j, own in enumerate(qi.tolist()):
-                    top = tree.best(q[j], bounds[j], ids, own, k, reached[j])
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for j, own in enumerate(qr.tolist()):
+                    top = tree.best(q[j], bounds[j], ids, rows, own, k, reached[j])
                     out[0].append(np.full(len(top), own, np.int64))
-                    out[1].append(np.array([-i for _, i in top], np.int64))
-                    out[2].append(np.array([s for s, _ in top], np.int64))
+                    out[1].append(np.full(len(top), qi[j], np.int64))
+                    out[2].append(np.array([-i for _, i in top], np.int64))
+                    out[3].append(np.array([s for s, _ in top], np.int64))
                 yield result(*out, pa.int64())
 
     return run
 
 
 def _with_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repacks a shard's queries with their k-th scores; rows (block, vec_id, v, reach) sorted by block."""
-    from mentionlake.llm.common import stream_groups
-    from mentionlake.llm.vectors import matrix
-
+    """Repacks a shard's queries with their k-th scores; rows (block, row, vec_id, v, reach) sorted by block."""
     for (block,), g in stream_groups(batches, 1):
-        pack = [g.column("vec_id").to_numpy().tobytes(), np.ascontiguousarray(matrix(g.column("v"))).tobytes(), g.column("reach").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]
+        pack = [np.stack([g.column("vec_id").to_numpy(), g.column("row").to_numpy()]).tobytes(), np.ascontiguousarray(matrix(g.column("v"))).tobytes(), g.column("reach").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([p], pa.binary()) for p in pack)], names=["home", "q_ids", "q_vectors", "reach"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """(query_id, rank, vec_id, score) for vectors and queries (vec_id, v) with whole components: the k greatest inner products, none with the query's own vec_id."""
+    """(query_id, rank, vec_id, score) for vectors and queries (row, vec_id, v) with whole components, the queries rows of the vectors: the k greatest inner products, none with the query's own row."""
     shards, n = blocks(vectors, SHARD, vectors.count())
     shards = settled(shards)
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    found = "query_id long, vec_id long, score long"
-    dealt = queries.select(home.alias("block"), "vec_id", "v", F.lit(LEAST).alias("reach")).repartition("block").sortWithinPartitions("block")
+    home = dealt_to(n)
+    found = "query_row long, query_id long, vec_id long, score long"
+    dealt = queries.select(home.alias("block"), "row", "vec_id", "v", F.lit(LEAST).alias("reach")).repartition("block").sortWithinPartitions("block")
     packed = "home int, q_ids binary, q_vectors binary, reach binary"
     columns = ("block", "q_ids", "q_vectors", "reach", "ids", "vectors")
     first = dealt.mapInArrow(_with_reach, packed).withColumnRenamed("home", "block").join(shards, "block").select(*columns)
     near = settled(first.mapInArrow(_search(k), found))
-    reach = near.groupBy("query_id").agg(F.count("score").alias("n"), F.min("score").alias("least"))
-    known = queries.join(reach, queries["vec_id"] == reach["query_id"], "left")
-    known = known.select(home.alias("block"), "vec_id", "v", F.when(F.col("n") == k, F.col("least")).otherwise(LEAST).alias("reach"))
+    reach = near.groupBy("query_row").agg(F.count("score").alias("n"), F.min("score").alias("least"))
+    known = queries.join(reach, queries["row"] == reach["query_row"], "left")
+    known = known.select(home.alias("block"), "row", "vec_id", "v", F.when(F.col("n") == k, F.col("least")).otherwise(LEAST).alias("reach"))
     asked = known.repartition("block").sortWithinPartitions("block").mapInArrow(_with_reach, packed)
     others = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where("block <> home")
     rest = others.join(shards, "block").select(*columns).mapInArrow(_search(k), found)
@@ -146,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
 
 
 def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    return vectors.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return vectors.select("row", "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
 def op6_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +153,10 @@ def op6_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH good AS (SELECT vec_id, [floor(x::DOUBLE * 256)::BIGINT FOR x IN embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
-  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+WITH good AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(x::DOUBLE * 256)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.v) = len(c.v))
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlake.llm.common import stream_groups
@@ -16,12 +16,15 @@ PACK = "block int, ids binary, vectors binary"
 
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, v): the vectors without null or non-finite components, and, if zero is false, not all zero. Of rows that repeat a vec_id the smallest vector stays; null ids take no part."""
+    """(row, vec_id, v): the vectors without null or non-finite components, and, if zero is false, not all zero; null ids take no part.
+
+    row tells rows apart that repeat a vec_id, all of which stay. It holds for one reading of the table: write the result down before using it twice.
+    """
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    good = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
     if not zero:
         good = good.where(F.exists("v", lambda x: x != 0))
-    return good.where(F.size("v") > 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.where(F.size("v") > 0)
 
 
 def by_length(search: Callable[[DataFrame, DataFrame], DataFrame], vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -38,38 +41,35 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (block,), group in stream_groups(batches, 1):
-        ids, v = group.column("vec_id").to_numpy(), matrix(group.column("v"))
-        order = np.argsort(ids)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+        ids, v = np.stack([group.column("vec_id").to_numpy(), group.column("row").to_numpy()]), matrix(group.column("v"))
+        order = np.lexsort(ids[::-1])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids[:, order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
+
+def dealt_to(n: int) -> Column:
+    """The block of a row among n, by its place in the table, so that no vec_id, however often repeated, fills one."""
+    return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
 
 
 def blocks(vectors: DataFrame, rows: int, count: int) -> tuple[DataFrame, int]:
-    """vectors (vec_id, v) in blocks of about `rows`, one packed row each; and how many blocks there are. count: of the vectors."""
+    """vectors (row, vec_id, v) in blocks of about `rows`, one packed row each; and how many blocks there are. count: of the vectors."""
     n = max(1, -(-count // rows))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "v").repartition("block").sortWithinPartitions("block")
+    dealt = vectors.select(dealt_to(n).alias("block"), "row", "vec_id", "v").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(_pack, PACK), n
 
 
-def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = np.frombuffer(ids, np.int64)
-    return n, np.frombuffer(vectors, np.float64).reshape(len(n), -1)
+def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vec_ids, rows and vectors of a pack."""
+    n, rows = np.frombuffer(ids, np.int64).reshape(2, -1)
+    return n, rows, np.frombuffer(vectors, np.float64).reshape(len(n), -1)
 
 
 def nearest_per_query(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k greatest scores of each query, ties to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """(query_id, rank, vec_id, score) of found (query_row, query_id, vec_id, score): the k greatest scores of each query row, ties to the smaller vec_id."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row of scores, ties to the smaller id; scores of -inf are none."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
-    return order[:, :k]
-
-
-def result(queries: list, ids: list, scores: list, kind: pa.DataType) -> pa.RecordBatch:
+def result(rows: list, queries: list, ids: list, scores: list, kind: pa.DataType) -> pa.RecordBatch:
     join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-    return pa.RecordBatch.from_arrays([join(queries, pa.int64()), join(ids, pa.int64()), join(scores, kind)], names=["query_id", "vec_id", "score"])
-
-
-Search = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    return pa.RecordBatch.from_arrays([join(rows, pa.int64()), join(queries, pa.int64()), join(ids, pa.int64()), join(scores, kind)], names=["query_row", "query_id", "vec_id", "score"])

@@ -156,20 +156,46 @@ EDGES = [(0, [1.0, 2.0], 1), (20, [1.0, 2.0], 1), (40, None, 1), (60, [float("na
 def test_vector_edges(spark):
     df = spark.createDataFrame(EDGES, VECTORS)
     v = clean(df, zero=False)
-    assert sorted(r.vec_id for r in v.collect()) == [0, 1, 2, 20]
+    assert sorted(r.vec_id for r in v.collect()) == [0, 1, 1, 2, 20]
     got = by_length(additive_index.search, v, v.where("vec_id % 20 = 0")).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 5.0), (0, 2, 20, 5.0), (20, 1, 0, 5.0), (20, 2, 1, 5.0)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 5.0), (0, 2, 1, 5.0), (0, 3, 20, 5.0), (20, 1, 0, 5.0), (20, 2, 1, 5.0), (20, 3, 1, 5.0)]
     w = kd_search.whole(clean(df, zero=True))
     got = by_length(kd_search.search, w, w.where("vec_id % 50 = 0")).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 327680), (0, 2, 20, 327680), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0), (100, 3, 20, 0)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 327680), (0, 2, 1, 327680), (0, 3, 20, 327680), (0, 4, 100, 0), (100, 1, 0, 0), (100, 2, 1, 0), (100, 3, 1, 0), (100, 4, 20, 0)]
     empty = clean(df.limit(0), zero=True)
     assert by_length(kd_search.search, empty, empty).count() == 0 and by_length(additive_index.search, empty, empty).count() == 0
 
 
+def test_repeated_vec_ids(spark, tmp_path, monkeypatch):
+    """Each row is a vector of its own, whichever of an id's it is: as candidate, for rows of its own id too, and as query."""
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(0, 8)) * 25, [float(x) for x in rng.integers(-6, 7, 3) / 2]) for _ in range(400)] + [(1, [5.0] * 3), (1, [9.0] * 3), (None, [9.0] * 3), (7, [])]
+    spark.createDataFrame([(*r, 0) for r in rows], VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(kd_search, "SHARD", 100)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    plain = lambda rows: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows)
+    want = con.sql(f"select query_id, rank, vec_id, score from ({kd_search.ORACLE})").fetchall()
+    assert plain(kd_search.op6_kd_search(spark, str(tmp_path)).collect()) == sorted(want)
+    assert len(want) == 5 * sum(k is not None and k % 50 == 0 for k, _ in rows)
+    x, ids = np.array([v for k, v in rows if k is not None and v]), np.array([k for k, v in rows if k is not None and v])
+    there = np.flatnonzero(np.abs(x).sum(1) > 0)
+    want = []
+    for q in there[ids[there] % 20 == 0]:
+        others = there[there != q]
+        scores = x[others] @ x[q]
+        order = np.lexsort((ids[others], -scores))[:20]
+        want += [(int(ids[q]), n + 1, int(ids[others][j]), float(scores[j])) for n, j in enumerate(order)]
+    got = plain(additive_index.op4_additive_index(spark, str(tmp_path)).collect())
+    assert len(got) == len(want) and len(set(got) & set(want)) >= 0.97 * len(set(want))
+
+
 def test_kd_search_beyond_doubles(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [int(x) for x in rng.integers(-(10**9), 10**9, 8)]) for k in range(300)] + [(300, [2**62] * 8), (301, [2**62] * 8)]
-    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in rows], "vec_id long, v array<double>")
+    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in rows], "vec_id long, v array<double>").withColumn("row", F.col("vec_id") * 7)
     want = []
     for q, x in rows[::50]:
         scores = sorted((-max(-(2**63), min(2**63 - 1, sum(int(float(a)) * int(float(b)) for a, b in zip(x, y, strict=True)))), k) for k, y in rows if k != q)
@@ -182,7 +208,7 @@ def test_kd_search_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(kd_search, "SHARD", 200)
     rng = np.random.default_rng(3)
     x = rng.integers(-300, 300, (1500, 6)).astype(float)
-    v = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, v array<double>")
+    v = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, v array<double>").withColumn("row", F.col("vec_id") * 7)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in kd_search.search(v, v.where("vec_id % 50 = 0")).collect())
     want, ids = [], np.arange(1500)
     for q in range(0, 1500, 50):
