@@ -249,10 +249,12 @@ def article_payloads(spark, sf_dir):
     return rows.withColumn("full_text", F.when(F.col("full_text") != "", F.md5("full_text")).otherwise(""))
 
 
-def records_of(spark, sf_dir):
+def records_of(spark, sf_dir, url=None):
+    """url: in place of the articles' own, of article_id."""
     t = Tables(spark, sf_dir)
     sets = A.mention_sets(t.mentions).select("article_id", F.split("target_keys", ",").alias("target_keys"), (F.col("has_ai_summary") == 1).alias("has_ai"))
     rows = t.articles.withColumnRenamed("id", "article_id").join(sets, "article_id", "left").withColumn("summary", F.col("title")).withColumn("full_text", F.lit("")).withColumn("snippet", F.lit(""))
+    rows = rows if url is None else rows.withColumn("url", url)
     keys = t.story_targets.groupBy("story_id").agg(F.array_sort(F.collect_set("target_key")).alias("target_keys"))
     stories = t.stories.join(keys, F.col("id") == F.col("story_id"), "left").drop("story_id")
     return E.story_records(stories, t.story_articles, rows)

@@ -1,7 +1,7 @@
 import pytest
 from compare import assert_same
 
-from mentionlake.plans import catalogue, collecting, monitoring  # noqa: F401
+from mentionlake.plans import catalogue, collecting, monitoring, publishing  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
