@@ -24,8 +24,8 @@ def keyed(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def alike(a: DataFrame, b: DataFrame, words: str, share: float) -> DataFrame:
-    """Pairs of rows whose sets of words have this Jaccard similarity, as a.* and b.* (b's columns start with r_).
+def alike(a: DataFrame, b: DataFrame, words: str, share: float, *by: str) -> DataFrame:
+    """Pairs of rows whose sets of words have this Jaccard similarity, as a.* and b.* (b's columns start with r_); only rows that agree in `by` meet.
 
     Words stand in one order for all rows, long ones first since they are rare. Two sets that are alike share one of the first n - ceil(share * n) + 1
     words of each, so only those are joined on.
@@ -33,7 +33,9 @@ def alike(a: DataFrame, b: DataFrame, words: str, share: float) -> DataFrame:
     order = lambda w: F.transform(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), lambda s: s["word"])
     front = lambda w: F.slice(order(w), 1, F.size(w) - F.ceil(share * F.size(w)).cast("int") + 1)
     right = b.select(*(F.col(c).alias(f"r_{c}") for c in b.columns))
-    met = a.withColumn("_word", F.explode(front(F.col(words)))).join(right.withColumn("_word", F.explode(front(F.col(f"r_{words}")))), "_word").drop("_word")
+    left, right = a.withColumn("_word", F.explode(front(F.col(words)))), right.withColumn("_r_word", F.explode(front(F.col(f"r_{words}"))))
+    same = [F.col("_word") == F.col("_r_word"), *(F.col(c) == F.col(f"r_{c}") for c in by)]
+    met = left.join(right, same).drop("_word", "_r_word")
     return met.where(T.jaccard(F.col(words), F.col(f"r_{words}")) >= share)
 
 
@@ -46,14 +48,13 @@ def matches(expected: DataFrame, found: DataFrame, group: str | None = None) ->
     by = [group] if group else []
     a, b = keyed(expected, "id", *by), keyed(found, *by).distinct()
     same = lambda *keys: a.join(b.select(*by, *keys).distinct(), [*by, *keys])
-    within = F.lit(True) if not group else F.col(group) == F.col(f"r_{group}")
     family = (F.col("host") == "") | (F.col("r_host") == "") | U.same_family(F.col("host"), F.col("r_host"))
     right = b.select(*(F.col(c).alias(f"r_{c}") for c in (*by, "host", "folded"))).distinct()
     titled = a.where(F.length("folded") >= TITLE_LEAST)
-    slugs = alike(a.where(F.length("slug") >= SLUG_LEAST), b.where("slug <> ''").select(*by, "slug_words").distinct(), "slug_words", SLUG_SHARE).where(within)
-    equal = titled.join(right, (F.col("folded") == F.col("r_folded")) & within).where(family)
+    slugs = alike(a.where(F.length("slug") >= SLUG_LEAST), b.where("slug <> ''").select(*by, "slug_words").distinct(), "slug_words", SLUG_SHARE, *by)
+    equal = titled.join(right, [F.col(c) == F.col(f"r_{c}") for c in ("folded", *by)]).where(family)
     long = lambda x: x.where(F.length("folded") >= LONG_TITLE)
-    near = alike(long(a), long(b).select(*by, "host", "title_words").distinct(), "title_words", TITLE_SHARE).where(within & family)
+    near = alike(long(a), long(b).select(*by, "host", "title_words").distinct(), "title_words", TITLE_SHARE, *by).where(family)
     ways = {"canonical": same("canonical").where("canonical <> ''"), "path": same("path").where("path <> ''"), "slug": slugs, "title": equal, "near_title": near}
     rows = [df.select("id", F.lit(how).alias("how")) for how, df in ways.items()]
     out = rows[0]

@@ -42,6 +42,17 @@ def test_matches_by_each_way(spark):
     assert by == {1: {"canonical", "path"}, 2: {"path"}, 3: {"slug"}, 4: {"title", "near_title"}, 5: {"near_title"}}
 
 
+def test_matches_stay_in_their_group(spark):
+    slug, title = "http://a.com/um-dois-tres-quatro-cinco", "um dois tres quatro cinco seis sete oito"
+    expected = spark.createDataFrame([(k, f"{slug}-{k}", f"{title} {k}", g) for k, g in ((1, "s"), (2, "t"), (3, None))], "id long, url string, title string, site string")
+    found = spark.createDataFrame([(f"{slug}-9", f"{title} 9", "s"), (f"{slug}-2", f"{title} 2", "s"), (f"{slug}-3", f"{title} 3", None)], "url string, title string, site string")
+    by = {}
+    for r in M.matches(expected, found, "site").collect():
+        by.setdefault(r.id, set()).add(r.how)
+    assert by == {1: {"slug", "near_title"}}
+    assert {r.id for r in M.matches(expected, found).collect()} == {1, 2, 3}
+
+
 def test_evaluation(spark):
     rows = [("s", f"http://a.com/a-long-article-name-{i}", f"t{i}", f"{i + 1:02d}/03/2025") for i in range(9)] + [("few", "http://b.com/a-long-article-name", "t", "01/01/2025")] + [("undated", f"http://c.com/a-long-article-name-{i}", "t", "") for i in range(5)]
     expected = spark.createDataFrame(rows, "source string, url string, title string, date string")
