@@ -138,7 +138,7 @@ def published_at(html: Column) -> Column:
 def hrefs(html: Column) -> Column:
     """Targets of links without fragments, in order; scripts and mail addresses are no links."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)href=[\"']([^\"'#]+)[\"']"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda h: (h != "") & ~h.rlike("(?i)^(javascript|mailto):"))
+    return F.filter(F.transform(found, lambda h: F.trim(h)), lambda h: (h != "") & ~h.rlike("(?i)^(javascript|mailto):"))
 
 
 def anchors(html: Column) -> Column:

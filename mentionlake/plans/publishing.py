@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mentionlake.functions import text as T
+from mentionlake.operators import dataset as E
 from mentionlake.operators import payload as P
 from mentionlake.plans.catalogue import ORACLES, QUERIES, TARGETS, query
 from mentionlake.plans.monitoring import NOW, RECORDS, records_of
+from mentionlake.sources import adapters as L
 from mentionlake.sources.settle import settled, shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,3 +54,18 @@ def published_head(spark, sf_dir):
     head = read_back(spark, sf_dir).head
     totals = [F.col(f"meta.{c}") for c in ("totalStories", "totalArticles", "totalAi", "totalRaw", "initialStoryCount", "initialArticleCount", "initialAiCount", "initialRawCount", "defaultTargetLabel")]
     return head.select(*totals, F.array_join("targets.key", ",").alias("targets"), F.array_join("defaultTargets", ",").alias("defaultTargets"))
+
+
+@query("""WITH s AS (SELECT doc_id, [x FOR x IN [trim(y, ' ') FOR y IN string_split(coalesce(text, ''), '.')] IF x <> ''] AS l FROM documents)
+SELECT doc_id, md5(array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF list_position(l, l[i]) = i], '|')) AS sentences FROM s""")
+def distinct_sentences(spark, sf_dir):
+    """The sentences of each document, each once, in the order in which they are first seen."""
+    sentences = F.split(F.coalesce("text", F.lit("")), r"\.")
+    return L.read(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(T.ordered_unique(sentences), "|")).alias("sentences"))
+
+
+@query("SELECT coalesce(max(doc_id), 0) AS article FROM documents")
+def last_article_number(spark, sf_dir):
+    """The greatest number among the cards of an earlier snapshot, a page a document."""
+    card = F.concat(F.lit('<article id="article-'), F.col("doc_id").cast("string"), F.lit('"><p>'), F.coalesce("text", F.lit("")), F.lit("</p></article>"))
+    return E.last_article_in_page(L.read(spark, sf_dir, "documents").select(card.alias("html")))
