@@ -68,7 +68,7 @@ def decide(candidates: DataFrame, *, date_from: str = "", date_to: str = "", flo
         (F.col("exact_body") & (F.trim(F.coalesce("body", F.lit(""))) == ""), "skipped", F.lit("missing_body"), "body_fetch"),
         (~T.passes_terms(full, terms or [], mode), "skipped", F.lit("forced_terms_not_matched"), "forced_terms"),
         (~inside, "skipped", F.lit("outside_date_window"), "date_filter"),
-        (T.bad_quality(F.col("title"), F.col("summary"), F.col("url")) & (F.col("n_preview_hits") == 0) | T.bad_quality(F.col("title"), F.col("summary"), F.col("url"), True), "skipped", F.lit("low_article_quality"), "quality_filter"),
+        (T.bad_quality(F.col("title"), F.col("summary"), F.col("url"), F.col("n_preview_hits") > 0), "skipped", F.lit("low_article_quality"), "quality_filter"),
         (F.col("stored"), "duplicate", F.lit("already_in_database"), "stored"),
     ]
     decision = F.struct(F.lit("selected").alias("status"), F.lit("saved").alias("reason"), F.lit("stored").alias("stage"))

@@ -152,3 +152,21 @@ def test_more_html(spark):
 def test_similarity_regards_case(spark):
     got = spark.createDataFrame([("ABC DEF GHI", "abc def ghi")], "a string, b string").select(S.similarity(F.col("a"), F.col("b"))).first()[0]
     assert got == pytest.approx(0.55 * difflib.SequenceMatcher(None, "ABC DEF GHI", "abc def ghi").ratio())
+
+
+def test_summaries_take_the_first_good_sentences(spark):
+    long = "one two three four five six."
+    rows(spark, T.summarize, [
+        (f"Short. {long} A comment on two three four five six. {long}\u00a0{long} {long}", f"{long} {long} {long}"),
+        ("\u2003Short. \n Two!\u2028Three? Four.", "Short. Two! Three?"),
+        ("no end here", "no end here"),
+        (" \u00a0 ", ""),
+        (None, ""),
+        ("http://a.b/c", " "),
+        ("x" * 900, "x" * 700),
+    ])
+
+
+def test_terms_with_and_without_spaces(spark):
+    rows(spark, lambda c: T.passes_terms(c, ["city \t hall", "budget"], "all"), [("the city\u00a0hall\nbudget", True), ("the city\nhall budget", False), ("city hall", False), (None, False)])
+    rows(spark, lambda c: T.matches_queries(c, ["a  b", "cc"]), [("a \t b", True), ("xccx", True), ("ab", False), (None, False)])

@@ -70,14 +70,16 @@ def test_temperature_is_clamped(spark):
 
 
 def test_assigned_stories_follow_chains(spark):
-    from datetime import date
+    """A story is met again for as long as its last article is recent, however old its first one is."""
+    from datetime import datetime
 
-    from mentionlake.operators.stories import assign_stories
+    from mentionlake.operators.stories import assign
 
     title = "council approves annual budget plan"
-    rows = [(1, date(2026, 1, 1), title, "", ["a"]), (2, date(2026, 1, 5), title + " today", "", ["a"]), (3, date(2026, 1, 10), title + " today", "", ["a", "b"]), (4, date(2026, 1, 5), title, "", ["c"]), (5, date(2026, 3, 1), title, "", ["a"]), (6, date(2026, 1, 5), "other words entirely here", "", ["a"])]
-    got = assign_stories(spark.createDataFrame(rows, "id long, day date, title string, summary string, target_keys array<string>"))
-    assert {r.id: r.story_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    at = lambda month, day: datetime(2026, month, day)
+    rows = [(1, at(1, 1), title, "", "s", ["a"]), (2, at(1, 5), title + " today", "", "s", ["a"]), (3, at(1, 10), title + " today", "", "s", ["a", "b"]), (4, at(1, 5), title, "", "s", ["c"]), (5, at(3, 1), title, "", "s", ["a"]), (6, at(1, 5), "other words entirely here", "", "s", ["a"])]
+    got = assign(spark.createDataFrame(rows, "id long, at timestamp, title string, summary string, source_name string, target_keys array<string>"))
+    assert {r.article_id: r.story_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
 def test_report_writes_nested_columns_as_json(spark, tmp_path):
