@@ -112,7 +112,7 @@ def titles_in_locale_order(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("title", "doc_id")).cast("long")).where("place <= 60").select("lang", "doc_id", "place")
 
 
-ORACLES["site_results"] = FOUND_LINKS + "SELECT search_url, arg_min(title, pos) AS title, url FROM f WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.com') GROUP BY search_url, url"
+ORACLES["site_results"] = FOUND_LINKS + "SELECT search_url, arg_min(title, row(pos, title)) AS title, url FROM f WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.com') GROUP BY search_url, url"
 
 
 @query(PARTS + ", hosts AS (SELECT regexp_replace(auth, '^www\\.', '') AS host, canonical FROM canon) SELECT host, string_agg(DISTINCT canonical, ' ' ORDER BY canonical) AS urls FROM hosts GROUP BY host")

@@ -54,11 +54,14 @@ READERS = {"vejario.abril.com.br": card_results, "camara.rio": listed_results, "
 
 
 def results(pages: DataFrame, host: str, source: str, longest: int = 12) -> DataFrame:
-    """Candidates of result pages of a host: whole URLs of likely articles on it, each once a page, by the first titled link of a card or else its first link."""
-    rows = pages.select(F.col("url").alias("search_url"), F.posexplode(READERS.get(host, link_results)(F.col("html"))).alias("pos", "r")).select("search_url", "pos", "r.*")
+    """Candidates of result pages of a host: whole URLs of likely articles on it, each once a page, by the first titled link of a card or else its first link.
+
+    Captures of the same page have cards of their own; of a URL that several of them have the first place counts, then the least title, snippet and date.
+    """
+    rows = pages.select(F.col("url").alias("search_url"), F.sha2(F.coalesce(F.col("html"), F.lit("")), 256).alias("capture"), F.posexplode(READERS.get(host, link_results)(F.col("html"))).alias("pos", "r")).select("search_url", "capture", "pos", "r.*")
     found = rows.withColumn("url", let(U.resolved(F.col("search_url"), F.col("href")), U.canonical)).where(U.likely_article(F.col("url"), host.removeprefix("www."), longest))
-    card = found.groupBy("search_url", "card").agg(F.min_by(F.struct("pos", "url", "title", "snippet", "created"), F.struct(F.col("title") == "", "pos")).alias("r")).select("search_url", "r.*")
-    once = first_by(card, F.concat_ws("\n", "search_url", "url"), "pos")
+    card = found.groupBy("search_url", "capture", "card").agg(F.min_by(F.struct("pos", "url", "title", "snippet", "created"), F.struct(F.col("title") == "", "pos")).alias("r")).select("search_url", "r.*")
+    once = first_by(card, F.concat_ws("\n", "search_url", "url"), "pos", "title", "snippet", "created")
     title = let(H.fragment(F.col("title")), lambda t: F.when(t == "", U.slug_title(F.col("url"))).otherwise(t))
     return once.select(
         "search_url", "pos", title.alias("title"), "url", F.lit(source).alias("source_name"), F.lit("internal_search").alias("source_type"),
