@@ -270,7 +270,7 @@ def story_record_heads(spark, sf_dir):
     return r.select(F.col("storyIdInt").alias("story"), "title", F.col("summaryLabel").alias("label"), F.col("summaryText").alias("text"), F.col("firstPublishedAt").alias("first"), F.col("lastPublishedAt").alias("last"), F.col("articleCount").alias("articles"), F.col("aiCount").alias("ai"), F.col("rawCount").alias("raw"))
 
 
-@query(RECORDS + """SELECT story_id AS story, id AS article, title, CASE WHEN ai THEN 'ai' ELSE 'raw' END AS source, CASE WHEN keys <> '' THEN keys ELSE (SELECT string_agg(target_key, ',' ORDER BY target_key) FROM story_targets st WHERE st.story_id = a.story_id) END AS keys FROM a""", logical=True)
+@query(RECORDS + """SELECT story_id AS story, id AS article, title, CASE WHEN ai THEN 'ai' ELSE 'raw' END AS source, CASE WHEN keys <> '' THEN keys ELSE coalesce((SELECT string_agg(target_key, ',' ORDER BY target_key) FROM story_targets st WHERE st.story_id = a.story_id), '') END AS keys FROM a""", logical=True)
 def story_record_articles(spark, sf_dir):
     flat = E.flat_articles(records_of(spark, sf_dir))
     return flat.select(F.col("storyIdInt").alias("story"), F.col("articleId").alias("article"), "title", F.col("summarySource").alias("source"), F.array_join("targetKeys", ",").alias("keys"))

@@ -28,3 +28,16 @@ def test_captures_of_one_page_keep_their_links(spark, tmp_path):
     first, second = link("one-story", "One") + link("third", "Z"), link("two-story", "Two") + link("third", "Y")
     rows = same(spark, tmp_path, "site_results", pages=(PAGE, [(1, url, first), (2, url, second), (3, url, first)]))
     assert sorted((r.title, r.url.rsplit("/", 1)[1]) for r in rows) == [("One", "one-story"), ("Two", "two-story"), ("Y", "third")]
+
+
+def test_an_article_without_targets_in_a_story_without_any(spark, tmp_path):
+    from datetime import datetime
+
+    day = datetime(1998, 1, 1)
+    rows = same(
+        spark, tmp_path, "story_record_articles",
+        customer=("c_custkey long, c_name string, c_mktsegment string, c_acctbal double", [(1, "one", "a", 10.0), (2, "two", "b", 20.0)]),
+        orders=("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string", [(1, 1, day, "1-HIGH", "F"), (2, 2, day, "1-HIGH", "F"), (3, 2, day, "2-LOW", "O")]),
+        lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string", [(2, 1, 1, 1, day, 1.0, 1.0, 0.0, 0.0, "R", "F")]),
+    )
+    assert sorted((r.article, r["keys"]) for r in rows) == [(1, ""), (2, "R"), (3, "R")]
