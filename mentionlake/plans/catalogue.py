@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -270,15 +271,42 @@ def likely_article_url(spark, sf_dir):
     return pages.select("page_id", U.likely_article(F.col("url")).alias("likely"), (near & U.likely_article(titled)).alias("likely_titled"))
 
 
-UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+#: White space by Unicode, for DuckDB.
+SQL_BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("SELECT page_id, trim(regexp_replace(" + UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '\\s+', ' ', 'g')) AS title FROM pages")
+def entities_read(source: str) -> str:
+    """SQL for common table expressions: of source (page_id, ord, t), plain has t with its entities read by the standard's rule: names, old names without a semicolon, numbers."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    names = ", ".join(f"({quoted(k[:-1])}, {quoted(v)})" for k, v in html5.items() if k.endswith(";"))
+    bare = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+    old = ", ".join(str(ord(bytes([b]).decode("cp1252", "ignore") or chr(b))) for b in range(128, 160))
+    return rf"""named(name, said) AS (VALUES {names}), source AS (SELECT row_number() OVER () AS k, * FROM ({source})),
+parts AS (SELECT k, unnest(string_split(t, '&')) AS p, generate_subscripts(string_split(t, '&'), 1) AS i FROM source),
+cut AS (SELECT *, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1) AS name, regexp_extract(p, '^({bare})') AS bare, regexp_extract(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?') AS number, ltrim(regexp_extract(p, '^#[xX]?([0-9a-fA-F]+)', 1), '0') AS hexa, ltrim(regexp_extract(p, '^#([0-9]+)', 1), '0') AS deci FROM parts),
+coded AS (SELECT *, CASE WHEN regexp_matches(number, '^#[xX]') THEN CASE WHEN length(hexa) <= 8 THEN ('0x0' || hexa)::BIGINT END WHEN length(deci) <= 8 THEN ('0' || deci)::BIGINT END AS code FROM cut),
+given AS (SELECT k, i, CASE WHEN i = 1 THEN p WHEN number <> '' THEN CASE WHEN code IS NULL OR code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN code BETWEEN 128 AND 159 THEN chr([{old}][code - 127])
+    WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN '' ELSE chr(code::INTEGER) END || p[length(number) + 1:]
+  WHEN n.said IS NOT NULL THEN n.said || p[length(c.name) + 2:] WHEN b.said IS NOT NULL THEN b.said || p[length(bare) + 1:] ELSE '&' || p END AS p
+  FROM coded c LEFT JOIN named n ON n.name = c.name LEFT JOIN named b ON b.name = c.bare),
+plain AS (SELECT page_id, ord, t FROM (SELECT k, string_agg(p, '' ORDER BY i) AS t FROM given GROUP BY k) JOIN (SELECT k, page_id, ord FROM source) USING (k)) """
+
+
+def _content(key: str, value: str) -> str:
+    """SQL: the first content that is not empty of the meta elements whose attribute is of this value."""
+    of = lambda name: rf"""coalesce(nullif(regexp_extract(x, '(?is)\s{name}\s*=\s*"([^"]*)"', 1), ''), regexp_extract(x, '(?is)\s{name}\s*=\s*''([^'']*)''', 1))"""
+    return rf"[c FOR c IN [{of('content')} FOR x IN regexp_extract_all(html, '(?is)<meta\s[^>]*>') IF lower({of(key)}) = '{value}'] IF c <> ''][1]"
+
+
+TITLES = f"""SELECT page_id, unnest([1, 2, 3]) AS ord, unnest([{_content("property", "og:title")}, {_content("name", "twitter:title")}, regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)]) AS t FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)"""
+
+
+@query(f"WITH {entities_read(f"SELECT page_id, ord, coalesce(t, '') AS t FROM ({TITLES})")}, shown AS (SELECT page_id, ord, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '{SQL_BLANK}', ' ', 'g')) AS t FROM plain) SELECT page_id, coalesce(arg_min(t, ord) FILTER (t <> ''), '') AS title FROM shown GROUP BY page_id")
 def html_title(spark, sf_dir):
     return L.read(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(" + UNESCAPE.format("regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')") + ", 'https?://\\S+', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g')) AS body FROM pages")
+@query(f"WITH {entities_read("SELECT page_id, 1 AS ord, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages")} SELECT page_id, trim(regexp_replace(regexp_replace(t, 'https?://[^\\t-\\r ]+', ' ', 'g'), '{SQL_BLANK}', ' ', 'g')) AS body FROM plain")
 def html_to_text(spark, sf_dir):
     return L.read(spark, sf_dir, "pages").select("page_id", H.html_to_text(F.col("html")).alias("body"))
 

@@ -41,3 +41,17 @@ def test_an_article_without_targets_in_a_story_without_any(spark, tmp_path):
         lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string", [(2, 1, 1, 1, day, 1.0, 1.0, 0.0, 0.0, "R", "F")]),
     )
     assert sorted((r.article, r["keys"]) for r in rows) == [(1, ""), (2, "R"), (3, "R")]
+
+
+ENTITIES = [
+    "a&amp b", "&ampcopy;", "&amp;copy", "&copy&nbsp&nbsp;x", "&notit; &notin; &NotEqualTilde; &bogus; &bogus &", "&#39 &#390 &#x27;&#X1F600;", "&#128;&#x9f;&#129;", "&#0;&#xD800;&#1114112;&#99999999999;", "&#1;&#x0B;&#xFFFE;&#127;z",
+    "a&#8232;b&#11;&#9;c", "&lt;b&gt;bold&lt;/b&gt;", "&&amp;&amp;amp;", "&#x;&#;&#xg", "&#65279;&#00065;", "&AMP&LT&Ouml &frac12x",
+]
+
+
+def test_titles_read_entities_by_the_standard(spark, tmp_path):
+    pages = [(k, "http://a/", f"<html><title lang=x>{t}</title><p>x</p>") for k, t in enumerate(ENTITIES)] + [(100, "", None), (101, "", "<p>none</p>")]
+    shared = [(102, "", "<meta property='og:title' content=''><META content=\"A &amp B\" property='OG:title'><title>no</title>"), (103, "", "<title>no</title><meta name=\"twitter:title\" content='T'>"), (104, "", "<meta name='twitter:title' content='&nbsp'><title>own</title>")]
+    rows = same(spark, tmp_path, "html_title", pages=(PAGE, pages + shared))
+    shown = {r.page_id: r.title for r in rows}
+    assert (shown[0], shown[1], shown[2], shown[102], shown[103], shown[104]) == ("a& b", "&copy;", "&copy", "A & B", "T", "own")
