@@ -55,3 +55,9 @@ def test_titles_read_entities_by_the_standard(spark, tmp_path):
     rows = same(spark, tmp_path, "html_title", pages=(PAGE, pages + shared))
     shown = {r.page_id: r.title for r in rows}
     assert (shown[0], shown[1], shown[2], shown[102], shown[103], shown[104]) == ("a& b", "&copy;", "&copy", "A & B", "T", "own")
+
+
+def test_texts_read_entities_by_the_standard(spark, tmp_path):
+    pages = [(k, "http://a/", f"<p>{t}</p><script>no</script> http://gone.example/x &amp") for k, t in enumerate(ENTITIES)] + [(100, "", None), (101, "", "")]
+    rows = same(spark, tmp_path, "html_to_text", pages=(PAGE, pages))
+    assert {r.page_id: r.body for r in rows}[0] == "a& b &"
