@@ -5,8 +5,8 @@ temperature and time of update. If none reaches the threshold, it founds a story
 time; so the rule is a scan with state, not a join.
 
 The scan is keyed: articles that share no target, directly or through others, never meet, and neither do those with a gap of over the days between them. The targets are configuration, so their components are a small
-table. Each (component, stretch without gap) is one ordered scan, in which rows stream by and the state is the stories of the last days. A new article looks up, by an
-inverted index of words and by profiles of letters, the few stories that can pass; bounds rule out most of these before blocks are matched.
+table. Each (component, stretch without gap) is one ordered scan, in which rows stream by and the state is the stories of the last days. A new article looks up stories with its own words, which
+nothing can surpass; or else, by an inverted index of words and by pairs of letters, the few that can pass. Bounds rule out most of these before blocks are matched.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter, OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.functions import text as T
-from mentionlake.functions.similarity import WEAK, ratio_above
+from mentionlake.functions.similarity import WEAK, Pairs, ratio_above, shared_pairs
 from mentionlake.functions.text import STOP_WORDS
 from mentionlake.sources.settle import settled
 
@@ -46,6 +47,16 @@ def words_of(text: str) -> frozenset[str]:
     return frozenset(w for w in text.split() if len(w) >= 4 and w not in STOP_WORDS)
 
 
+@lru_cache(10_000)
+def known_words(text: str) -> frozenset[str]:
+    return words_of(text)
+
+
+@lru_cache(10_000)
+def pairs_of(text: str) -> Pairs:
+    return Pairs.of(text)
+
+
 def similar(a: str, b: str, words_a: frozenset, words_b: frozenset, least: float) -> float:
     """The similarity of two normalised texts; 0 if it is surely under `least`."""
     if not a or not b:
@@ -53,10 +64,21 @@ def similar(a: str, b: str, words_a: frozenset, words_b: frozenset, least: float
     shared = len(words_a & words_b)
     jaccard = shared / len(words_a | words_b) if words_a and words_b else 0.0
     weight = 1.0 if shared >= 2 else WEAK
-    ratio = ratio_above(a, b, max(least, jaccard) / weight) if max(least, jaccard) <= weight else None
+    ratio = None
+    if max(least, jaccard) <= weight and possible(a, b, max(least, jaccard) / weight):
+        ratio = ratio_above(a, b, max(least, jaccard) / weight)
     return max(jaccard, weight * (ratio or 0.0))
 
 
+def possible(a: str, b: str, least: float) -> bool:
+    """Whether the ratio of blocks may reach `least`, by lengths and pairs of letters."""
+    total, shorter = len(a) + len(b), min(len(a), len(b))
+    if 2 * shorter < least * total - 1e-9:
+        return False
+    needed = shared_pairs(total, least)
+    return needed <= 0 or pairs_of(a).most_shared(pairs_of(b)) >= needed
+
+
 @dataclass
 class Story:
     id: int
@@ -71,14 +93,15 @@ class Story:
     slot: int = -1
 
     def __post_init__(self):
-        self.title_words, self.summary_words = words_of(self.title), words_of(self.summary)
+        self.title_words, self.summary_words = known_words(self.title), known_words(self.summary)
 
 
 class Profiles:
-    """How often each letter (by its number modulo 64) occurs in the titles of stories: a bound on what any matching of blocks finds, for all stories at once."""
+    """Pairs of letters in the titles of stories as bits, and how often each letter (by its number modulo 64) occurs: bounds on what any matching of blocks finds, for all stories at once."""
 
     def __init__(self):
-        self.counts, self.lengths, self.ids, self.free = np.zeros((64, 64), np.uint16), np.zeros(64, np.int64), np.zeros(64, np.int64), list(range(63, -1, -1))
+        self.counts = np.zeros((64, 64), np.uint16)
+        self.bits, self.lengths, self.ids, self.free = np.zeros((Pairs.WORDS, 64), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64), list(range(63, -1, -1))
 
     @staticmethod
     def of(title: str) -> np.ndarray:
@@ -87,10 +110,11 @@ class Profiles:
     def add(self, title: str, story: int) -> int:
         if not self.free:
             n = len(self.ids)
+            self.bits = np.concatenate((self.bits, np.zeros_like(self.bits)), axis=1)
             self.counts, self.lengths, self.ids = (np.concatenate((x, np.zeros_like(x))) for x in (self.counts, self.lengths, self.ids))
             self.free = list(range(2 * n - 1, n - 1, -1))
         slot = self.free.pop()
-        self.counts[slot], self.lengths[slot], self.ids[slot] = self.of(title), len(title), story
+        self.bits[:, slot], self.counts[slot], self.lengths[slot], self.ids[slot] = pairs_of(title).words(), self.of(title), len(title), story
         return slot
 
     def remove(self, slot: int) -> None:
@@ -99,12 +123,25 @@ class Profiles:
 
     def near(self, title: str, least: float) -> list[int]:
         """Stories whose titles may have that ratio with this one."""
-        total = self.lengths + len(title)
-        slots = np.flatnonzero((self.lengths > 0) & (np.minimum(self.lengths, len(title)) >= least * total / 2 - 1e-9))
-        if not title or not len(slots):
+        if not title:
+            return []
+        own = pairs_of(title)
+        shortest = len(title) * least / (2 - least)
+        if (needed := shared_pairs(len(title) + shortest, least) - own.lost) > 0:
+            common = np.zeros(len(self.ids), np.uint16)
+            for row, word in zip(self.bits, own.words(), strict=True):
+                if word:
+                    common += np.bitwise_count(row & word)
+            slots = np.flatnonzero(common >= needed)
+            slots = slots[common[slots] >= shared_pairs(self.lengths[slots] + len(title), least) - own.lost]
+        else:
+            slots = np.flatnonzero(self.lengths)
+        lengths = self.lengths[slots]
+        slots = slots[(lengths > 0) & (np.minimum(lengths, len(title)) >= least * (lengths + len(title)) / 2 - 1e-9)]
+        if not len(slots):
             return []
         common = np.minimum(self.counts[slots], self.of(title)).sum(axis=1)
-        return self.ids[slots[common >= least * total[slots] / 2 - 1e-9]].tolist()
+        return self.ids[slots[common >= least * (self.lengths[slots] + len(title)) / 2 - 1e-9]].tolist()
 
 
 class Recent:
@@ -114,46 +151,62 @@ class Recent:
         self.stories: OrderedDict[int, Story] = OrderedDict()
         self.by_word: dict[str, set[int]] = defaultdict(set)
         self.by_title_word: dict[str, set[int]] = defaultdict(set)
+        self.by_title_words: dict[frozenset, set[int]] = defaultdict(set)
         self.letters, self.span = Profiles(), days * DAY
 
     def put(self, story: Story) -> None:
         self.stories[story.id] = story
         story.slot = self.letters.add(story.title, story.id)
-        for index, words in ((self.by_word, story.words), (self.by_title_word, story.title_words)):
+        for index, words in self._indexed(story):
             for w in words:
                 index[w].add(story.id)
 
+    def _indexed(self, story: Story) -> tuple:
+        return (self.by_word, story.words), (self.by_title_word, story.title_words), (self.by_title_words, [story.title_words])
+
     def forget(self, before: int) -> None:
         while self.stories and (story := next(iter(self.stories.values()))).updated < before:
             self.stories.popitem(last=False)
             self.letters.remove(story.slot)
-            for index, words in ((self.by_word, story.words), (self.by_title_word, story.title_words)):
+            for index, words in self._indexed(story):
                 for w in words:
                     index[w].discard(story.id)
                     if not index[w]:
                         del index[w]
 
-    def candidates(self, title: str, words: frozenset, title_words: frozenset) -> set[int]:
-        """All stories that can pass the gate: two shared words, or a title similarity of GATE, by words or by letters."""
+    def candidates(self, title: str, words: frozenset, title_words: frozenset) -> list[int]:
+        """All stories that can pass the gate: two shared words, or a title similarity of GATE, by words or by letters. Those with the most words in common come first, as they shorten what follows."""
         common = Counter(s for w in words for s in self.by_word.get(w, ()))
-        found = {s for s, n in common.items() if n >= 2}
+        found = {s: n for s, n in common.items() if n >= 2}
         for s, n in Counter(s for w in title_words for s in self.by_title_word.get(w, ())).items():
             if n >= 2 or n >= GATE * len(title_words | self.stories[s].title_words) - 1e-9:
-                found.add(s)
-        return found | set(self.letters.near(title, GATE / WEAK))
+                found[s] = max(found.get(s, 0), n)
+        for s in self.letters.near(title, GATE / WEAK):
+            found.setdefault(s, 0)
+        return sorted(found, key=found.get, reverse=True)
+
+    def open_to(self, story: Story, a: dict) -> bool:
+        return story.updated >= a["at"] - self.span and not story.targets.isdisjoint(a["target_keys"])
 
     def choose(self, a: dict, threshold: float) -> tuple[Story | None, float]:
-        words, title_words, summary_words = frozenset(a["words"]), words_of(a["plain"]), words_of(a["brief"])
+        title_words = known_words(a["plain"])
+        if title_words and threshold <= 1.0:  # titles of the same words have a similarity of 1, all others less
+            same = [s for s in map(self.stories.get, self.by_title_words.get(title_words, ())) if self.open_to(s, a)]
+            if same:
+                return max(same, key=lambda s: (s.temperature, s.updated, -s.id)), 1.0
+        words, summary_words = frozenset(a["words"]), known_words(a["brief"])
         best, best_key = None, (threshold, -1.0, -1, 0)
         for s in self.candidates(a["plain"], words, title_words):
             story = self.stories[s]
-            if story.updated < a["at"] - self.span or story.targets.isdisjoint(a["target_keys"]):
+            if not self.open_to(story, a):
                 continue
             weak = len(words & story.words) < 2
-            of_title = similar(a["plain"], story.title, title_words, story.title_words, min(GATE, best_key[0]) if weak else best_key[0])
+            by_summary = best_key[0] <= SUMMARY and a["brief"] and story.summary and possible(a["brief"], story.summary, best_key[0] / SUMMARY)
+            by_summary = by_summary or (best_key[0] <= SUMMARY and not summary_words.isdisjoint(story.summary_words))
+            of_title = similar(a["plain"], story.title, title_words, story.title_words, min(GATE, best_key[0]) if weak and by_summary else best_key[0])
             if weak and of_title < GATE:
                 continue
-            of_summary = similar(a["brief"], story.summary, summary_words, story.summary_words, best_key[0] / SUMMARY) if best_key[0] <= SUMMARY else 0.0
+            of_summary = similar(a["brief"], story.summary, summary_words, story.summary_words, best_key[0] / SUMMARY) if by_summary else 0.0
             key = (max(of_title, SUMMARY * of_summary), story.temperature, story.updated, -story.id)
             if key > best_key:
                 best, best_key = story, key
