@@ -39,7 +39,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 CACHE = 25_000_000
 APART, EDGES = 150_000, 20_000
 NEVER = 1 << 40
-GROUP_BYTES = 3_000_000
+#: Bytes of text that are encoded at a time; arrays of several times that size are made of it.
+GROUP_BYTES = 1_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -258,6 +259,8 @@ def _groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int
 
 def _encode(spec) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        pool.release_unused()  # what this worker kept of earlier tasks, perhaps of other operators
         bpe = _loaded(spec.value)
         for batch in batches:
             texts = batch.column("text")
@@ -265,6 +268,7 @@ def _encode(spec) -> Callable:
                 tokens, ids, decoded = bpe.run(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens), ids, decoded], names=["doc_id", "n_tokens", "ids", "decoded"])
         bpe.forget()
+        pool.release_unused()
 
     return run
 
