@@ -282,14 +282,14 @@ def entities_read(source: str) -> str:
     bare = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
     old = ", ".join(str(ord(bytes([b]).decode("cp1252", "ignore") or chr(b))) for b in range(128, 160))
     return rf"""named(name, said) AS (VALUES {names}), source AS (SELECT row_number() OVER () AS k, * FROM ({source})),
-parts AS (SELECT k, unnest(string_split(t, '&')) AS p, generate_subscripts(string_split(t, '&'), 1) AS i FROM source),
+parts AS (SELECT k, page_id, ord, unnest(string_split(t, '&')) AS p, generate_subscripts(string_split(t, '&'), 1) AS i FROM source),
 cut AS (SELECT *, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1) AS name, regexp_extract(p, '^({bare})') AS bare, regexp_extract(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?') AS number, ltrim(regexp_extract(p, '^#[xX]?([0-9a-fA-F]+)', 1), '0') AS hexa, ltrim(regexp_extract(p, '^#([0-9]+)', 1), '0') AS deci FROM parts),
 coded AS (SELECT *, CASE WHEN regexp_matches(number, '^#[xX]') THEN CASE WHEN length(hexa) <= 8 THEN ('0x0' || hexa)::BIGINT END WHEN length(deci) <= 8 THEN ('0' || deci)::BIGINT END AS code FROM cut),
-given AS (SELECT k, i, CASE WHEN i = 1 THEN p WHEN number <> '' THEN CASE WHEN code IS NULL OR code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN code BETWEEN 128 AND 159 THEN chr([{old}][code - 127])
+given AS (SELECT k, page_id, ord, i, CASE WHEN i = 1 THEN p WHEN number <> '' THEN CASE WHEN code IS NULL OR code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN code BETWEEN 128 AND 159 THEN chr([{old}][code - 127])
     WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN '' ELSE chr(code::INTEGER) END || p[length(number) + 1:]
   WHEN n.said IS NOT NULL THEN n.said || p[length(c.name) + 2:] WHEN b.said IS NOT NULL THEN b.said || p[length(bare) + 1:] ELSE '&' || p END AS p
   FROM coded c LEFT JOIN named n ON n.name = c.name LEFT JOIN named b ON b.name = c.bare),
-plain AS (SELECT page_id, ord, t FROM (SELECT k, string_agg(p, '' ORDER BY i) AS t FROM given GROUP BY k) JOIN (SELECT k, page_id, ord FROM source) USING (k)) """
+plain AS (SELECT page_id, ord, string_agg(p, '' ORDER BY i) AS t FROM given GROUP BY k, page_id, ord) """
 
 
 def _content(key: str, value: str) -> str:
@@ -306,7 +306,11 @@ def html_title(spark, sf_dir):
     return L.read(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
-@query(f"WITH {entities_read("SELECT page_id, 1 AS ord, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages")} SELECT page_id, trim(regexp_replace(regexp_replace(t, 'https?://[^\\t-\\r ]+', ' ', 'g'), '{SQL_BLANK}', ' ', 'g')) AS body FROM plain")
+#: Tags in either case of ASCII; ignoring case, DuckDB would take a long s for an s too.
+UNSHOWN = "([sS][cC][rR][iI][pP][tT]|[sS][tT][yY][lL][eE])"
+
+
+@query(f"WITH {entities_read(f"SELECT page_id, 1 AS ord, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<{UNSHOWN}[^>]*>.*?</{UNSHOWN}>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages")} SELECT page_id, trim(regexp_replace(regexp_replace(t, 'https?://[^\\t-\\r ]+', ' ', 'g'), '{SQL_BLANK}', ' ', 'g')) AS body FROM plain")
 def html_to_text(spark, sf_dir):
     return L.read(spark, sf_dir, "pages").select("page_id", H.html_to_text(F.col("html")).alias("body"))
 

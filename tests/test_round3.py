@@ -61,3 +61,9 @@ def test_texts_read_entities_by_the_standard(spark, tmp_path):
     pages = [(k, "http://a/", f"<p>{t}</p><script>no</script> http://gone.example/x &amp") for k, t in enumerate(ENTITIES)] + [(100, "", None), (101, "", "")]
     rows = same(spark, tmp_path, "html_to_text", pages=(PAGE, pages))
     assert {r.page_id: r.body for r in rows}[0] == "a& b &"
+
+
+def test_a_long_s_makes_no_script(spark, tmp_path):
+    pages = [(1, "http://a/", "a<\u017fcript>b</\u017fcript>c"), (1, "http://a/", "a<SCRIPT>b</Script>c"), (2, "http://a/", "<\u017ftyle>&amp</style>"), (3, "http://a/", "<STYLE x>&amp</style>&lt")]
+    rows = same(spark, tmp_path, "html_to_text", pages=(PAGE, pages))
+    assert sorted((r.page_id, r.body) for r in rows) == [(1, "a b c"), (1, "a c"), (2, "&"), (3, "<")]
