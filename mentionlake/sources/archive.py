@@ -1,7 +1,8 @@
 """Collectors of archives whose pages lead on to older ones, and of result pages of many sites, on captures (url, html).
 
 Links between captures are read once, for all pages at once. From the seeds the frontier then moves a page a round: a join with the small table of links, settled, until no seed has a page to go to. A seed ends at a page
-that isn't captured or was visited, at its most pages, or behind a page whose dated items are all older than the window.
+that isn't captured or was visited, at its most pages, or behind a page whose dated items are all older than the window. Items are read of the pages that links lead to, a row a card, so a large page is
+shared by many tasks; the way of each seed is then cut behind its first old page.
 """
 
 from __future__ import annotations
@@ -29,21 +30,18 @@ def _item(pos: Column, title: Column, href: Column, created: Column, snippet: Co
     return F.struct(*(c.alias(n) for c, n in zip((pos, title, href, created, snippet), ITEM, strict=True)))
 
 
-def magazine_items(url: Column, html: Column, host: str, prefix: str = "") -> Column:
-    """Of each card the first link to an article of the host under the path prefix, its time and description."""
+def magazine_item(url: Column, card: Column, i: Column, host: str, prefix: str = "") -> Column:
+    """Of a card the first link to an article of the host under the path prefix, its time and description."""
 
     def good(target: Column) -> Column:
         under = F.startswith(U.path_of(target), F.lit(prefix)) if prefix else F.lit(True)
         return U.host_matches(U.authority(target), F.lit(host)) & under & U.likely_article(target, host)
 
-    def one(card: Column, i: Column) -> Column:
-        link = F.get(F.filter(H.anchors(card), lambda a: let(U.resolved(url, a["href"]), lambda r: let(U.canonical(r), good))), F.lit(0))
-        return let(link, lambda link: _item(i, link["title"], link["href"], H.first_inside(card, "time"), H.first_inside(card, "p", r"[^\"']*description[^\"']*", True)))
+    link = F.get(F.filter(H.anchors(card), lambda a: let(U.resolved(url, a["href"]), lambda r: let(U.canonical(r), good))), F.lit(0))
+    return let(link, lambda link: _item(i, link["title"], link["href"], H.first_inside(card, "time"), H.first_inside(card, "p", r"[^\"']*description[^\"']*", True)))
 
-    return F.filter(F.transform(search.cards(html), one), lambda r: r["href"].isNotNull())
 
-
-def council_items(url: Column, html: Column, host: str, prefix: str = "") -> Column:
+def council_headings(html: Column) -> Column:
     """Headings, each with the first date that stands between the heading before and itself; a heading without one is passed over."""
     parts = F.split(F.coalesce(html, F.lit("")), f"(?i)(?={H.opening(*COUNCIL_HEADING)})")
 
@@ -53,41 +51,53 @@ def council_items(url: Column, html: Column, host: str, prefix: str = "") -> Col
         return let(link, lambda a: F.struct(a["title"].alias("title"), a["href"].alias("href"), date.alias("created")))
 
     pairs = let(parts, lambda p: F.zip_with(F.slice(p, 2, F.size(p)), F.slice(p, 1, F.size(p) - 1), one))
-    whole = F.filter(pairs, lambda r: r["href"].isNotNull() & r["created"].isNotNull())
-    return F.transform(whole, lambda r, i: _item(i, r["title"], r["href"], r["created"], F.lit("")))
+    return F.filter(pairs, lambda r: r["href"].isNotNull() & r["created"].isNotNull())
+
 
+def council_item(url: Column, heading: Column, i: Column, host: str, prefix: str = "") -> Column:
+    return _item(i, heading["title"], heading["href"], heading["created"], F.lit(""))
 
-#: Readers by source: (items of a page, URL of the next page).
-READERS: dict[str, tuple[Callable, Callable]] = {
-    "magazine": (magazine_items, lambda url, html: let(search.scrolled(html, F.regexp_extract(url, r"/pagina/(\d+)(?:/|$)", 1)), lambda href: U.resolved(url, href))),
-    "council": (council_items, lambda url, html: let(H.linked(html, "link", rel="next"), lambda href: U.resolved(url, href))),
+
+#: Readers by source: (parts of a page, item of a part, without href if it is none, URL of the next page).
+READERS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "magazine": (search.cards, magazine_item, lambda url, html: let(search.scrolled(html, F.regexp_extract(url, r"/pagina/(\d+)(?:/|$)", 1)), lambda href: U.resolved(url, href))),
+    "council": (council_headings, council_item, lambda url, html: let(H.linked(html, "link", rel="next"), lambda href: U.resolved(url, href))),
 }
 
 
-def links(captures: DataFrame, source: str, host: str, prefix: str = "", start: str = "") -> DataFrame:
-    """(page, next, items, old) of captures, settled: each page once, by its URL as search pages are written; `old` tells that it has dated items and all of these lie before the start."""
-    items, following = READERS[source]
+def links(captures: DataFrame, source: str) -> DataFrame:
+    """(page, next, html) of captures, settled: each page once, by its URL as search pages are written."""
+    following = READERS[source][2]
     pages = captures.where(F.coalesce("url", F.lit("")) != "").groupBy(U.search_page(F.col("url")).alias("page")).agg(F.min_by("html", "url").alias("html"))
-    url, html = F.col("page"), F.col("html")
-    shown = F.transform(items(url, html, host, prefix), lambda x: x.withField("published", let(H.fragment(x["created"]), portuguese)))
-    target = let(following(url, html), lambda u: F.when(u == url, "").otherwise(U.search_page(u)))
-    found = settled(pages.select("page", target.alias("next"), shown.alias("items")))
-    dated = F.filter("items", lambda x: x["published"] != "")
-    before = F.filter(dated, lambda x: parsed(x["published"]) < parsed(F.lit(start))) if start else F.array().cast("array<string>")
-    return found.select("page", "next", "items", ((F.size(dated) > 0) & (F.size(before) == F.size(dated))).alias("old"))
+    url = F.col("page")
+    return settled(pages.select("page", let(following(url, F.col("html")), lambda u: F.when(u == url, "").otherwise(U.search_page(u))).alias("next"), "html"))
+
+
+def items(pages: DataFrame, source: str, host: str, prefix: str = "") -> DataFrame:
+    """(page, pos, title, href, created, snippet, published) of pages (page, html), a row an item, settled."""
+    parts, item, _ = READERS[source]
+    cut = pages.select("page", F.posexplode(parts(F.col("html"))).alias("at", "part")).repartition("page", "at")
+    whole = let(item(F.col("page"), F.col("part"), F.col("at"), host, prefix), lambda x: x.withField("published", let(H.fragment(x["created"]), portuguese)))
+    return settled(cut.select("page", whole.alias("i"))).where("i.href is not null").select("page", "i.*")
+
+
+def old_pages(found: DataFrame, start: str) -> DataFrame:
+    """(page): pages of items that have dated ones, all of them before the start."""
+    dated = found.where("published <> ''")
+    return dated.groupBy("page").agg(F.min(F.coalesce(parsed(F.col("published")) < parsed(F.lit(start)), F.lit(False))).alias("old")).where("old").select("page")
 
 
 def visited(pages: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(seed, n, page) of pages (page, next, old) in the order in which each seed (seed, url) comes to them."""
-    small = settled(pages.select("page", "next", "old"))
+    """(seed, n, page) of pages (page, next) in the order in which each seed (seed, url) comes to them."""
+    small = settled(pages.select("page", "next"))
     frontier = seeds.select("seed", F.lit(1).alias("n"), U.search_page(F.col("url")).alias("page"))
     reached: list[DataFrame] = []
     for _ in range(most):
-        here = settled(frontier.join(small, "page").select("seed", "n", "page", "next", "old"))
+        here = settled(frontier.join(small, "page").select("seed", "n", "page", "next"))
         if here.isEmpty():
             break
         reached.append(here.select("seed", "n", "page"))
-        onward = here.where("not old and next <> ''").select("seed", (F.col("n") + 1).alias("n"), F.col("next").alias("page"))
+        onward = here.where("next <> ''").select("seed", (F.col("n") + 1).alias("n"), F.col("next").alias("page"))
         seen = reduce(DataFrame.unionByName, reached).select("seed", "page")
         frontier = onward.join(seen, ["seed", "page"], "left_anti")
     return reduce(DataFrame.unionByName, reached) if reached else frontier.limit(0)
@@ -100,9 +110,13 @@ def archive(captures: DataFrame, seeds: list[tuple[str, str]], source: str, host
     Whether a page is old is judged by all its items, also by those that an earlier page had.
     """
     spark = captures.sparkSession
-    pages = links(captures, source, host, prefix, date_from)
-    way = visited(pages, spark.createDataFrame(seeds, "seed string, url string"), most_pages)
-    rows = way.join(pages, "page").select("seed", "n", "page", F.explode("items").alias("i")).select("seed", "n", "page", "i.*")
+    pages = links(captures, source)
+    way = settled(visited(pages, spark.createDataFrame(seeds, "seed string, url string"), most_pages))
+    read = items(pages.join(F.broadcast(way.select("page").distinct()), "page"), source, host, prefix)  # most_pages a seed
+    if date_from:
+        ends = way.join(old_pages(read, date_from), "page").groupBy("seed").agg(F.min("n").alias("end"))
+        way = way.join(F.broadcast(ends), "seed", "left").where("end is null or n <= end").drop("end")  # a row a seed
+    rows = read.join(F.broadcast(way), "page")
     end = parsed(F.lit(date_to)) + F.expr("interval 1 day") if len(date_to.strip()) == 10 else parsed(F.lit(date_to))
     at = parsed(F.col("published"))
     inside = F.lit(True) if not date_from else at.isNull() | (at >= parsed(F.lit(date_from)))
