@@ -18,12 +18,24 @@ from mentionlake.llm.mixing import training_order
 SCORE, LINES = "__stage_score", ("__stage_lines", "__stage_removed", "__stage_kept")
 
 
+#: Rows that Spark hands to Python at a time, and bytes of text that BPE encodes at a time: executors that ran all stages before have little memory left.
+BATCH_ROWS, GROUP_BYTES = 2000, 400_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS; a lower bound that a user set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def columns(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go; the models learn from the labels that op5 may learn from. Rows that repeat a document are scored each; one without text has the score of an empty text."""
+    small_batches(spark)
     labels = toxicity.learnable(table(spark, sf_dir, "labels"))
     return toxicity.score(docs, *toxicity.train(docs, labels), into=SCORE).where(F.col(SCORE) < toxicity.THRESHOLD).select(*columns(docs))
 
@@ -38,6 +50,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more, directly or through others, the one with the smallest doc_id stays, with all rows that repeat that doc_id; null doc_ids and texts without words stay."""
+    small_batches(spark)
     gone = settled(jaccard_join(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("d")).distinct())
     return without_ids(docs, gone).select(*columns(docs))
 
@@ -49,7 +62,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of the mix; a null text is an empty one."""
-    return bpe.digests(bpe.encode(docs, bpe.public_vocabulary()))
+    small_batches(spark)
+    return bpe.digests(bpe.encode(docs, bpe.public_vocabulary(), GROUP_BYTES))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("jaccard_join", drop_near_copies), ("mixing", mix), ("bpe", tokenize)]

@@ -257,14 +257,14 @@ def _groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def _encode(spec) -> Callable:
+def _encode(spec, group_bytes: int = GROUP_BYTES) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = pa.default_memory_pool()
         pool.release_unused()  # what this worker kept of earlier tasks, perhaps of other operators
         bpe = _loaded(spec.value)
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in _groups(texts):
+            for lo, hi in _groups(texts, group_bytes):
                 tokens, ids, decoded = bpe.run(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens), ids, decoded], names=["doc_id", "n_tokens", "ids", "decoded"])
         bpe.forget()
@@ -273,13 +273,13 @@ def _encode(spec) -> Callable:
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): ids as decimal numbers joined by commas, and the text that they decode to. vocabulary: the path of a byte-level tokenizer file, read on the driver."""
+def encode(docs: DataFrame, vocabulary: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ids as decimal numbers joined by commas, and the text that they decode to. vocabulary: the path of a byte-level tokenizer file, read on the driver. group_bytes: text that a task encodes at a time; less takes less memory and more time."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.select("doc_id", F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_encode(spec), f"doc_id {kind}, n_tokens long, ids string, decoded string")
+    return docs.mapInArrow(_encode(spec, group_bytes), f"doc_id {kind}, n_tokens long, ids string, decoded string")
 
 
 def public_vocabulary() -> str:
