@@ -36,6 +36,24 @@ def test_texts_of_copies_are_not_shuffled(spark, tmp_path):
     assert moved < 0.2 * sum(len(t) for _, t in rows), moved
 
 
+def test_rows_alone_in_their_bucket_are_not_shuffled_with_sketches(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written(spark)
+        got = jaccard.jaccard_join(docs).collect()
+        moved = written(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert all(r.class_id == r.doc_id and r.n_links == 0 for r in got) and len(got) == 2000
+    # About CHOICES rows a run and document: their sketches of 32 bytes alone would be more.
+    assert moved < 32 * jaccard.CHOICES * jaccard.runs_needed() * len(rows), moved
+
+
 @pytest.mark.parametrize("bits", [1, 64])
 def test_bitmaps_that_list_nearly_all(texts, monkeypatch, bits):
     monkeypatch.setattr(jaccard, "maybe_among", functools.partial(common.maybe_among, most_bits=bits))
