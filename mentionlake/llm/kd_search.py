@@ -5,7 +5,8 @@ the tight box around its vectors. The inner product of a query with anything in
 with the box's two ends. The traversal takes the node with the greatest bound first and ends when no bound reaches the query's k-th score.
 
 A query visits the shard that its own hash names first. Its k-th score there goes with it to all other shards, where only better boxes (or equal ones:
-ties go to the smaller vec_id) are opened. Queries and shards are packed in blocks; a task holds one of each.
+ties go to the smaller vec_id) are opened. Queries and shards are packed in blocks; a task holds one of each. A shard is dealt once, and its queries come after it: nothing
+is joined, so no shard is copied for each pack of queries and nothing is broadcast. The queries of a pack go down the tree together.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet those of their own length. Rows that repeat a vec_id
 are vectors of their own: each is a candidate, also for the others, and one that asks has its own nearest. Fewer candidates than asked for: all of them. Scores are exact; those that a 64-bit integer can't hold are given as its ends, where ties go
@@ -90,23 +91,54 @@ class Tree:
                 reach = max(reach, top[0][0])
         return top
 
+    def best_of_all(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, reach: list[float | int]) -> list[list[tuple[float, int]]]:
+        """What best finds for each query. Those whose scores doubles hold go down the tree together, a product of matrices a leaf; a node is opened for the queries whose bound is not below their reach."""
+        fits = self.largest * np.abs(q).sum(1) < 2**53
+        tops = [[] if fit else self.best(q[j], bounds[j], ids, rows, own[j], k, reach[j]) for j, fit in enumerate(fits.tolist())]
+        limit = np.array(reach, np.float64)  # as a double it may be rounded beyond 2**53, where no score of these queries lies
+        heap = [(0.0, 0, np.flatnonzero(fits))]
+        while heap:
+            _, node, asked = heapq.heappop(heap)
+            asked = asked[bounds[asked, node] >= limit[asked]]
+            if not len(asked):
+                continue
+            if self.children[node]:
+                for c in self.children[node]:
+                    heapq.heappush(heap, (-bounds[asked, c].mean(), c, asked))
+                continue
+            a, b = self.ranges[node]
+            scores = q[asked] @ self.rows[a:b].T
+            at, found = np.nonzero(scores >= limit[asked][:, None])
+            places = self.order[a + found]
+            other = rows[places] != own[asked[at]]
+            for j, score, i in zip(asked[at][other].tolist(), scores[at, found][other].tolist(), ids[places][other].tolist(), strict=True):
+                top = tops[j]
+                if len(top) < k:
+                    heapq.heappush(top, (int(score), -i))
+                elif (int(score), -i) > top[0]:
+                    heapq.heapreplace(top, (int(score), -i))
+                if len(top) == k:
+                    limit[j] = max(limit[j], top[0][0])
+        return tops
+
 
 def _search(k: int) -> Callable:
-    """Joined packs (queries with their k-th scores so far, shard): the best of the shard for each query."""
+    """Rows (block, ids, vectors, reach) sorted by block, in each the shard (its reach is null) before packs of queries with their k-th scores so far: the best of the shard for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, ids, rows = None, None, None, None
+        shard, tree, ids, rows = None, None, None, None
         for batch in batches:
-            for block, q_ids, q_vectors, reach, s_ids, s_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != last:
-                    (ids, rows, x), last = unpack(s_ids, s_vectors), block
+            for block, packed_ids, vectors, reach in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if reach is None:
+                    (ids, rows, x), shard = unpack(packed_ids, vectors), block
                     tree = Tree(x)
-                qi, qr, q = unpack(q_ids, q_vectors)
-                reached = [-np.inf if r == LEAST else r for r in np.frombuffer(reach, np.int64).tolist()] if reach else [-np.inf] * len(qi)
-                bounds = tree.bounds(q)
+                    continue
+                if block != shard:  # no vector has this block
+                    continue
+                qi, qr, q = unpack(packed_ids, vectors)
+                reached = [-np.inf if r == LEAST else r for r in np.frombuffer(reach, np.int64).tolist()]
                 out: tuple[list, list, list, list] = ([], [], [], [])
-                for j, own in enumerate(qr.tolist()):
-                    top = tree.best(q[j], bounds[j], ids, rows, own, k, reached[j])
+                for j, (own, top) in enumerate(zip(qr.tolist(), tree.best_of_all(q, tree.bounds(q), ids, rows, qr, k, reached), strict=True)):
                     out[0].append(np.full(len(top), own, np.int64))
                     out[1].append(np.full(len(top), qi[j], np.int64))
                     out[2].append(np.array([-i for _, i in top], np.int64))
@@ -120,7 +152,7 @@ def _with_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repacks a shard's queries with their k-th scores; rows (block, row, vec_id, v, reach) sorted by block."""
     for (block,), g in stream_groups(batches, 1):
         pack = [np.stack([g.column("vec_id").to_numpy(), g.column("row").to_numpy()]).tobytes(), np.ascontiguousarray(matrix(g.column("v"))).tobytes(), g.column("reach").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([p], pa.binary()) for p in pack)], names=["home", "q_ids", "q_vectors", "reach"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([p], pa.binary()) for p in pack)], names=["home", "ids", "vectors", "reach"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
@@ -129,17 +161,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFram
     shards = settled(shards)
     home = dealt_to(n)
     found = "query_row long, query_id long, vec_id long, score long"
-    dealt = queries.select(home.alias("block"), "row", "vec_id", "v", F.lit(LEAST).alias("reach")).repartition("block").sortWithinPartitions("block")
-    packed = "home int, q_ids binary, q_vectors binary, reach binary"
-    columns = ("block", "q_ids", "q_vectors", "reach", "ids", "vectors")
-    first = dealt.mapInArrow(_with_reach, packed).withColumnRenamed("home", "block").join(shards, "block").select(*columns)
-    near = settled(first.mapInArrow(_search(k), found))
+    packed = "home int, ids binary, vectors binary, reach binary"
+    packs = lambda asked: asked.repartition("block").sortWithinPartitions("block").mapInArrow(_with_reach, packed)
+    # shard and queries meet by union: the size of exploded queries isn't known before, and a join would send them all through the driver
+    met = lambda asked: shards.withColumn("reach", F.lit(None).cast("binary")).unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("reach").isNotNull()).mapInArrow(_search(k), found)
+    near = settled(met(packs(queries.select(home.alias("block"), "row", "vec_id", "v", F.lit(LEAST).alias("reach"))).withColumnRenamed("home", "block")))
     reach = near.groupBy("query_row").agg(F.count("score").alias("n"), F.min("score").alias("least"))
     known = queries.join(reach, queries["row"] == reach["query_row"], "left")
     known = known.select(home.alias("block"), "row", "vec_id", "v", F.when(F.col("n") == k, F.col("least")).otherwise(LEAST).alias("reach"))
-    asked = known.repartition("block").sortWithinPartitions("block").mapInArrow(_with_reach, packed)
-    others = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where("block <> home")
-    rest = others.join(shards, "block").select(*columns).mapInArrow(_search(k), found)
+    others = packs(known).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "*").where("block <> home").drop("home")
+    rest = met(others)
     return nearest_per_query(near.union(rest), k)
 
 

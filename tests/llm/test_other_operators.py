@@ -218,6 +218,21 @@ def test_kd_search_over_many_shards(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_kd_search_joins_no_packs(spark, monkeypatch):
+    """A pack of queries is made once for each shard; its size before that says nothing of the size after it, so a join sent all copies through the driver."""
+    monkeypatch.setattr(kd_search, "SHARD", 50)
+    v = spark.range(2000).select(F.col("id").alias("row"), F.col("id").alias("vec_id"), F.array(*((F.col("id") * p % 101).cast("double") for p in (3, 7, 11))).alias("v"))
+    found = kd_search.search(v, v.where("vec_id % 5 = 0"))
+    assert found.count() == 5 * 400
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for k, line in enumerate(plan):
+        if "Join" in line:
+            end = next((n for n in range(k + 1, len(plan)) if depth[n] <= depth[k]), len(plan))
+            assert not [x for x in plan[k:end] if "MapInArrow" in x]
+
+
 # --- toxicity
 
 
