@@ -413,7 +413,8 @@ def _near_titles(texts: DataFrame, ratio: float) -> DataFrame | None:
     mates = x.groupBy("piece").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
     if (mates[0] or 0) > MATES * (mates[1] or 0):
         return None
-    met = x.alias("x").join(y.alias("y"), "piece").where("x.n < y.n or x.t < y.t")
+    # what is known of the size of pieces is that of titles, by which they would be broadcast
+    met = x.alias("x").hint("merge").join(y.alias("y").hint("merge"), "piece").where("x.n < y.n or x.t < y.t")
     part = lambda side, k: F.call_function("shiftright", F.col(f"{side}.sketch"), F.lit(4 * k)).bitwiseAND(15)
     most = F.floor((1 - ratio) * (F.col("x.n") + F.col("y.n")) + 1e-6)
     unlike = sum((F.abs(part("x", k) - part("y", k)) for k in range(1, 16)), F.abs(part("x", 0) - part("y", 0)))
