@@ -6,7 +6,7 @@ with the box's two ends. The traversal takes the node with the greatest bound fi
 
 A query visits the shard that its own hash names first. Its k-th score there goes with it to all other shards, where only better boxes (or equal ones:
 ties go to the smaller vec_id) are opened. Queries and shards are packed in blocks; a task holds one of each. A shard is dealt once, and its queries come after it: nothing
-is joined, so no shard is copied for each pack of queries and nothing is broadcast. The queries of a pack go down the tree together.
+is joined, so no shard is copied for each pack of queries and no pack is broadcast. The queries of a pack go down the tree together.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors meet those of their own length. Rows that repeat a vec_id
 are vectors of their own: each is a candidate, also for the others, and one that asks has its own nearest. Fewer candidates than asked for: all of them. Scores are exact; those that a 64-bit integer can't hold are given as its ends, where ties go
